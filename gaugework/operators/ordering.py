@@ -46,14 +46,15 @@ class Ordering:
         group: list[str],
         order: list[str],
         slice_rows: int = SLICE_ROWS,
-        known_largest: int | None = None,
+        bound: int | None = None,
     ) -> None:
-        """``known_largest``: rows of the largest group, where the caller has counted already."""
+        """``bound``: a number of rows no group can exceed, where the caller has one for free
+        (the rows of a base table, say). A small bound saves counting ``df`` itself."""
         self._drop = [] if group else ["_all"]
         self.df = df if group else df.withColumn("_all", F.lit(0))
         self.group = list(group) or ["_all"]
         self.order = list(order)
-        small = known_largest is not None and known_largest <= slice_rows
+        small = bound is not None and bound <= slice_rows
         self.bounds = None if small else self._slice_bounds(slice_rows)
         self.rows = self._sliced()
 
@@ -186,10 +187,10 @@ def rank(
     order: list[str],
     name: str = "rank",
     slice_rows: int = SLICE_ROWS,
-    known_largest: int | None = None,
+    bound: int | None = None,
 ) -> DataFrame:
     """0-based position within the group (or over the whole table for an empty group)."""
-    return Ordering(df, group, order, slice_rows, known_largest).rank(name)
+    return Ordering(df, group, order, slice_rows, bound).rank(name)
 
 
 def quantiles(
@@ -199,16 +200,17 @@ def quantiles(
     probs: list[float],
     name: str = "quantiles",
     slice_rows: int = SLICE_ROWS,
-    bounded: bool = False,
+    bound: int | None = None,
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles per group as an array column.
 
-    ``bounded`` states that group sizes are limited by the meaning of the table (runs,
-    parameters), which saves the count. Large groups are never collected: equal values are
-    counted first, and the quantiles are read off running counts.
+    ``bound`` is a number of rows no group can exceed, as in :class:`Ordering`. Large groups
+    are never collected: equal values are counted first, and the quantiles are read off
+    running counts.
     """
     data = df.where(F.col(value).isNotNull())
-    if bounded or largest_group(data, group, slice_rows) <= slice_rows:
+    small = bound is not None and bound <= slice_rows
+    if small or largest_group(data, group, slice_rows) <= slice_rows:
         return data.groupBy(*group).agg(F.percentile(value, probs).alias(name))
 
     base = data if group else data.withColumn("_all", F.lit(0))
@@ -254,9 +256,9 @@ def sequence_digest(
     Longer sequences are hashed block by block and the block digests are hashed the same
     way, level by level, so no task sees more than one block at a time.
     """
-    ranked = rank(df.select(*order, key), [], order, "_pos", slice_rows)
-    level = ranked.select(F.col("_pos"), F.col(key).cast("string").alias("_text"))
     rows = df.count()
+    ranked = rank(df.select(*dict.fromkeys([*order, key])), [], order, "_pos", slice_rows, rows)
+    level = ranked.select(F.col("_pos"), F.col(key).cast("string").alias("_text"))
 
     def fold(frame: DataFrame) -> DataFrame:
         return (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gaugework.functions.values import is_finite
-from gaugework.operators.ordering import SLICE_ROWS, Ordering, quantiles
+from gaugework.operators.ordering import SLICE_ROWS, Ordering, largest_group, quantiles
 
 
 def series_rollup(
@@ -147,7 +147,9 @@ def quantile_rows(df: DataFrame, group: list[str], value: str, probs: list[float
     ).select(*group, "r.q", "r.value")
 
 
-def latency_summary(df: DataFrame, group: str, value: str, expected: int | None = None) -> DataFrame:
+def latency_summary(
+    df: DataFrame, group: str, value: str, expected: int | None = None, slice_rows: int = SLICE_ROWS
+) -> DataFrame:
     """mean, SD, p50, p95, min, max per group. Every sample must be finite and positive, and
     with ``expected`` the sample count must be exact; otherwise the job fails."""
     x = F.col(value)
@@ -165,7 +167,7 @@ def latency_summary(df: DataFrame, group: str, value: str, expected: int | None
     checked = F.when(~wrong, F.col("samples")).otherwise(
         F.raise_error(F.concat(F.lit("unusable samples of "), F.col(group)))
     )
-    points = quantiles(df, [group], value, [0.5, 0.95], "_q")
+    points = quantiles(df, [group], value, [0.5, 0.95], "_q", slice_rows)
     return stats.join(points, group, "left").select(
         group,
         checked.alias("samples"),
@@ -220,8 +222,9 @@ def gap_report(
     file sorts before its predecessor's, and likewise for instances. The spacing test is
     against the median step, within ``tolerance + relative * |median|``.
     """
+    largest = largest_group(units, [entity], slice_rows)
     rows = Ordering(
-        units.select(entity, position, file, instance), [entity], [position, file], slice_rows
+        units.select(entity, position, file, instance), [entity], [position, file], slice_rows, largest
     ).previous([position, file, instance])
     step = F.abs(F.col(position) - F.col(f"prev_{position}"))
     rows = rows.withColumn("_step", step)
@@ -236,7 +239,7 @@ def gap_report(
         F.coalesce(F.bool_and(F.col(f"prev_{instance}") <= F.col(instance)), F.lit(True)).alias("instance_order_matches"),
         F.coalesce(F.bool_and(F.col(f"prev_{instance}") >= F.col(instance)), F.lit(True)).alias("reversed_instance_matches"),
     )
-    middle = quantiles(rows, [entity], "_step", [0.5], "_q", slice_rows).select(
+    middle = quantiles(rows, [entity], "_step", [0.5], "_q", slice_rows, largest).select(
         entity, F.get("_q", F.lit(0)).alias("median_step")
     )
     near = F.lit(tolerance) + F.lit(relative) * F.abs("median_step")
@@ -246,11 +249,11 @@ def gap_report(
     return facts.join(middle, entity, "left").withColumn("uniform_spacing", uniform)
 
 
-def entity_index(units: DataFrame, entity: str) -> DataFrame:
+def entity_index(units: DataFrame, entity: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Entities with their unit count and position in natural order."""
     from gaugework.functions.keys import natural_key
     from gaugework.operators.ordering import rank
 
     counts = units.groupBy(entity).agg(F.count("*").alias("units"))
     keyed = counts.withColumn("_natural", natural_key(entity))
-    return rank(keyed, [], ["_natural", entity], "entity_index").drop("_natural")
+    return rank(keyed, [], ["_natural", entity], "entity_index", slice_rows, units.count()).drop("_natural")

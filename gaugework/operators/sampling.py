@@ -12,7 +12,12 @@ ALGORITHM = "entity_balanced_v1"
 
 
 def epoch_quotas(
-    units: DataFrame, entity: str, epoch: int, size: int | None = None, slice_rows: int = SLICE_ROWS
+    units: DataFrame,
+    entity: str,
+    epoch: int,
+    size: int | None = None,
+    slice_rows: int = SLICE_ROWS,
+    bound: int | None = None,
 ) -> DataFrame:
     """Draws per entity: equal shares, the remainder rotating through the natural order.
 
@@ -23,7 +28,7 @@ def epoch_quotas(
         raise ValueError(f"epoch must not be negative, got {epoch}")
     pools = units.groupBy(entity).agg(F.count("*").alias("pool"))
     keyed = pools.withColumn("_natural", natural_key(entity))
-    ranked = rank(keyed, [], ["_natural", entity], "entity_index", slice_rows).drop("_natural")
+    ranked = rank(keyed, [], ["_natural", entity], "entity_index", slice_rows, bound).drop("_natural")
     totals = pools.agg(F.count("*").alias("_n"), F.sum("pool").alias("_units"))
     rows = ranked.crossJoin(F.broadcast(totals))  # one row on the right
     draws = F.col("_units") if size is None else F.lit(size).cast("long")
@@ -45,7 +50,8 @@ def entity_draws(
     Draw ``d`` is position ``d % pool`` of pass ``d // pool``. A pool larger than its quota is
     permuted once and cut, so only one pass of a hot entity is ordered.
     """
-    quotas = epoch_quotas(units, entity, epoch, size, slice_rows)
+    total = units.count()
+    quotas = epoch_quotas(units, entity, epoch, size, slice_rows, total)
     rows = units.select(entity, unit).join(quotas, entity)
     passes = rows.withColumn(
         "pass", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - 1) / F.col("pool"))))
@@ -53,8 +59,8 @@ def entity_draws(
     shuffled = passes.withColumn(
         "_hash", keyed_digest(ALGORITHM, seed, epoch, F.col(entity), F.col("pass"), F.col(unit))
     )
-    largest = quotas.agg(F.max("pool")).first()[0]
-    ranked = Ordering(shuffled, [entity, "pass"], ["_hash", unit], slice_rows, largest).rank("_rank")
+    # No pool exceeds the unit table, so a small table needs no further count.
+    ranked = Ordering(shuffled, [entity, "pass"], ["_hash", unit], slice_rows, total).rank("_rank")
     draw = F.col("pass") * F.col("pool") + F.col("_rank")
     return ranked.withColumn("draw", draw).where(F.col("draw") < F.col("quota")).select(
         entity, unit, "pass", "draw"
@@ -73,7 +79,8 @@ def balanced_epoch(
     mixed = draws.withColumn(
         "_mix", keyed_digest(ALGORITHM, seed, epoch, "order", F.col(entity), F.col("draw"))
     )
-    return rank(mixed, [], ["_mix", entity, "draw"], "position", slice_rows).drop("_mix")
+    draws_made = units.count() if size is None else size
+    return rank(mixed, [], ["_mix", entity, "draw"], "position", slice_rows, draws_made).drop("_mix")
 
 
 def epoch_report(epoch: DataFrame, units: DataFrame, entity: str, unit: str) -> DataFrame:

@@ -95,6 +95,6 @@ def probe_rows(df: DataFrame, order: list[str], k: int, slice_rows: int = SLICE_
     from gaugework.functions.keys import probe_positions
 
     n = df.count()
-    ranked = rank(df, [], order, "position", slice_rows, known_largest=n)
+    ranked = rank(df, [], order, "position", slice_rows, bound=n)
     wanted = probe_positions(F.lit(n), k)
     return ranked.where(F.array_contains(wanted, F.col("position").cast("int")))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gaugework.functions.directions import is_improvement, metric_direction
-from gaugework.operators.ordering import quantiles
+from gaugework.operators.ordering import SLICE_ROWS, quantiles
 
 
 def entity_means(
@@ -58,9 +58,22 @@ def to_long(wide: DataFrame, keep: list[str], columns: dict[str, str]) -> DataFr
 
 
 def describe(
-    long: DataFrame, group: list[str], value: str = "value", bounded: bool = False
+    long: DataFrame, group: list[str], value: str = "value", bound: int | None = None
 ) -> DataFrame:
-    """count, mean, sample SD (null below two rows), median, min and max per group."""
+    """count, mean, sample SD (null below two rows), median, min and max per group.
+
+    ``bound``: rows no group can exceed, if known (see :class:`~gaugework.operators.ordering.Ordering`).
+    With a small bound the median joins the other aggregates in one pass.
+    """
+    if bound is not None and bound <= SLICE_ROWS:
+        return long.groupBy(*group).agg(
+            F.count(value).alias("n"),
+            F.avg(value).alias("mean"),
+            F.stddev_samp(value).alias("std"),
+            F.percentile(value, 0.5).alias("median"),
+            F.min(value).alias("min"),
+            F.max(value).alias("max"),
+        )
     moments = long.groupBy(*group).agg(
         F.count(value).alias("n"),
         F.avg(value).alias("mean"),
@@ -68,17 +81,19 @@ def describe(
         F.min(value).alias("min"),
         F.max(value).alias("max"),
     )
-    middle = quantiles(long, group, value, [0.5], "_q", bounded=bounded).select(
+    middle = quantiles(long, group, value, [0.5], "_q", bound=bound).select(
         *group, F.get("_q", F.lit(0)).alias("median")
     )
     joined = moments.join(middle, group, "left") if group else moments.crossJoin(middle)
     return joined.select(*group, "n", "mean", "std", "median", "min", "max")
 
 
-def describe_entities(entities: DataFrame, metrics: list[str], by: list[str] = ()) -> DataFrame:
+def describe_entities(
+    entities: DataFrame, metrics: list[str], by: list[str] = (), bound: int | None = None
+) -> DataFrame:
     """The primary result: :func:`describe` over the entity means, one row per metric."""
     long = to_long(entities, list(by), {f"mean_{m}": m for m in metrics})
-    return describe(long, [*by, "metric"])
+    return describe(long, [*by, "metric"], bound=bound)
 
 
 def pooled_mean(units: DataFrame, metrics: list[str]) -> DataFrame:
@@ -119,23 +134,36 @@ def delta_columns(metrics: list[str]) -> dict[str, str]:
 
 
 def paired_delta_summary(
-    pairs: DataFrame, metrics: list[str], lower: tuple[str, ...], higher: tuple[str, ...]
+    pairs: DataFrame,
+    metrics: list[str],
+    lower: tuple[str, ...],
+    higher: tuple[str, ...],
+    bound: int | None = None,
 ) -> DataFrame:
     """Distribution of the per-entity deltas and direction-aware counts, one row per metric."""
     long = to_long(pairs, [], delta_columns(metrics)).withColumn(
         "direction", metric_direction(F.col("metric"), lower, higher)
     )
     better = is_improvement(F.col("direction"), F.col("value"))
-    counts = long.groupBy("metric", "direction").agg(
+    columns = ["metric", "direction", "n", "mean", "std", "median", "min", "max", "improved", "worsened", "tied"]
+    counts = [
         F.count_if(better).alias("improved"),
         F.count_if(~better & (F.col("value") != 0)).alias("worsened"),
         F.count_if(F.col("value") == 0).alias("tied"),
-    )
-    spread = describe(long, ["metric"])
-    return counts.join(spread, "metric").select(
-        "metric", "direction", "n", "mean", "std", "median", "min", "max",
-        "improved", "worsened", "tied",
-    )
+    ]
+    keys = ["metric", "direction"]
+    if bound is not None and bound <= SLICE_ROWS:
+        return long.groupBy(*keys).agg(
+            *counts,
+            F.count("value").alias("n"),
+            F.avg("value").alias("mean"),
+            F.stddev_samp("value").alias("std"),
+            F.percentile("value", 0.5).alias("median"),
+            F.min("value").alias("min"),
+            F.max("value").alias("max"),
+        ).select(*columns)
+    spread = describe(long, ["metric"], bound=bound)
+    return long.groupBy(*keys).agg(*counts).join(spread, "metric").select(*columns)
 
 
 def verdicts(summary: DataFrame) -> DataFrame:
@@ -176,10 +204,10 @@ def linearity_check(pairs: DataFrame, metrics: list[str], tolerance: float = 1e-
     )
 
 
-def coverage_summary(units: DataFrame, fractions: list[str]) -> DataFrame:
+def coverage_summary(units: DataFrame, fractions: list[str], bound: int | None = None) -> DataFrame:
     """min, median, max and zero count of coverage fractions, one row per column."""
     long = to_long(units, [], {c: c for c in fractions})
-    out = describe(long, ["metric"])
+    out = describe(long, ["metric"], bound=bound)
     zeros = long.groupBy("metric").agg(F.count_if(F.col("value") == 0).alias("zero"))
     return out.join(zeros, "metric").select("metric", "n", "min", "median", "max", "zero")
 

@@ -23,7 +23,14 @@ def _customers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _split(spark: SparkSession, d: str) -> DataFrame:
-    return splits.group_split(_customers(spark, d), "c_custkey", "segment", "weight", SIZES, SEGMENTS)
+    entities = _customers(spark, d)
+    return splits.group_split(
+        entities, "c_custkey", "segment", "weight", SIZES, SEGMENTS, bound=_entity_count(spark, d)
+    )
+
+
+def _entity_count(spark: SparkSession, d: str) -> int:
+    return table(spark, d, "customer").count()
 
 
 _ENTITIES = """
@@ -91,7 +98,7 @@ SELECT partition, count(*) AS entities, sum(weight)::BIGINT AS units, min(weight
        quantile_cont(weight, 0.5) AS median_units FROM dealt GROUP BY partition""",
 )
 def split_report(spark: SparkSession, d: str) -> DataFrame:
-    return splits.split_report(_split(spark, d), "partition", "segment", "weight", [*SEGMENTS, "MACHINERY"])
+    return splits.split_report(_split(spark, d), "partition", "segment", "weight", [*SEGMENTS, "MACHINERY"], _entity_count(spark, d))
 
 
 _CHECKS = [
@@ -162,7 +169,7 @@ kept AS (SELECT user_id, event_id, pass, draw FROM drawn WHERE draw < quota)"""
 
 @query("epoch_quotas", f"WITH {_QUOTAS} SELECT user_id, pool, entity_index, quota FROM quo")
 def epoch_quotas(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.epoch_quotas(_pools(spark, d), "user_id", EPOCH)
+    return sampling.epoch_quotas(_pools(spark, d), "user_id", EPOCH, bound=_pools(spark, d).count())
 
 
 @query(

@@ -153,12 +153,13 @@ def method_comparison(spark: SparkSession, d: str) -> DataFrame:
     entities = stats.entity_means(scored, ["method", "label"], ["mae", "psnr"]).withColumn(
         "entity", F.col("label")
     )
+    bound = table(spark, d, "embeddings").count()
     # One entity table per method; all of them come from the one scored frame.
     reference = entities.where("method = 'none'").drop("method")
     parts = []
     for name in ("shrink", "stretch"):
         pairs = strict_pairs(entities.where(F.col("method") == name).drop("method"), reference, "entity", ["mae", "psnr"])
-        parts.append(stats.paired_delta_summary(pairs, ["mae", "psnr"], ("mae",), ("psnr",)).withColumn("method", F.lit(name)))
+        parts.append(stats.paired_delta_summary(pairs, ["mae", "psnr"], ("mae",), ("psnr",), bound).withColumn("method", F.lit(name)))
     out = parts[0].unionByName(parts[1])
     return out.select(
         "method", "metric", F.col("n").alias("entities"), r("mean").alias("mean_delta"), "improved", "worsened"
@@ -181,7 +182,9 @@ def change_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     units = _noisy(spark, d).select(
         "vec_id", "given", F.transform("given", lambda v: F.lit(1.5) * v - F.lit(0.25)).alias("raw")
     )
-    out = scoring.change_summary(scoring.change_diagnostics(units, "given", "raw"))
+    out = scoring.change_summary(
+        scoring.change_diagnostics(units, "given", "raw"), bound=table(spark, d, "embeddings").count()
+    )
     return rounded(out, [c for c in out.columns if c not in ("units", "cells")], 8)
 
 

@@ -20,6 +20,11 @@ def _line_units(spark: SparkSession, d: str, flag: str | None = None) -> DataFra
     return rows.select("l_suppkey", *[F.col(c).alias(m) for m, c in LINE_METRICS.items()])
 
 
+def _suppliers(spark: SparkSession, d: str) -> int:
+    """Rows of the supplier table (a footer count): no per-supplier table can be longer."""
+    return table(spark, d, "supplier").count()
+
+
 _SUPPLIER_MEANS = """
 SELECT l_suppkey, count(*) AS unit_count, avg(l_quantity) AS quantity, avg(l_extendedprice) AS price,
        avg(l_discount) AS discount, avg(l_tax) AS tax
@@ -37,7 +42,7 @@ FROM long GROUP BY metric""",
 )
 def entity_weighted(spark: SparkSession, d: str) -> DataFrame:
     entities = stats.entity_means(_line_units(spark, d), "l_suppkey", METRICS)
-    out = stats.describe_entities(entities, METRICS)
+    out = stats.describe_entities(entities, METRICS, bound=_suppliers(spark, d))
     return rounded(out, ["mean", "std", "median", "min", "max"])
 
 
@@ -152,7 +157,7 @@ SELECT metric, direction, count(*) AS n, round(avg(value), 6) AS mean, round(std
 FROM long GROUP BY metric, direction""",
 )
 def paired_summary(spark: SparkSession, d: str) -> DataFrame:
-    out = stats.paired_delta_summary(_pairs(spark, d), METRICS, LOWER, HIGHER)
+    out = stats.paired_delta_summary(_pairs(spark, d), METRICS, LOWER, HIGHER, _suppliers(spark, d))
     return rounded(out, ["mean", "std", "median", "min", "max"])
 
 
@@ -164,7 +169,7 @@ SELECT metric, direction, round(value, 6) AS mean_delta, {_BETTER} AS beats_base
        count_if({_BETTER}) OVER () AS metrics_improved, count(*) OVER () AS metrics_total FROM s""",
 )
 def verdicts(spark: SparkSession, d: str) -> DataFrame:
-    summary = stats.paired_delta_summary(_pairs(spark, d), METRICS, LOWER, HIGHER)
+    summary = stats.paired_delta_summary(_pairs(spark, d), METRICS, LOWER, HIGHER, _suppliers(spark, d))
     return rounded(stats.verdicts(summary), ["mean_delta"])
 
 
@@ -401,7 +406,8 @@ def coverage_summary(spark: SparkSession, d: str) -> DataFrame:
     units = table(spark, d, "lineitem").groupBy("l_suppkey").agg(
         fraction(F.col("l_discount") > 0.05).alias("discounted"), fraction(F.col("l_quantity") > 49).alias("bulky")
     )
-    return rounded(stats.coverage_summary(units, ["discounted", "bulky"]), ["min", "median", "max"])
+    out = stats.coverage_summary(units, ["discounted", "bulky"], _suppliers(spark, d))
+    return rounded(out, ["min", "median", "max"])
 
 
 @query(
