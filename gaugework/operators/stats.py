@@ -7,7 +7,7 @@ partial aggregates, so a hot entity is combined on the map side; medians go thro
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from gaugework.functions.directions import is_improvement, metric_direction
 from gaugework.operators.ordering import SLICE_ROWS, quantiles
@@ -174,10 +174,10 @@ def verdicts(summary: DataFrame) -> DataFrame:
         F.col("mean").alias("mean_delta"),
         is_improvement(F.col("direction"), F.col("mean")).alias("beats_baseline"),
     )
-    tally = flagged.agg(
-        F.count_if("beats_baseline").alias("metrics_improved"), F.count("*").alias("metrics_total")
-    )
-    return flagged.crossJoin(F.broadcast(tally))  # one row on the right
+    everything = Window.partitionBy(F.lit(0))  # one row per metric
+    return flagged.withColumn(
+        "metrics_improved", F.count_if("beats_baseline").over(everything)
+    ).withColumn("metrics_total", F.count("*").over(everything))
 
 
 def linearity_check(pairs: DataFrame, metrics: list[str], tolerance: float = 1e-9) -> DataFrame:

@@ -151,7 +151,12 @@ def quantiles(spark: SparkSession, d: str) -> DataFrame:
 
 _LATENCY = """l AS (SELECT event_type, count(*) AS samples, avg(value) AS mean, stddev_samp(value) AS sd,
   quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, min(value) AS min, max(value) AS max
-  FROM events GROUP BY event_type)"""
+  FROM events WHERE value > 0 GROUP BY event_type)"""
+
+
+def _samples(spark: SparkSession, d: str) -> DataFrame:
+    """Event values as latency samples; a zero is no measurement and would fail the gate."""
+    return table(spark, d, "events").where("value > 0").select("event_type", "value")
 
 
 @query(
@@ -160,7 +165,7 @@ _LATENCY = """l AS (SELECT event_type, count(*) AS samples, avg(value) AS mean,
     round(p95, 6) AS p95, min, max FROM l""",
 )
 def latency_summary(spark: SparkSession, d: str) -> DataFrame:
-    out = profile.latency_summary(table(spark, d, "events"), "event_type", "value")
+    out = profile.latency_summary(_samples(spark, d), "event_type", "value")
     return rounded(out, ["mean", "sd", "p50", "p95"])
 
 
@@ -170,7 +175,7 @@ def latency_summary(spark: SparkSession, d: str) -> DataFrame:
 FROM l a, l b WHERE a.event_type = 'view' AND b.event_type = 'click'""",
 )
 def latency_ratios(spark: SparkSession, d: str) -> DataFrame:
-    summary = profile.latency_summary(table(spark, d, "events"), "event_type", "value")
+    summary = profile.latency_summary(_samples(spark, d), "event_type", "value")
     return rounded(profile.latency_ratios(summary, "event_type", "view", "click"), ["ratio_p50", "ratio_mean"])
 
 
