@@ -7,6 +7,10 @@ task orders one slice, and a small table of slice totals carries ranks, running
 previous rows across the cuts. Slice limits are plain values inside the plan, so a task
 that is run again after an executor loss gives the same rows the same slice.
 
+The slice totals and the rows are computed separately. Where an order value is itself a
+floating-point aggregate, whose last digits depend on the order of summation, pass
+``materialize=True``: the sliced plan then reads one checkpointed copy on both sides.
+
 ``order`` columns must be ascending and, together, unique within a group.
 """
 
@@ -16,6 +20,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gaugework.session import ensure_checkpoint_dir
+
 #: Rows of one group a single task may order.
 SLICE_ROWS = 1_000_000
 #: Upper bound on slices, hence on the size of the broadcast slice limits.
@@ -47,6 +53,7 @@ class Ordering:
         order: list[str],
         slice_rows: int = SLICE_ROWS,
         bound: int | None = None,
+        materialize: bool = False,
     ) -> None:
         """``bound``: a number of rows no group can exceed, where the caller has one for free
         (the rows of a base table, say). A small bound saves counting ``df`` itself."""
@@ -55,19 +62,25 @@ class Ordering:
         self.group = list(group) or ["_all"]
         self.order = list(order)
         small = bound is not None and bound <= slice_rows
-        self.bounds = None if small else self._slice_bounds(slice_rows)
+        size = None if small else self._total(slice_rows)
+        if size is not None and materialize:
+            ensure_checkpoint_dir(self.df.sparkSession)
+            self.df = self.df.checkpoint()
+        self.bounds = None if size is None else self._slice_bounds(size, slice_rows)
         self.rows = self._sliced()
 
     @property
     def is_sliced(self) -> bool:
         return self.bounds is not None
 
-    def _slice_bounds(self, slice_rows: int) -> DataFrame | None:
+    def _total(self, slice_rows: int) -> int | None:
+        """Rows of the table when they are too many for one task."""
+        total = self.df.count()
+        return total if total > slice_rows else None
+
+    def _slice_bounds(self, total: int, slice_rows: int) -> DataFrame | None:
         """Order values at which to cut each large group, or None when no group is large."""
         df, spark = self.df, self.df.sparkSession
-        total = df.count()
-        if total <= slice_rows:
-            return None
         step = max(slice_rows, -(-total // (MAX_SLICES // 2)))
         sizes = df.groupBy(*self.group).agg(F.count("*").alias("_n"))
         # At most total / step groups can be that large, so at most MAX_SLICES / 2.
@@ -99,7 +112,9 @@ class Ordering:
                 F.get(F.col("_cuts"), low + step - 1) <= here, low + step
             ).otherwise(low),
         )
-        return joined.withColumn("_slice", position).drop("_cuts")
+        # Named explicitly: rows that arrive hashed on the group alone (after a join, say) would
+        # satisfy the window and leave a large group in one task.
+        return joined.withColumn("_slice", position).drop("_cuts").repartition(*self.group, "_slice")
 
     def _window(self):
         return Window.partitionBy(*self.group, "_slice").orderBy(*self.order)
@@ -121,7 +136,7 @@ class Ordering:
     def _earlier(self, per_slice: DataFrame) -> DataFrame:
         w = Window.partitionBy(*self.group).orderBy("_slice")
         return per_slice.withColumn(
-            "_before", F.sum("_here").over(w.rowsBetween(Window.unboundedPreceding, -1))
+            "_carried_sum", F.sum("_here").over(w.rowsBetween(Window.unboundedPreceding, -1))
         )
 
     def rank(self, name: str = "rank") -> DataFrame:
@@ -130,9 +145,9 @@ class Ordering:
         if not self.is_sliced:
             return self._finish(rows)
         per_slice = self.rows.groupBy(*self.group, "_slice").agg(F.count("*").alias("_here"))
-        rows = self._attach(rows, self._earlier(per_slice), ["_before"])
+        rows = self._attach(rows, self._earlier(per_slice), ["_carried_sum"])
         return self._finish(
-            rows.withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_before")
+            rows.withColumn(name, F.col(name) + F.coalesce("_carried_sum", F.lit(0))).drop("_carried_sum")
         )
 
     def running_sum(self, value: str, name: str) -> DataFrame:
@@ -142,10 +157,34 @@ class Ordering:
         if not self.is_sliced:
             return self._finish(rows)
         per_slice = self.rows.groupBy(*self.group, "_slice").agg(F.sum(value).alias("_here"))
-        rows = self._attach(rows, self._earlier(per_slice), ["_before"])
+        rows = self._attach(rows, self._earlier(per_slice), ["_carried_sum"])
         return self._finish(
-            rows.withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_before")
+            rows.withColumn(name, F.col(name) + F.coalesce("_carried_sum", F.lit(0))).drop("_carried_sum")
+        )
+
+    def with_group_total(self, value: str, running: str, total: str) -> DataFrame:
+        """:meth:`running_sum` as ``running``, beside the sum over the whole group as ``total``."""
+        w = self._window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        whole = Window.partitionBy(*self.group, "_slice")
+        rows = self.rows.select(
+            "*", F.sum(value).over(w).alias(running), F.sum(value).over(whole).alias(total)
+        )
+        if not self.is_sliced:
+            return self._finish(rows)
+        per_slice = self.rows.groupBy(*self.group, "_slice").agg(F.sum(value).alias("_here"))
+        rows = self._attach(rows, self._earlier(per_slice), ["_carried_sum"])
+        rows = rows.withColumn(running, F.col(running) + F.coalesce("_carried_sum", F.lit(0))).drop("_carried_sum")
+        # Totals of the sliced groups only; every other group lies in one slice.
+        named = self.bounds.select(*[f"_g{i}" for i in range(len(self.group))])
+        pairs = [(g, f"_g{i}") for i, g in enumerate(self.group)]
+        sums = (
+            per_slice.join(F.broadcast(named), _null_safe(per_slice, named, pairs), "left_semi")
+            .groupBy(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(self.group)])
+            .agg(F.sum("_here").alias("_sum"))
         )
+        rows = rows.join(F.broadcast(sums), _null_safe(rows, sums, pairs), "left")
+        rows = rows.withColumn(total, F.coalesce("_sum", total)).drop("_sum", *[b for _, b in pairs])
+        return self._finish(rows)
 
     def previous(self, columns: list[str], prefix: str = "prev_") -> DataFrame:
         """Values of the row before, null for the first row of a group."""
@@ -158,13 +197,13 @@ class Ordering:
             F.max_by(F.struct(*columns), F.struct(*self.order)).alias("_last")
         )
         across = Window.partitionBy(*self.group).orderBy("_slice")
-        carried = last.withColumn("_tail", F.lag("_last").over(across))
-        rows = self._attach(rows, carried, ["_tail"])
+        carried = last.withColumn("_carried_row", F.lag("_last").over(across))
+        rows = self._attach(rows, carried, ["_carried_row"])
         for c in columns:
             rows = rows.withColumn(
-                prefix + c, F.when(F.col("_first"), F.col("_tail")[c]).otherwise(F.col(prefix + c))
+                prefix + c, F.when(F.col("_first"), F.col("_carried_row")[c]).otherwise(F.col(prefix + c))
             )
-        return self._finish(rows.drop("_first", "_tail"))
+        return self._finish(rows.drop("_first", "_carried_row"))
 
     def previous_max(self, value: str, name: str) -> DataFrame:
         """Largest ``value`` on any earlier row of the group, null for the first row."""
@@ -175,10 +214,10 @@ class Ordering:
         top = self.rows.groupBy(*self.group, "_slice").agg(F.max(value).alias("_top"))
         across = Window.partitionBy(*self.group).orderBy("_slice")
         carried = top.withColumn(
-            "_peak", F.max("_top").over(across.rowsBetween(Window.unboundedPreceding, -1))
+            "_carried_peak", F.max("_top").over(across.rowsBetween(Window.unboundedPreceding, -1))
         )
-        rows = self._attach(rows, carried, ["_peak"])
-        return self._finish(rows.withColumn(name, F.greatest(name, "_peak")).drop("_peak"))
+        rows = self._attach(rows, carried, ["_carried_peak"])
+        return self._finish(rows.withColumn(name, F.greatest(name, "_carried_peak")).drop("_carried_peak"))
 
 
 def rank(
@@ -201,6 +240,7 @@ def quantiles(
     name: str = "quantiles",
     slice_rows: int = SLICE_ROWS,
     bound: int | None = None,
+    materialize: bool = False,
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles per group as an array column.
 
@@ -216,13 +256,8 @@ def quantiles(
     base = data if group else data.withColumn("_all", F.lit(0))
     keys = list(group) or ["_all"]
     counts = base.groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    running = Ordering(counts, keys, [value], slice_rows).running_sum("_c", "_upto")
-    totals = base.groupBy(*keys).agg(F.count("*").alias("_total")).select(
-        *[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)], "_total"
-    )
-    joined = running.join(
-        totals, _null_safe(running, totals, [(k, f"_t{i}") for i, k in enumerate(keys)])
-    ).drop(*[f"_t{i}" for i in range(len(keys))])
+    ordering = Ordering(counts, keys, [value], slice_rows, materialize=materialize)
+    joined = ordering.with_group_total("_c", "_upto", "_total")
     before = F.col("_upto") - F.col("_c")
 
     def picked(position: Column) -> Column:

@@ -216,7 +216,7 @@ def change_summary(
         F.max("raw_max").alias("raw_max"),
     )
     per_unit = diagnostics.select(*by, (F.col("sum_raw") / F.col("cells")).alias("_change"))
-    points = quantiles(per_unit, list(by), "_change", list(probs), "_q", slice_rows, bound)
+    points = quantiles(per_unit, list(by), "_change", list(probs), "_q", slice_rows, bound, materialize=True)
     joined = pooled.join(points, list(by), "left") if by else pooled.crossJoin(points)
     names = [F.get("_q", F.lit(i)).alias(f"unit_change_q{int(p * 100):02d}") for i, p in enumerate(probs)]
     return joined.select(*pooled.columns, *names)

@@ -38,7 +38,8 @@ def rank_candidates(
     """
     repeats = candidates.groupBy(*parameters).agg(F.count("*").alias("_copies"), *[F.any_value(c).alias(c) for c in candidates.columns if c not in parameters])
     keyed = repeats.select("*", *[(-F.col(m)).alias(f"_neg_{m}") for m in metrics])
-    ranked = rank(keyed, [], [*[f"_neg_{m}" for m in metrics], *parameters], "_rank", slice_rows)
+    order = [*[f"_neg_{m}" for m in metrics], *parameters]
+    ranked = Ordering(keyed, [], order, slice_rows, materialize=True).rank("_rank")
     place = F.when(F.col("_copies") == 1, F.col("_rank") + 1).otherwise(
         F.raise_error(F.lit("a parameter set is repeated"))
     )

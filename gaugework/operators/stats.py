@@ -81,7 +81,7 @@ def describe(
         F.min(value).alias("min"),
         F.max(value).alias("max"),
     )
-    middle = quantiles(long, group, value, [0.5], "_q", bound=bound).select(
+    middle = quantiles(long, group, value, [0.5], "_q", bound=bound, materialize=True).select(
         *group, F.get("_q", F.lit(0)).alias("median")
     )
     joined = moments.join(middle, group, "left") if group else moments.crossJoin(middle)

@@ -53,16 +53,33 @@ SELECT o_custkey, c_mktsegment AS segment, count(*) AS unit_count, round(avg(o_t
 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL""",
 )
 def entity_table(spark: SparkSession, d: str) -> DataFrame:
-    units = joins.inherit(
-        table(spark, d, "orders").select(F.col("o_custkey"), F.col("o_totalprice").alias("price")),
-        table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment")),
-        "o_custkey",
-        ["segment"],
+    # Combined per customer first, so the join never sees the orders of a hot customer.
+    units = table(spark, d, "orders").select("o_custkey", F.col("o_totalprice").alias("price"))
+    segments = table(spark, d, "customer").select(
+        F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment")
     )
-    out = stats.entity_means(units, "o_custkey", ["price"], ["segment"])
+    out = joins.inherit(stats.entity_means(units, "o_custkey", ["price"]), segments, "o_custkey", ["segment"])
     return out.withColumn("mean_price", untied("mean_price"))
 
 
+@query(
+    "constant_carry",
+    """
+SELECT l_orderkey, l_linestatus, count(*) AS unit_count, round(avg(l_quantity) + 1e-7, 4) AS mean_quantity
+FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_linestatus) > 1)
+GROUP BY ALL""",
+)
+def constant_carry(spark: SparkSession, d: str) -> DataFrame:
+    """Orders whose lines agree on their status, with the status carried to the order."""
+    from gaugework.operators.constraints import inconsistent_groups
+
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linestatus", F.col("l_quantity").alias("quantity"))
+    mixed = inconsistent_groups(lines, ["l_orderkey"], ["l_linestatus"])
+    sound = joins.orphans(lines, mixed, "l_orderkey")
+    out = stats.entity_means(sound, "l_orderkey", ["quantity"], ["l_linestatus"])
+    return out.withColumn("mean_quantity", untied("mean_quantity", 4))
+
+
 @query(
     "pooled_mean",
     """
