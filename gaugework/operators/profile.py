@@ -143,8 +143,8 @@ def quantile_rows(df: DataFrame, group: list[str], value: str, probs: list[float
     labels = F.array(*[F.lit(float(p)) for p in probs])
     return out.select(
         *group,
-        F.explode(F.zip_with(labels, "_q", lambda p, v: F.struct(p.alias("q"), v.alias("value")))).alias("r"),
-    ).select(*group, "r.q", "r.value")
+        F.explode(F.zip_with(labels, "_q", lambda p, v: F.struct(p.alias("q"), v.alias("value")))).alias("_r"),
+    ).select(*group, "_r.q", "_r.value")
 
 
 def latency_summary(

@@ -84,12 +84,12 @@ def score_methods(
     rows = units.select(
         *kept,
         array_digest(given, F.size(given).cast("string")).alias("input_digest"),
-        F.explode(restored).alias("r"),
-    )
-    error = array_error(F.col(reference), F.col("r.restored"), F.col(mask) if mask else None)
-    return rows.select(*keep, "input_digest", F.col("r.method").alias("method"), error.alias("e")).select(
-        *keep, "method", "input_digest", "e.n", "e.mae", "e.mse", "e.psnr"
+        F.explode(restored).alias("_scored"),
     )
+    error = array_error(F.col(reference), F.col("_scored.restored"), F.col(mask) if mask else None)
+    return rows.select(
+        *keep, "input_digest", F.col("_scored.method").alias("method"), error.alias("_error")
+    ).select(*keep, "method", "input_digest", "_error.n", "_error.mae", "_error.mse", "_error.psnr")
 
 
 def score_functions(
@@ -147,8 +147,8 @@ def score_functions(
     metrics = grids.unit_metrics(
         F.col(reference), F.col("restored"), F.col(body), F.col(height), F.col(width), window, sigma
     )
-    return rows.select(*keep, "method", "input_digest", metrics.alias("m")).select(
-        *keep, "method", "input_digest", "m.*"
+    return rows.select(*keep, "method", "input_digest", metrics.alias("_metrics")).select(
+        *keep, "method", "input_digest", "_metrics.*"
     )
 
 
