@@ -91,6 +91,24 @@ def rows(df: DataFrame, good: dict[str, Column], key: str | None = None) -> Data
     return one.select(F.explode(stacked).alias("r")).select("r.*")
 
 
+def from_counts(df: DataFrame, bad: dict[str, Column]) -> DataFrame:
+    """A report from aggregates that each count something bad, all in one pass."""
+    names = list(bad)
+    one = df.agg(*[F.coalesce(bad[n], F.lit(0)).cast("long").alias(f"_n{i}") for i, n in enumerate(names)])
+    stacked = F.array(
+        *[
+            F.struct(
+                F.lit(n).alias("check"),
+                (F.col(f"_n{i}") == 0).alias("passed"),
+                F.col(f"_n{i}").alias("n_bad"),
+                F.lit("").alias("detail"),
+            )
+            for i, n in enumerate(names)
+        ]
+    )
+    return one.select(F.explode(stacked).alias("r")).select("r.*")
+
+
 def not_empty(df: DataFrame, check: str = "not empty") -> DataFrame:
     return _report(df.limit(1).agg((1 - F.count("*")).alias("n_bad")), check)
 

@@ -69,16 +69,7 @@ def _pair_fault(must_match: list[str]) -> Column:
     )
 
 
-def strict_pairs(
-    method: DataFrame,
-    baseline: DataFrame,
-    key: str,
-    metrics: list[str],
-    must_match: list[str] = ("unit_count",),
-) -> DataFrame:
-    """``baseline_x, method_x, delta_x`` per entity; anything short of 1:1 fails the job."""
-    must_match = list(must_match)
-    joined = _full_pairs(method, baseline, key, metrics, must_match)
+def _checked_pairs(joined: DataFrame, key: str, metrics: list[str], must_match: list[str]) -> DataFrame:
     fault = _pair_fault(must_match)
     message = F.concat(F.lit("not paired: "), F.col(key).cast("string"), F.lit(" "), fault)
     columns = []
@@ -91,6 +82,44 @@ def strict_pairs(
     )
 
 
+def strict_pairs_of(
+    entities: DataFrame,
+    key: str,
+    method: str,
+    name: str,
+    baseline: str,
+    metrics: list[str],
+    must_match: list[str] = ("unit_count",),
+) -> DataFrame:
+    """:func:`strict_pairs` of two methods held in one table with a ``method`` column.
+
+    Both sides come from one pass; the same faults fail the job.
+    """
+    columns = [*must_match, *[f"mean_{m}" for m in metrics]]
+    sides = {"m": F.col(method) == name, "b": F.col(method) == baseline}
+    both = entities.where(F.col(method).isin(name, baseline)).groupBy(key).agg(
+        *[F.nullif(F.count_if(is_side), F.lit(0)).alias(f"_{s}_n") for s, is_side in sides.items()],
+        *[
+            F.max(F.when(is_side, F.col(c))).alias(f"_{s}_{c}")
+            for s, is_side in sides.items()
+            for c in columns
+        ],
+    )
+    return _checked_pairs(both, key, metrics, list(must_match))
+
+
+def strict_pairs(
+    method: DataFrame,
+    baseline: DataFrame,
+    key: str,
+    metrics: list[str],
+    must_match: list[str] = ("unit_count",),
+) -> DataFrame:
+    """``baseline_x, method_x, delta_x`` per entity; anything short of 1:1 fails the job."""
+    must_match = list(must_match)
+    return _checked_pairs(_full_pairs(method, baseline, key, metrics, must_match), key, metrics, must_match)
+
+
 def pairing_report(
     method: DataFrame,
     baseline: DataFrame,

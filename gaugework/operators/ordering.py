@@ -278,20 +278,46 @@ def quantiles(
     return out if group else out.drop("_all")
 
 
+def aggregate_with_quantiles(
+    df: DataFrame,
+    group: list[str],
+    aggregates: list[Column],
+    value: str,
+    probs: list[float],
+    name: str = "quantiles",
+    slice_rows: int = SLICE_ROWS,
+    bound: int | None = None,
+    materialize: bool = False,
+) -> DataFrame:
+    """Aggregates and exact quantiles of ``value`` per group: one pass while groups are small."""
+    if bound is None or bound > slice_rows:
+        bound = largest_group(df, group, slice_rows)
+    if bound <= slice_rows:
+        return df.groupBy(*group).agg(*aggregates, F.percentile(value, probs).alias(name))
+    keyed = df if group else df.withColumn("_all", F.lit(0))
+    keys = list(group) or ["_all"]
+    points = quantiles(keyed, keys, value, probs, name, slice_rows, bound, materialize)
+    facts = keyed.groupBy(*keys).agg(*aggregates)
+    cond = _null_safe(facts, points, [(k, k) for k in keys])
+    joined = facts.join(points, cond, "left").drop(*[points[k] for k in keys])
+    return joined if group else joined.drop("_all")
+
+
 def sequence_digest(
     df: DataFrame,
     order: list[str],
     key: str,
     block: int = 4096,
     slice_rows: int = SLICE_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
-    """One row with ``rows`` and the ``digest`` of the keys in order.
+    """One row with ``rows`` (counted unless given) and the ``digest`` of the keys in order.
 
     Up to ``block`` keys the digest is SHA-256 over the keys, each followed by the separator.
     Longer sequences are hashed block by block and the block digests are hashed the same
     way, level by level, so no task sees more than one block at a time.
     """
-    rows = df.count()
+    rows = df.count() if rows is None else rows
     ranked = rank(df.select(*dict.fromkeys([*order, key])), [], order, "_pos", slice_rows, rows)
     level = ranked.select(F.col("_pos"), F.col(key).cast("string").alias("_text"))
 

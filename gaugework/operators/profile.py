@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gaugework.functions.values import is_finite
-from gaugework.operators.ordering import SLICE_ROWS, Ordering, largest_group, quantiles
+from gaugework.operators.ordering import (
+    SLICE_ROWS,
+    Ordering,
+    aggregate_with_quantiles,
+    largest_group,
+    quantiles,
+)
 
 
 def series_rollup(
@@ -123,13 +129,16 @@ def histogram(df: DataFrame, value: str, bins: int, low: float = 0.0, high: floa
 
 def histogram_quantile(counts: DataFrame, bins: int, probs: list[float], low: float = 0.0, high: float = 1.0) -> DataFrame:
     """Centre of the first bin whose running count reaches ``q * n``; at most ``bins`` rows in."""
-    w = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    running = counts.groupBy("bin").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(w))
-    total = counts.agg(F.sum("n").alias("total"))
-    wanted = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("q")
+    one = Window.partitionBy(F.lit(0))
+    upto = F.sum("n").over(one.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    running = counts.groupBy("bin").agg(F.sum("n").alias("n")).select(
+        "bin",
+        upto.alias("upto"),
+        F.sum("n").over(one).alias("total"),
+    )
+    wanted = F.explode(F.array(*[F.lit(float(p)) for p in probs]))
     return (
-        running.crossJoin(F.broadcast(total))  # one row on the right
-        .select("bin", "upto", "total", wanted)
+        running.withColumn("q", wanted)
         .where(F.col("upto") >= F.col("q") * F.col("total"))
         .groupBy("q")
         .agg(F.min("bin").alias("bin"))
@@ -148,18 +157,26 @@ def quantile_rows(df: DataFrame, group: list[str], value: str, probs: list[float
 
 
 def latency_summary(
-    df: DataFrame, group: str, value: str, expected: int | None = None, slice_rows: int = SLICE_ROWS
+    df: DataFrame,
+    group: str,
+    value: str,
+    expected: int | None = None,
+    slice_rows: int = SLICE_ROWS,
+    bound: int | None = None,
 ) -> DataFrame:
     """mean, SD, p50, p95, min, max per group. Every sample must be finite and positive, and
     with ``expected`` the sample count must be exact; otherwise the job fails."""
     x = F.col(value)
-    stats = df.groupBy(group).agg(
+    aggregates = [
         F.count("*").alias("samples"),
         F.count_if(~(is_finite(x) & (x > 0))).alias("_bad"),
         F.avg(x).alias("mean"),
         F.stddev_samp(x).alias("sd"),
         F.min(x).alias("min"),
         F.max(x).alias("max"),
+    ]
+    stats = aggregate_with_quantiles(
+        df, [group], aggregates, value, [0.5, 0.95], "_q", slice_rows, bound
     )
     wrong = F.col("_bad") > 0
     if expected is not None:
@@ -167,8 +184,7 @@ def latency_summary(
     checked = F.when(~wrong, F.col("samples")).otherwise(
         F.raise_error(F.concat(F.lit("unusable samples of "), F.col(group)))
     )
-    points = quantiles(df, [group], value, [0.5, 0.95], "_q", slice_rows)
-    return stats.join(points, group, "left").select(
+    return stats.select(
         group,
         checked.alias("samples"),
         "mean",
@@ -228,25 +244,28 @@ def gap_report(
     ).previous([position, file, instance])
     step = F.abs(F.col(position) - F.col(f"prev_{position}"))
     rows = rows.withColumn("_step", step)
-    facts = rows.groupBy(entity).agg(
+    def in_order(prev: Column, here: Column) -> Column:
+        return F.coalesce(F.bool_and(prev <= here), F.lit(True))
+
+    aggregates = [
         F.count("*").alias("units"),
         F.min(position).alias("min_position"),
         F.max(position).alias("max_position"),
         F.min("_step").alias("min_step"),
         F.max("_step").alias("max_step"),
         F.count_if(F.col("_step") == 0).alias("duplicate_positions"),
-        F.coalesce(F.bool_and(F.col(f"prev_{file}") <= F.col(file)), F.lit(True)).alias("file_order_matches"),
-        F.coalesce(F.bool_and(F.col(f"prev_{instance}") <= F.col(instance)), F.lit(True)).alias("instance_order_matches"),
-        F.coalesce(F.bool_and(F.col(f"prev_{instance}") >= F.col(instance)), F.lit(True)).alias("reversed_instance_matches"),
-    )
-    middle = quantiles(rows, [entity], "_step", [0.5], "_q", slice_rows, largest).select(
-        entity, F.get("_q", F.lit(0)).alias("median_step")
-    )
+        in_order(F.col(f"prev_{file}"), F.col(file)).alias("file_order_matches"),
+        in_order(F.col(f"prev_{instance}"), F.col(instance)).alias("instance_order_matches"),
+        in_order(F.col(instance), F.col(f"prev_{instance}")).alias("reversed_instance_matches"),
+    ]
+    facts = aggregate_with_quantiles(
+        rows, [entity], aggregates, "_step", [0.5], "_q", slice_rows, largest
+    ).withColumn("median_step", F.get("_q", F.lit(0))).drop("_q")
     near = F.lit(tolerance) + F.lit(relative) * F.abs("median_step")
     uniform = (F.abs(F.col("min_step") - F.col("median_step")) <= near) & (
         F.abs(F.col("max_step") - F.col("median_step")) <= near
     )
-    return facts.join(middle, entity, "left").withColumn("uniform_spacing", uniform)
+    return facts.withColumn("uniform_spacing", uniform)
 
 
 def entity_index(units: DataFrame, entity: str, slice_rows: int = SLICE_ROWS) -> DataFrame:

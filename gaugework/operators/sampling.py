@@ -17,29 +17,33 @@ def epoch_quotas(
     epoch: int,
     size: int | None = None,
     slice_rows: int = SLICE_ROWS,
-    bound: int | None = None,
 ) -> DataFrame:
     """Draws per entity: equal shares, the remainder rotating through the natural order.
 
     Columns ``entity, pool, entity_index, quota``. An epoch smaller than the number of
-    entities fails the job.
+    entities is refused.
     """
     if epoch < 0:
         raise ValueError(f"epoch must not be negative, got {epoch}")
     pools = units.groupBy(entity).agg(F.count("*").alias("pool"))
+    n, draws = _epoch_shape(pools, size)
     keyed = pools.withColumn("_natural", natural_key(entity))
-    ranked = rank(keyed, [], ["_natural", entity], "entity_index", slice_rows, bound).drop("_natural")
-    totals = pools.agg(F.count("*").alias("_n"), F.sum("pool").alias("_units"))
-    rows = ranked.crossJoin(F.broadcast(totals))  # one row on the right
-    draws = F.col("_units") if size is None else F.lit(size).cast("long")
-    n = F.col("_n")
-    left = F.pmod(draws, n)
-    start = F.pmod(F.lit(epoch) * left, n)
-    extra = F.pmod(F.col("entity_index") - start, n) < left
-    quota = F.when(draws >= n, F.floor(draws / n) + extra.cast("long")).otherwise(
-        F.raise_error(F.lit("the epoch is smaller than the number of entities"))
+    ranked = rank(keyed, [], ["_natural", entity], "entity_index", slice_rows, n).drop("_natural")
+    share, left = divmod(draws, n)
+    start = (epoch * left) % n
+    extra = F.pmod(F.col("entity_index") - F.lit(start), F.lit(n)) < left
+    return ranked.select(
+        entity, "pool", "entity_index", (F.lit(share).cast("long") + extra.cast("long")).alias("quota")
     )
-    return rows.select(entity, "pool", "entity_index", quota.alias("quota"))
+
+
+def _epoch_shape(pools: DataFrame, size: int | None) -> tuple[int, int]:
+    """Entities and draws of an epoch."""
+    row = pools.agg(F.count("*").alias("n"), F.sum("pool").alias("units")).first()
+    draws = row["units"] if size is None else size
+    if not row["n"] or draws < row["n"]:
+        raise ValueError(f"an epoch of {draws} draws is smaller than the number of entities {row['n']}")
+    return row["n"], draws
 
 
 def entity_draws(
@@ -51,7 +55,7 @@ def entity_draws(
     permuted once and cut, so only one pass of a hot entity is ordered.
     """
     total = units.count()
-    quotas = epoch_quotas(units, entity, epoch, size, slice_rows, total)
+    quotas = epoch_quotas(units, entity, epoch, size, slice_rows)
     rows = units.select(entity, unit).join(quotas, entity)
     passes = rows.withColumn(
         "pass", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - 1) / F.col("pool"))))
@@ -94,10 +98,9 @@ def epoch_report(epoch: DataFrame, units: DataFrame, entity: str, unit: str) ->
         F.max("draws").alias("max_draws"),
         F.sum("unique").alias("unique_units"),
     ).withColumn("repeats", F.col("draws") - F.col("unique_units"))
-    total = units.agg(F.count("*").alias("_units"))
-    return counts.crossJoin(F.broadcast(total)).select(  # one row on both sides
+    return counts.select(
         "draws", "entities", "min_draws", "max_draws", "unique_units", "repeats",
-        (F.col("_units") - F.col("unique_units")).alias("undrawn"),
+        (F.lit(units.count()) - F.col("unique_units")).alias("undrawn"),
     )
 
 
@@ -112,18 +115,17 @@ def rotation_totals(units: DataFrame, entity: str, epochs: int, size: int | None
 
     Closed form: no epoch is drawn.
     """
-    base = epoch_quotas(units, entity, 0, size)
-    totals = units.agg(F.count("*").alias("_units"), F.count_distinct(entity).alias("_n"))
-    rows = base.crossJoin(F.broadcast(totals))  # one row on the right
-    draws = F.col("_units") if size is None else F.lit(size).cast("long")
-    n, left = F.col("_n"), F.pmod(draws, F.col("_n"))
+    pools = units.groupBy(entity).agg(F.count("*").alias("pool"))
+    n, draws = _epoch_shape(pools, size)
+    share, left = divmod(draws, n)
     extras = F.aggregate(
-        F.sequence(F.lit(0), F.lit(epochs - 1)),
+        F.array(*[F.lit((e * left) % n) for e in range(epochs)]),
         F.lit(0).cast("long"),
-        lambda acc, e: acc + (F.pmod(F.col("entity_index") - F.pmod(e * left, n), n) < left).cast("long"),
+        lambda acc, start: acc
+        + (F.pmod(F.col("entity_index") - start, F.lit(n)) < left).cast("long"),
     )
-    return rows.select(
-        entity, extras.alias("extra_draws"), (F.lit(epochs) * F.floor(draws / n) + extras).alias("total_draws")
+    return epoch_quotas(units, entity, 0, size).select(
+        entity, extras.alias("extra_draws"), (F.lit(epochs * share) + extras).alias("total_draws")
     )
 
 
@@ -133,9 +135,11 @@ def epoch_audit(
     """Constraint report: same inputs repeat the sequence, other epochs and seeds change it,
     and the shortest pool is fully covered before any repeat."""
 
+    draws_made = units.count() if size is None else size
+
     def digest(s: int, e: int) -> str:
         drawn = balanced_epoch(units, entity, unit, s, e, size)
-        return sequence_digest(drawn, ["position"], unit).first()["digest"]
+        return sequence_digest(drawn, ["position"], unit, rows=draws_made).first()["digest"]
 
     spark, base = units.sparkSession, digest(seed, epoch)
     results = [

@@ -12,7 +12,7 @@ from gaugework.functions.arrays import array_error
 from gaugework.functions.keys import array_digest
 from gaugework.functions.values import affine_rescale, window_normalize
 from gaugework.operators import grids
-from gaugework.operators.ordering import SLICE_ROWS, quantiles
+from gaugework.operators.ordering import SLICE_ROWS, aggregate_with_quantiles
 
 
 def prepare_unit(
@@ -204,7 +204,7 @@ def change_summary(
 ) -> DataFrame:
     """Pooled fractions and mean changes, with quantiles of the per-unit raw change."""
     cells = F.sum("cells")
-    pooled = diagnostics.groupBy(*by).agg(
+    aggregates = [
         F.count("*").alias("units"),
         cells.alias("cells"),
         (F.sum("below") / cells).alias("fraction_below"),
@@ -214,9 +214,10 @@ def change_summary(
         (F.sum("sum_kept") / cells).alias("mean_kept_change"),
         F.min("raw_min").alias("raw_min"),
         F.max("raw_max").alias("raw_max"),
+    ]
+    per_unit = diagnostics.withColumn("_change", F.col("sum_raw") / F.col("cells"))
+    out = aggregate_with_quantiles(
+        per_unit, list(by), aggregates, "_change", list(probs), "_q", slice_rows, bound
     )
-    per_unit = diagnostics.select(*by, (F.col("sum_raw") / F.col("cells")).alias("_change"))
-    points = quantiles(per_unit, list(by), "_change", list(probs), "_q", slice_rows, bound, materialize=True)
-    joined = pooled.join(points, list(by), "left") if by else pooled.crossJoin(points)
-    names = [F.get("_q", F.lit(i)).alias(f"unit_change_q{int(p * 100):02d}") for i, p in enumerate(probs)]
-    return joined.select(*pooled.columns, *names)
+    names = [f"unit_change_q{int(p * 100):02d}" for p in probs]
+    return out.select("*", *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(names)]).drop("_q")

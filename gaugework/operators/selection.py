@@ -10,10 +10,16 @@ from gaugework.operators.ordering import SLICE_ROWS, Ordering, rank
 
 
 def positional_index(
-    units: DataFrame, entity: str, position: str, key: str, name: str = "index", slice_rows: int = SLICE_ROWS
+    units: DataFrame,
+    entity: str,
+    position: str,
+    key: str,
+    name: str = "index",
+    slice_rows: int = SLICE_ROWS,
+    bound: int | None = None,
 ) -> DataFrame:
     """0-based rank inside the entity by position; equal positions fall back to the key."""
-    return rank(units, [entity], [position, key], name, slice_rows)
+    return rank(units, [entity], [position, key], name, slice_rows, bound)
 
 
 def middle_pick(
@@ -25,7 +31,7 @@ def middle_pick(
         F.min_by(F.struct(entity, "_n"), F.struct(natural_key(entity), F.col(entity))).alias("_f")
     ).select(*group, F.col(f"_f.{entity}").alias(entity), F.col("_f._n").alias("_n"))
     rows = units.join(first, [*group, entity])
-    ranked = rank(rows, group, [position, key], "_rank", slice_rows)
+    ranked = rank(rows, group, [position, key], "_rank", slice_rows, units.count())
     return ranked.where(F.col("_rank") == F.floor(F.col("_n") / 2)).drop("_rank", "_n")
 
 

@@ -7,10 +7,10 @@ partial aggregates, so a hot entity is combined on the map side; medians go thro
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gaugework.functions.directions import is_improvement, metric_direction
-from gaugework.operators.ordering import SLICE_ROWS, quantiles
+from gaugework.operators.ordering import aggregate_with_quantiles
 
 
 def entity_means(
@@ -57,35 +57,34 @@ def to_long(wide: DataFrame, keep: list[str], columns: dict[str, str]) -> DataFr
     return named.unpivot(keep, list(columns.values()), "metric", "value")
 
 
-def describe(
-    long: DataFrame, group: list[str], value: str = "value", bound: int | None = None
-) -> DataFrame:
-    """count, mean, sample SD (null below two rows), median, min and max per group.
+_SPREAD = ["n", "mean", "std", "median", "min", "max"]
 
-    ``bound``: rows no group can exceed, if known (see :class:`~gaugework.operators.ordering.Ordering`).
-    With a small bound the median joins the other aggregates in one pass.
-    """
-    if bound is not None and bound <= SLICE_ROWS:
-        return long.groupBy(*group).agg(
-            F.count(value).alias("n"),
-            F.avg(value).alias("mean"),
-            F.stddev_samp(value).alias("std"),
-            F.percentile(value, 0.5).alias("median"),
-            F.min(value).alias("min"),
-            F.max(value).alias("max"),
-        )
-    moments = long.groupBy(*group).agg(
+
+def _spread(
+    long: DataFrame, group: list[str], value: str, bound: int | None, extra: list[Column] = ()
+) -> DataFrame:
+    aggregates = [
         F.count(value).alias("n"),
         F.avg(value).alias("mean"),
         F.stddev_samp(value).alias("std"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
+        *extra,
+    ]
+    out = aggregate_with_quantiles(
+        long, group, aggregates, value, [0.5], "_q", bound=bound, materialize=True
     )
-    middle = quantiles(long, group, value, [0.5], "_q", bound=bound, materialize=True).select(
-        *group, F.get("_q", F.lit(0)).alias("median")
-    )
-    joined = moments.join(middle, group, "left") if group else moments.crossJoin(middle)
-    return joined.select(*group, "n", "mean", "std", "median", "min", "max")
+    return out.withColumn("median", F.get("_q", F.lit(0))).drop("_q")
+
+
+def describe(
+    long: DataFrame, group: list[str], value: str = "value", bound: int | None = None
+) -> DataFrame:
+    """count, mean, sample SD (null below two rows), median, min and max per group.
+
+    ``bound``: rows no group can exceed, if known (see :class:`~gaugework.operators.ordering.Ordering`).
+    """
+    return _spread(long, group, value, bound).select(*group, *_SPREAD)
 
 
 def describe_entities(
@@ -145,25 +144,14 @@ def paired_delta_summary(
         "direction", metric_direction(F.col("metric"), lower, higher)
     )
     better = is_improvement(F.col("direction"), F.col("value"))
-    columns = ["metric", "direction", "n", "mean", "std", "median", "min", "max", "improved", "worsened", "tied"]
     counts = [
         F.count_if(better).alias("improved"),
         F.count_if(~better & (F.col("value") != 0)).alias("worsened"),
         F.count_if(F.col("value") == 0).alias("tied"),
     ]
-    keys = ["metric", "direction"]
-    if bound is not None and bound <= SLICE_ROWS:
-        return long.groupBy(*keys).agg(
-            *counts,
-            F.count("value").alias("n"),
-            F.avg("value").alias("mean"),
-            F.stddev_samp("value").alias("std"),
-            F.percentile("value", 0.5).alias("median"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-        ).select(*columns)
-    spread = describe(long, ["metric"], bound=bound)
-    return long.groupBy(*keys).agg(*counts).join(spread, "metric").select(*columns)
+    return _spread(long, ["metric", "direction"], "value", bound, counts).select(
+        "metric", "direction", *_SPREAD, "improved", "worsened", "tied"
+    )
 
 
 def verdicts(summary: DataFrame) -> DataFrame:
@@ -207,9 +195,10 @@ def linearity_check(pairs: DataFrame, metrics: list[str], tolerance: float = 1e-
 def coverage_summary(units: DataFrame, fractions: list[str], bound: int | None = None) -> DataFrame:
     """min, median, max and zero count of coverage fractions, one row per column."""
     long = to_long(units, [], {c: c for c in fractions})
-    out = describe(long, ["metric"], bound=bound)
-    zeros = long.groupBy("metric").agg(F.count_if(F.col("value") == 0).alias("zero"))
-    return out.join(zeros, "metric").select("metric", "n", "min", "median", "max", "zero")
+    zero = F.count_if(F.col("value") == 0).alias("zero")
+    return _spread(long, ["metric"], "value", bound, [zero]).select(
+        "metric", "n", "min", "median", "max", "zero"
+    )
 
 
 def group_composition(entities: DataFrame, partition: str, stratum: str) -> DataFrame:

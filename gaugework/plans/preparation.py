@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gaugework.operators import joins, sampling, selection, splits
 from gaugework.plans.registry import digest_sql, natural_sql, query, rounded, table
@@ -127,8 +127,8 @@ def balanced_split(spark: SparkSession, d: str) -> DataFrame:
     even = splits.balance_evaluation(_split(spark, d), "c_custkey", "segment", "weight")
     signed = F.when(F.col("partition") == "validation", F.col("weight")).when(F.col("partition") == "test", -F.col("weight"))
     counts = even.groupBy("partition", "segment").agg(F.count("*").alias("entities"), F.sum(signed).alias("_d"))
-    gap = counts.agg((F.abs(F.sum("_d")) <= 1).alias("evened"))
-    return counts.drop("_d").crossJoin(F.broadcast(gap))  # one row on the right
+    everything = Window.partitionBy(F.lit(0))  # one row per (partition, segment)
+    return counts.withColumn("evened", F.abs(F.sum("_d").over(everything)) <= 1).drop("_d")
 
 
 @query(
@@ -141,7 +141,7 @@ def inherit_attributes(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     entities = _split(spark, d).select(F.col("c_custkey").alias("o_custkey"), "partition", "segment")
     units = joins.inherit(orders, entities, "o_custkey", ["partition", "segment"])
-    out = selection.positional_index(units, "o_custkey", "o_orderdate", "o_orderkey")
+    out = selection.positional_index(units, "o_custkey", "o_orderdate", "o_orderkey", bound=orders.count())
     return out.drop("o_orderdate")
 
 
@@ -169,7 +169,7 @@ kept AS (SELECT user_id, event_id, pass, draw FROM drawn WHERE draw < quota)"""
 
 @query("epoch_quotas", f"WITH {_QUOTAS} SELECT user_id, pool, entity_index, quota FROM quo")
 def epoch_quotas(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.epoch_quotas(_pools(spark, d), "user_id", EPOCH, bound=_pools(spark, d).count())
+    return sampling.epoch_quotas(_pools(spark, d), "user_id", EPOCH)
 
 
 @query(

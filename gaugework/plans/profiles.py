@@ -165,7 +165,9 @@ def _samples(spark: SparkSession, d: str) -> DataFrame:
     round(p95, 6) AS p95, min, max FROM l""",
 )
 def latency_summary(spark: SparkSession, d: str) -> DataFrame:
-    out = profile.latency_summary(_samples(spark, d), "event_type", "value")
+    out = profile.latency_summary(
+        _samples(spark, d), "event_type", "value", bound=table(spark, d, "events").count()
+    )
     return rounded(out, ["mean", "sd", "p50", "p95"])
 
 
@@ -175,7 +177,9 @@ def latency_summary(spark: SparkSession, d: str) -> DataFrame:
 FROM l a, l b WHERE a.event_type = 'view' AND b.event_type = 'click'""",
 )
 def latency_ratios(spark: SparkSession, d: str) -> DataFrame:
-    summary = profile.latency_summary(_samples(spark, d), "event_type", "value")
+    summary = profile.latency_summary(
+        _samples(spark, d), "event_type", "value", bound=table(spark, d, "events").count()
+    )
     return rounded(profile.latency_ratios(summary, "event_type", "view", "click"), ["ratio_p50", "ratio_mean"])
 
 

@@ -147,19 +147,16 @@ SELECT method, metric, count(*) AS entities, round(avg(value), 6) AS mean_delta,
 )
 def method_comparison(spark: SparkSession, d: str) -> DataFrame:
     """Score, average per entity, pair strictly with the unchanged input, count directions."""
-    from gaugework.operators.joins import strict_pairs
+    from gaugework.operators.joins import strict_pairs_of
 
     scored = scoring.score_methods(_noisy(spark, d), ["vec_id", "label"], "given", "ref", METHODS)
-    entities = stats.entity_means(scored, ["method", "label"], ["mae", "psnr"]).withColumn(
-        "entity", F.col("label")
-    )
+    entities = stats.entity_means(scored, ["method", "label"], ["mae", "psnr"])
     bound = table(spark, d, "embeddings").count()
-    # One entity table per method; all of them come from the one scored frame.
-    reference = entities.where("method = 'none'").drop("method")
     parts = []
     for name in ("shrink", "stretch"):
-        pairs = strict_pairs(entities.where(F.col("method") == name).drop("method"), reference, "entity", ["mae", "psnr"])
-        parts.append(stats.paired_delta_summary(pairs, ["mae", "psnr"], ("mae",), ("psnr",), bound).withColumn("method", F.lit(name)))
+        pairs = strict_pairs_of(entities, "label", "method", name, "none", ["mae", "psnr"])
+        summary = stats.paired_delta_summary(pairs, ["mae", "psnr"], ("mae",), ("psnr",), bound)
+        parts.append(summary.withColumn("method", F.lit(name)))
     out = parts[0].unionByName(parts[1])
     return out.select(
         "method", "metric", F.col("n").alias("entities"), r("mean").alias("mean_delta"), "improved", "worsened"

@@ -13,11 +13,8 @@ METRICS = list(LINE_METRICS)
 HIGHER, LOWER = ("quantity", "price"), ("discount", "tax")
 
 
-def _line_units(spark: SparkSession, d: str, flag: str | None = None) -> DataFrame:
-    rows = table(spark, d, "lineitem")
-    if flag:
-        rows = rows.where(F.col("l_returnflag") == flag)
-    return rows.select("l_suppkey", *[F.col(c).alias(m) for m, c in LINE_METRICS.items()])
+def _line_units(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_suppkey", *[F.col(c).alias(m) for m, c in LINE_METRICS.items()])
 
 
 def _suppliers(spark: SparkSession, d: str) -> int:
@@ -128,12 +125,12 @@ def stratum_breakdown(spark: SparkSession, d: str) -> DataFrame:
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     """Returned against accepted lines, per supplier, matched on the supplier's nation."""
     nations = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-
-    def side(flag: str) -> DataFrame:
-        means = stats.entity_means(_line_units(spark, d, flag), "l_suppkey", METRICS)
-        return joins.inherit(means, nations, "l_suppkey", ["s_nationkey"])
-
-    return joins.strict_pairs(side("R"), side("A"), "l_suppkey", METRICS, ["s_nationkey"])
+    units = table(spark, d, "lineitem").where(F.col("l_returnflag").isin("R", "A")).select(
+        "l_suppkey", "l_returnflag", *[F.col(c).alias(m) for m, c in LINE_METRICS.items()]
+    )
+    means = stats.entity_means(units, ["l_suppkey", "l_returnflag"], METRICS)
+    labelled = joins.inherit(means, nations, "l_suppkey", ["s_nationkey"])
+    return joins.strict_pairs_of(labelled, "l_suppkey", "l_returnflag", "R", "A", METRICS, ["s_nationkey"])
 
 
 _PAIRS = f"""
