@@ -9,6 +9,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from gaugework.local import local_rows
 
 REPORT_SCHEMA = T.StructType(
     [
@@ -51,9 +52,8 @@ def require(report: DataFrame) -> None:
 def required_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     """Schema check; reads no data."""
     missing = [c for c in columns if c not in df.columns]
-    return df.sparkSession.createDataFrame(
-        [("required columns", not missing, len(missing), ",".join(missing))], REPORT_SCHEMA
-    )
+    row = ("required columns", not missing, len(missing), ",".join(missing))
+    return local_rows(df.sparkSession, [row], REPORT_SCHEMA)
 
 
 def projection(df: DataFrame, allow: list[str], deny: list[str] = ()) -> DataFrame:
@@ -146,7 +146,7 @@ def expected_counts(
     """Exact rows per group and in total; groups that are missing or unplanned count as bad."""
     wanted = F.create_map(*[F.lit(x) for kv in expected.items() for x in kv])
     counts = df.groupBy(F.col(group).cast("string").alias("_g")).agg(F.count("*").alias("_n"))
-    plan = df.sparkSession.createDataFrame([(k,) for k in expected], "_g string")
+    plan = local_rows(df.sparkSession, [(k,) for k in expected], "_g string")
     both = counts.join(plan.withColumn("_planned", F.lit(True)), "_g", "full_outer").select(
         F.coalesce("_n", F.lit(0)).alias("_n"), F.get(F.array(wanted[F.col("_g")]), F.lit(0)).alias("_w")
     )
@@ -269,4 +269,4 @@ def clashing_entities(pooled: DataFrame, entity: str, source: str = "source") ->
 
 
 def empty_report(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], REPORT_SCHEMA)
+    return local_rows(spark, [], REPORT_SCHEMA)

@@ -295,23 +295,25 @@ def clip_limited_equalize(
     evenly, the first bins taking the remainder, and the running count is scaled to
     ``bins - 1``. The lookup is joined on (group, bin), which spreads a hot group over its bins.
     """
-    counts = df.groupBy(*group, F.col(bin_column).alias("_bin")).agg(F.count("*").alias("_c"))
-    every = counts.groupBy(*group).agg(F.sum("_c").alias("_n")).withColumn(
-        "_bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))
+    cells = df.groupBy(*group, F.col(bin_column).alias("_bin")).agg(F.count("*").alias("_c"))
+    # One histogram per group: at most ``bins`` entries.
+    packed = cells.groupBy(*group).agg(
+        F.sum("_c").alias("_n"), F.map_from_entries(F.collect_list(F.struct("_bin", "_c"))).alias("_h")
     )
     limit = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(float(clip)) * F.col("_n") / F.lit(bins)))
-    # At most ``bins`` rows per group from here on.
-    full = every.join(counts, [*group, "_bin"], "left").withColumn("_c", F.coalesce("_c", F.lit(0)))
-    w_all = Window.partitionBy(*group)
-    excess = F.sum(F.greatest(F.col("_c") - limit, F.lit(0))).over(w_all)
-    spread = full.withColumn("_excess", excess).withColumn(
-        "_flat",
-        F.least(F.col("_c"), limit)
+    zero = F.lit(0).cast("long")
+    excess = F.aggregate(F.map_values("_h"), zero, lambda s, c: s + F.greatest(c - limit, zero))
+    filled = packed.select(*group, "_n", "_h", limit.alias("_limit"), excess.alias("_excess")).select(
+        *group, "_n", "_h", "_limit", "_excess", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("_bin")
+    )
+    flat = (
+        F.least(F.coalesce(F.try_element_at("_h", "_bin"), zero), F.col("_limit"))
         + F.floor(F.col("_excess") / F.lit(bins))
-        + (F.col("_bin") < F.pmod(F.col("_excess"), F.lit(bins))).cast("long"),
+        + (F.col("_bin") < F.pmod(F.col("_excess"), F.lit(bins))).cast("long")
     )
+    # Still hashed by group: this window sorts ``bins`` rows per group without a shuffle.
     w = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    lut = spread.select(
+    lut = filled.withColumn("_flat", flat).select(
         *group,
         F.col("_bin").alias(bin_column),
         F.least(
@@ -319,3 +321,26 @@ def clip_limited_equalize(
         ).alias(name),
     )
     return df.join(lut, [*group, bin_column], "left")
+
+
+def _standard_field(a: np.ndarray, sigma: float) -> np.ndarray:
+    """Smooth with reflected borders, then bring every grid to zero mean and unit spread."""
+    if sigma > 0:
+        # Fixed value: the window reaches four standard deviations.
+        r = int(4.0 * sigma + 0.5)
+        taps = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+        padded = np.pad(a, ((0, 0), (r, r), (r, r)), mode="symmetric")
+        a = _smooth(padded, taps / taps.sum())
+    a = a - a.mean(axis=(1, 2), keepdims=True)
+    spread = a.std(axis=(1, 2), keepdims=True)
+    # A constant grid has nothing to rescale.
+    return np.divide(a, spread, out=a, where=spread > 1e-12)
+
+
+def standard_field(values: Column, height: Column, width: Column, sigma: float) -> Column:
+    """Spatially correlated zero-mean, unit-spread field from independent values.
+
+    The rescaling keeps the amplitude apart from the correlation width; ``sigma`` 0 smooths
+    nothing.
+    """
+    return _grid_udf(lambda v: _standard_field(v, sigma), float, "array<double>")(values, height, width)

@@ -20,6 +20,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gaugework.local import pinned
 from gaugework.session import ensure_checkpoint_dir
 
 #: Rows of one group a single task may order.
@@ -80,11 +81,11 @@ class Ordering:
 
     def _slice_bounds(self, total: int, slice_rows: int) -> DataFrame | None:
         """Order values at which to cut each large group, or None when no group is large."""
-        df, spark = self.df, self.df.sparkSession
+        df = self.df
         step = max(slice_rows, -(-total // (MAX_SLICES // 2)))
         sizes = df.groupBy(*self.group).agg(F.count("*").alias("_n"))
         # At most total / step groups can be that large, so at most MAX_SLICES / 2.
-        large = spark.createDataFrame(sizes.where(F.col("_n") > step).collect(), sizes.schema)
+        large = pinned(sizes.where(F.col("_n") > step))
         if large.isEmpty():
             return None
         picked = df.where(F.pmod(F.xxhash64(*self.group, *self.order), F.lit(step)) == 0)
@@ -94,7 +95,7 @@ class Ordering:
         cuts = picked.groupBy(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(self.group)]).agg(
             F.array_sort(F.collect_set(F.struct(*self.order))).alias("_cuts")
         )
-        return spark.createDataFrame(cuts.collect(), cuts.schema)
+        return pinned(cuts)
 
     def _sliced(self) -> DataFrame:
         if self.bounds is None:
@@ -310,15 +311,21 @@ def sequence_digest(
     block: int = 4096,
     slice_rows: int = SLICE_ROWS,
     rows: int | None = None,
+    dense: bool = False,
 ) -> DataFrame:
     """One row with ``rows`` (counted unless given) and the ``digest`` of the keys in order.
 
     Up to ``block`` keys the digest is SHA-256 over the keys, each followed by the separator.
     Longer sequences are hashed block by block and the block digests are hashed the same
-    way, level by level, so no task sees more than one block at a time.
+    way, level by level, so no task sees more than one block at a time. ``dense`` states that
+    the single ``order`` column already holds the positions 0, 1, 2, …
     """
     rows = df.count() if rows is None else rows
-    ranked = rank(df.select(*dict.fromkeys([*order, key])), [], order, "_pos", slice_rows, rows)
+    columns = df.select(*dict.fromkeys([*order, key]))
+    if dense:
+        ranked = columns.withColumn("_pos", F.col(order[0]))
+    else:
+        ranked = rank(columns, [], order, "_pos", slice_rows, rows)
     level = ranked.select(F.col("_pos"), F.col(key).cast("string").alias("_text"))
 
     def fold(frame: DataFrame) -> DataFrame:

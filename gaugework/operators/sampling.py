@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gaugework.functions.keys import keyed_digest, natural_key
+from gaugework.local import local_rows
 from gaugework.operators import constraints
 from gaugework.operators.ordering import SLICE_ROWS, Ordering, rank, sequence_digest
 
@@ -139,7 +140,7 @@ def epoch_audit(
 
     def digest(s: int, e: int) -> str:
         drawn = balanced_epoch(units, entity, unit, s, e, size)
-        return sequence_digest(drawn, ["position"], unit, rows=draws_made).first()["digest"]
+        return sequence_digest(drawn, ["position"], unit, rows=draws_made, dense=True).first()["digest"]
 
     spark, base = units.sparkSession, digest(seed, epoch)
     results = [
@@ -153,6 +154,5 @@ def epoch_audit(
         F.count_distinct(unit).alias("covered"), F.count("*").alias("drawn")
     ).first()
     results.append(("first pass repeats nothing", first_pass["covered"] == first_pass["drawn"]))
-    return spark.createDataFrame(
-        [(name, bool(ok), 0 if ok else 1, "") for name, ok in results], constraints.REPORT_SCHEMA
-    )
+    rows = [(name, bool(ok), 0 if ok else 1, "") for name, ok in results]
+    return local_rows(spark, rows, constraints.REPORT_SCHEMA)

@@ -8,10 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from gaugework.functions.arrays import array_error
+from gaugework.functions.arrays import array_error, pair_fault
 from gaugework.functions.keys import array_digest
-from gaugework.functions.values import affine_rescale, window_normalize
+from gaugework.functions.values import affine_rescale, keyed_normal, signal_scale, window_normalize
 from gaugework.operators import grids
+from gaugework.operators.constraints import open_partition, projection
 from gaugework.operators.ordering import SLICE_ROWS, aggregate_with_quantiles
 
 
@@ -60,6 +61,76 @@ def _shrink_mask(mask: Column, h: Column, w: Column, factor: int) -> Column:
     )
 
 
+def degrade(
+    df: DataFrame,
+    clean: str,
+    height: str,
+    width: str,
+    fields: list[Column | str | int],
+    floor: float,
+    signal: float,
+    sigma: float = 0.0,
+    name: str = "degraded",
+    low: float = 0.0,
+    high: float = 1.0,
+) -> DataFrame:
+    """Add a keyed, optionally correlated corruption of every grid, clipped to the range.
+
+    A pure function of the clean values and ``fields`` (version, seed, row key): the same for
+    every method, order and layout.
+    """
+    white = F.transform(clean, lambda v, i: keyed_normal(*fields, i))
+    field = grids.standard_field(white, F.col(height), F.col(width), sigma)
+    noisy = F.zip_with(
+        clean,
+        "_field",
+        lambda v, z: F.least(F.greatest(v + signal_scale(v, floor, signal) * z, F.lit(low)), F.lit(high)),
+    )
+    return df.withColumn("_field", field).withColumn(name, noisy).drop("_field")
+
+
+#: The fields of a training pair, and names that must never be among them.
+PAIR_FIELDS = (
+    "degraded",
+    "clean",
+    "subject_id",
+    "sample_key",
+    "source_archive",
+    "acquisition_group",
+    "geometric_slice_index",
+)
+FORBIDDEN_PAIR_FIELDS = (
+    "body_mask",
+    "evaluation_mask",
+    "ssim_interior_mask",
+    "interior_mask",
+    "clean_hu",
+    "image_hu",
+    "segmentation",
+    "mask",
+    "split",
+    "dicom_path",
+    "absolute_path",
+    "series_instance_uid",
+    "study_instance_uid",
+    "sop_instance_uid",
+)
+
+
+def training_pairs(
+    units: DataFrame, partition: str, wanted: str, allowed: list[str], fields: tuple[str, ...] = PAIR_FIELDS
+) -> DataFrame:
+    """The supervised pairs of one open partition: exactly the pair fields, never resampled.
+
+    Both arrays must be finite and in range; a bad pair fails the job.
+    """
+    rows = open_partition(units, partition, wanted, allowed)
+    pairs = projection(rows, list(fields), list(FORBIDDEN_PAIR_FIELDS))
+    fault = pair_fault(F.col("clean"), F.col("degraded"))
+    message = F.concat(F.lit("unusable pair "), F.col("sample_key"), F.lit(": "), fault)
+    return pairs.where(F.when(fault.isNull(), F.lit(True)).otherwise(F.raise_error(message)))
+
+
 def score_methods(
     units: DataFrame,
     keep: list[str],
