@@ -14,6 +14,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from gaugework.operators.joins import lookup_join
+from gaugework.operators.ordering import SLICE_ROWS
+
 # The standard similarity constants and the default window.
 K1, K2 = 0.01, 0.03
 WINDOW, SIGMA = 11, 1.5
@@ -287,13 +290,19 @@ def explode_grid(df: DataFrame, key: list[str], values: str, width: str) -> Data
 
 
 def clip_limited_equalize(
-    df: DataFrame, group: list[str], bin_column: str, bins: int = 256, clip: float = 2.0, name: str = "equalized"
+    df: DataFrame,
+    group: list[str],
+    bin_column: str,
+    bins: int = 256,
+    clip: float = 2.0,
+    name: str = "equalized",
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Map quantised values through the clipped cumulative histogram of their group.
 
     Bins are capped at ``clip`` times the mean bin height (at least one), the excess is spread
     evenly, the first bins taking the remainder, and the running count is scaled to
-    ``bins - 1``. The lookup is joined on (group, bin), which spreads a hot group over its bins.
+    ``bins - 1``. The lookup is joined on (group, bin), and a hot cell is spread further.
     """
     cells = df.groupBy(*group, F.col(bin_column).alias("_bin")).agg(F.count("*").alias("_c"))
     # One histogram per group: at most ``bins`` entries.
@@ -320,7 +329,7 @@ def clip_limited_equalize(
             F.lit(bins - 1), F.rint(F.sum("_flat").over(w) * F.lit(float(bins - 1)) / F.col("_n")).cast("int")
         ).alias(name),
     )
-    return df.join(lut, [*group, bin_column], "left")
+    return lookup_join(df, lut, [*group, bin_column], "left", slice_rows)
 
 
 def _standard_field(a: np.ndarray, sigma: float) -> np.ndarray:

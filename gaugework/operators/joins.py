@@ -6,27 +6,62 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gaugework.operators.ordering import SLICE_ROWS, rank
+from gaugework.local import pinned
+from gaugework.operators.ordering import MAX_SLICES, SLICE_ROWS, rank
 
 
-def inherit(units: DataFrame, entities: DataFrame, entity: str, attributes: list[str]) -> DataFrame:
-    """Units with the attributes of their entity; a unit without entity fails the job.
+def lookup_join(
+    rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left", slice_rows: int = SLICE_ROWS
+) -> DataFrame:
+    """``rows`` with the columns of ``lookup`` (one row per key), also when a key is hot.
 
-    A left join without a hint: small entity tables are broadcast on their measured size,
-    large ones are merged, and adaptive execution splits the units of a hot entity.
+    A plain join without a hint while no key exceeds ``slice_rows``: small lookups are
+    broadcast on their measured size. Otherwise the rows of every hot key are spread over
+    parts by content and input split, and its lookup row is repeated once per part.
     """
+    total = rows.count()
+    if total <= slice_rows:
+        return rows.join(lookup, keys, how)
+    step = max(slice_rows, -(-total // MAX_SLICES))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    # At most total / step keys can be that large, so at most MAX_SLICES.
+    hot = pinned(
+        sizes.where(F.col("_n") > step).select(*keys, F.ceil(F.col("_n") / F.lit(step)).alias("_parts"))
+    )
+    if hot.isEmpty():
+        return rows.join(lookup, keys, how)
+    mixed = F.xxhash64(*rows.columns, F.spark_partition_id())
+    # A null key has no partner, so its rows may go anywhere.
+    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    part = F.when(no_key, F.pmod(mixed, F.lit(MAX_SLICES))).otherwise(
+        F.coalesce(F.pmod(mixed, F.col("_parts")), F.lit(0).cast("long"))
+    )
+    spread = rows.join(F.broadcast(hot), keys, "left").withColumn("_part", part).drop("_parts")
+    last = F.coalesce(F.col("_parts"), F.lit(1).cast("long")) - 1
+    repeated = lookup.join(F.broadcast(hot), keys, "left").withColumn(
+        "_part", F.explode(F.sequence(F.lit(0).cast("long"), last))
+    ).drop("_parts")
+    return spread.join(repeated, [*keys, "_part"], how).drop("_part")
+
+
+def inherit(
+    units: DataFrame, entities: DataFrame, entity: str, attributes: list[str], slice_rows: int = SLICE_ROWS
+) -> DataFrame:
+    """Units with the attributes of their entity; a unit without entity fails the job."""
     lookup = entities.select(entity, *attributes, F.lit(True).alias("_known"))
-    joined = units.join(lookup, entity, "left")
+    joined = lookup_join(units, lookup, [entity], "left", slice_rows)
     checked = F.when(F.col("_known"), F.col(attributes[0])).otherwise(
         F.raise_error(F.concat(F.lit("unit of unknown entity "), F.col(entity).cast("string")))
     )
     return joined.withColumn(attributes[0], checked).drop("_known")
 
 
-def inherited_mismatches(units: DataFrame, entities: DataFrame, entity: str, attribute: str) -> DataFrame:
+def inherited_mismatches(
+    units: DataFrame, entities: DataFrame, entity: str, attribute: str, slice_rows: int = SLICE_ROWS
+) -> DataFrame:
     """One row: units checked and units whose attribute differs from their entity's."""
     lookup = entities.select(entity, F.col(attribute).alias("_expected"))
-    return units.join(lookup, entity, "left").agg(
+    return lookup_join(units, lookup, [entity], "left", slice_rows).agg(
         F.count("*").alias("units"),
         F.count_if(~F.col(attribute).eqNullSafe(F.col("_expected"))).alias("mismatched"),
     )

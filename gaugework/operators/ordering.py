@@ -7,9 +7,10 @@ task orders one slice, and a small table of slice totals carries ranks, running
 previous rows across the cuts. Slice limits are plain values inside the plan, so a task
 that is run again after an executor loss gives the same rows the same slice.
 
-The slice totals and the rows are computed separately. Where an order value is itself a
-floating-point aggregate, whose last digits depend on the order of summation, pass
-``materialize=True``: the sliced plan then reads one checkpointed copy on both sides.
+The cuts, the slice totals and the rows are read separately. Pass ``materialize=True`` where
+the input is derived (joined, aggregated): a sliced plan then computes it once, into a
+checkpoint. That also settles order values that are floating-point aggregates, whose last
+digits depend on the order of summation.
 
 ``order`` columns must be ascending and, together, unique within a group.
 """
@@ -62,37 +63,41 @@ class Ordering:
         self.df = df if group else df.withColumn("_all", F.lit(0))
         self.group = list(group) or ["_all"]
         self.order = list(order)
-        small = bound is not None and bound <= slice_rows
-        size = None if small else self._total(slice_rows)
-        if size is not None and materialize:
-            ensure_checkpoint_dir(self.df.sparkSession)
-            self.df = self.df.checkpoint()
-        self.bounds = None if size is None else self._slice_bounds(size, slice_rows)
+        self.bounds = self._slice_bounds(slice_rows, bound, materialize)
         self.rows = self._sliced()
 
     @property
     def is_sliced(self) -> bool:
         return self.bounds is not None
 
-    def _total(self, slice_rows: int) -> int | None:
-        """Rows of the table when they are too many for one task."""
-        total = self.df.count()
-        return total if total > slice_rows else None
-
-    def _slice_bounds(self, total: int, slice_rows: int) -> DataFrame | None:
+    def _slice_bounds(
+        self, slice_rows: int, bound: int | None, materialize: bool
+    ) -> DataFrame | None:
         """Order values at which to cut each large group, or None when no group is large."""
-        df = self.df
-        step = max(slice_rows, -(-total // (MAX_SLICES // 2)))
-        sizes = df.groupBy(*self.group).agg(F.count("*").alias("_n"))
-        # At most total / step groups can be that large, so at most MAX_SLICES / 2.
-        large = pinned(sizes.where(F.col("_n") > step))
-        if large.isEmpty():
+        if bound is not None and bound <= slice_rows:
+            return None
+        total = self.df.count() if bound is None else None
+        if total is not None and total <= slice_rows:
             return None
+        if materialize:
+            ensure_checkpoint_dir(self.df.sparkSession)
+            self.df = self.df.checkpoint()
+        df, single = self.df, self.group == ["_all"]
+        if total is None:
+            total = bound if single else df.count()
+        step = max(slice_rows, -(-total // (MAX_SLICES // 2)))
+        names = [F.col(g).alias(f"_g{i}") for i, g in enumerate(self.group)]
         picked = df.where(F.pmod(F.xxhash64(*self.group, *self.order), F.lit(step)) == 0)
-        named = large.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(self.group)])
-        pairs = [(g, f"_g{i}") for i, g in enumerate(self.group)]
-        picked = picked.join(F.broadcast(named), _null_safe(picked, named, pairs), "left_semi")
-        cuts = picked.groupBy(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(self.group)]).agg(
+        if not single:
+            sizes = df.groupBy(*self.group).agg(F.count("*").alias("_n"))
+            # At most total / step groups can be that large, so at most MAX_SLICES / 2.
+            large = pinned(sizes.where(F.col("_n") > step))
+            if large.isEmpty():
+                return None
+            named = large.select(*names)
+            pairs = [(g, f"_g{i}") for i, g in enumerate(self.group)]
+            picked = picked.join(F.broadcast(named), _null_safe(picked, named, pairs), "left_semi")
+        cuts = picked.groupBy(*names).agg(
             F.array_sort(F.collect_set(F.struct(*self.order))).alias("_cuts")
         )
         return pinned(cuts)
@@ -228,9 +233,10 @@ def rank(
     name: str = "rank",
     slice_rows: int = SLICE_ROWS,
     bound: int | None = None,
+    materialize: bool = False,
 ) -> DataFrame:
     """0-based position within the group (or over the whole table for an empty group)."""
-    return Ordering(df, group, order, slice_rows, bound).rank(name)
+    return Ordering(df, group, order, slice_rows, bound, materialize).rank(name)
 
 
 def quantiles(
@@ -241,7 +247,6 @@ def quantiles(
     name: str = "quantiles",
     slice_rows: int = SLICE_ROWS,
     bound: int | None = None,
-    materialize: bool = False,
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles per group as an array column.
 
@@ -257,7 +262,7 @@ def quantiles(
     base = data if group else data.withColumn("_all", F.lit(0))
     keys = list(group) or ["_all"]
     counts = base.groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    ordering = Ordering(counts, keys, [value], slice_rows, materialize=materialize)
+    ordering = Ordering(counts, keys, [value], slice_rows, materialize=True)
     joined = ordering.with_group_total("_c", "_upto", "_total")
     before = F.col("_upto") - F.col("_c")
 
@@ -288,7 +293,6 @@ def aggregate_with_quantiles(
     name: str = "quantiles",
     slice_rows: int = SLICE_ROWS,
     bound: int | None = None,
-    materialize: bool = False,
 ) -> DataFrame:
     """Aggregates and exact quantiles of ``value`` per group: one pass while groups are small."""
     if bound is None or bound > slice_rows:
@@ -297,7 +301,7 @@ def aggregate_with_quantiles(
         return df.groupBy(*group).agg(*aggregates, F.percentile(value, probs).alias(name))
     keyed = df if group else df.withColumn("_all", F.lit(0))
     keys = list(group) or ["_all"]
-    points = quantiles(keyed, keys, value, probs, name, slice_rows, bound, materialize)
+    points = quantiles(keyed, keys, value, probs, name, slice_rows, bound)
     facts = keyed.groupBy(*keys).agg(*aggregates)
     cond = _null_safe(facts, points, [(k, k) for k in keys])
     joined = facts.join(points, cond, "left").drop(*[points[k] for k in keys])

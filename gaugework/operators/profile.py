@@ -275,4 +275,4 @@ def entity_index(units: DataFrame, entity: str, slice_rows: int = SLICE_ROWS) ->
 
     counts = units.groupBy(entity).agg(F.count("*").alias("units"))
     keyed = counts.withColumn("_natural", natural_key(entity))
-    return rank(keyed, [], ["_natural", entity], "entity_index", slice_rows, units.count()).drop("_natural")
+    return rank(keyed, [], ["_natural", entity], "entity_index", slice_rows, units.count(), materialize=True).drop("_natural")

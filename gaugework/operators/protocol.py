@@ -1,7 +1,8 @@
 """Whole evaluations composed from the operators: gates first, one scoring pass, then tables.
 
 The scored units are the only large intermediate. They are checkpointed once in the cluster's
-checkpoint folder, and every gate and table below reads that copy.
+checkpoint folder, and every gate reads that copy; the entity means are checkpointed likewise
+for the tables.
 """
 
 from __future__ import annotations
@@ -66,7 +67,8 @@ def score_gates(scored: DataFrame, units: DataFrame, study: Study) -> DataFrame:
 def result_tables(scored: DataFrame, study: Study, bound: int | None = None) -> dict[str, DataFrame]:
     """Entity means, primary and pooled results, strata, and paired deltas against the baseline."""
     metrics = list(study.metrics)
-    entities = stats.entity_means(scored, ["method", study.entity], metrics, [study.stratum])
+    ensure_checkpoint_dir(scored.sparkSession)
+    entities = stats.entity_means(scored, ["method", study.entity], metrics, [study.stratum]).checkpoint()
     pooled = scored.groupBy("method").agg(*[F.avg(m).alias(m) for m in metrics])
     tables = {
         "entities": entities,

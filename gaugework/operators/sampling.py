@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from gaugework.functions.keys import keyed_digest, natural_key
 from gaugework.local import local_rows
 from gaugework.operators import constraints
-from gaugework.operators.ordering import SLICE_ROWS, Ordering, rank, sequence_digest
+from gaugework.operators.joins import lookup_join
+from gaugework.operators.ordering import SLICE_ROWS, rank, sequence_digest
 
 ALGORITHM = "entity_balanced_v1"
 
@@ -29,7 +30,8 @@ def epoch_quotas(
     pools = units.groupBy(entity).agg(F.count("*").alias("pool"))
     n, draws = _epoch_shape(pools, size)
     keyed = pools.withColumn("_natural", natural_key(entity))
-    ranked = rank(keyed, [], ["_natural", entity], "entity_index", slice_rows, n).drop("_natural")
+    ranked = rank(keyed, [], ["_natural", entity], "entity_index", slice_rows, n, materialize=True)
+    ranked = ranked.drop("_natural")
     share, left = divmod(draws, n)
     start = (epoch * left) % n
     extra = F.pmod(F.col("entity_index") - F.lit(start), F.lit(n)) < left
@@ -55,17 +57,19 @@ def entity_draws(
     Draw ``d`` is position ``d % pool`` of pass ``d // pool``. A pool larger than its quota is
     permuted once and cut, so only one pass of a hot entity is ordered.
     """
-    total = units.count()
     quotas = epoch_quotas(units, entity, epoch, size, slice_rows)
-    rows = units.select(entity, unit).join(quotas, entity)
+    rows = lookup_join(units.select(entity, unit), quotas, [entity], "inner", slice_rows)
     passes = rows.withColumn(
         "pass", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - 1) / F.col("pool"))))
     )
     shuffled = passes.withColumn(
         "_hash", keyed_digest(ALGORITHM, seed, epoch, F.col(entity), F.col("pass"), F.col(unit))
     )
-    # No pool exceeds the unit table, so a small table needs no further count.
-    ranked = Ordering(shuffled, [entity, "pass"], ["_hash", unit], slice_rows, total).rank("_rank")
+    # A pass holds the whole pool once, so the largest pool bounds every group.
+    largest = units.count()
+    if largest > slice_rows:
+        largest = quotas.agg(F.max("pool")).first()[0]
+    ranked = rank(shuffled, [entity, "pass"], ["_hash", unit], "_rank", slice_rows, largest, materialize=True)
     draw = F.col("pass") * F.col("pool") + F.col("_rank")
     return ranked.withColumn("draw", draw).where(F.col("draw") < F.col("quota")).select(
         entity, unit, "pass", "draw"
@@ -85,7 +89,7 @@ def balanced_epoch(
         "_mix", keyed_digest(ALGORITHM, seed, epoch, "order", F.col(entity), F.col("draw"))
     )
     draws_made = units.count() if size is None else size
-    return rank(mixed, [], ["_mix", entity, "draw"], "position", slice_rows, draws_made).drop("_mix")
+    return rank(mixed, [], ["_mix", entity, "draw"], "position", slice_rows, draws_made, materialize=True).drop("_mix")
 
 
 def epoch_report(epoch: DataFrame, units: DataFrame, entity: str, unit: str) -> DataFrame:

@@ -17,9 +17,10 @@ def positional_index(
     name: str = "index",
     slice_rows: int = SLICE_ROWS,
     bound: int | None = None,
+    materialize: bool = False,
 ) -> DataFrame:
     """0-based rank inside the entity by position; equal positions fall back to the key."""
-    return rank(units, [entity], [position, key], name, slice_rows, bound)
+    return rank(units, [entity], [position, key], name, slice_rows, bound, materialize)
 
 
 def middle_pick(
@@ -31,7 +32,7 @@ def middle_pick(
         F.min_by(F.struct(entity, "_n"), F.struct(natural_key(entity), F.col(entity))).alias("_f")
     ).select(*group, F.col(f"_f.{entity}").alias(entity), F.col("_f._n").alias("_n"))
     rows = units.join(first, [*group, entity])
-    ranked = rank(rows, group, [position, key], "_rank", slice_rows, units.count())
+    ranked = rank(rows, group, [position, key], "_rank", slice_rows, units.count(), materialize=True)
     return ranked.where(F.col("_rank") == F.floor(F.col("_n") / 2)).drop("_rank", "_n")
 
 
@@ -87,7 +88,7 @@ def best_so_far(
 ) -> DataFrame:
     """Flag rows that set a strict new minimum of their run."""
     keyed = history.withColumn("_neg", -F.col(metric))
-    looked = Ordering(keyed, run, [epoch], slice_rows).previous_max("_neg", "_peak")
+    looked = Ordering(keyed, run, [epoch], slice_rows, materialize=True).previous_max("_neg", "_peak")
     flag = F.coalesce(F.col("_neg") > F.col("_peak"), F.lit(True))
     return looked.withColumn(name, flag).drop("_neg", "_peak")
 

@@ -71,9 +71,7 @@ def _spread(
         F.max(value).alias("max"),
         *extra,
     ]
-    out = aggregate_with_quantiles(
-        long, group, aggregates, value, [0.5], "_q", bound=bound, materialize=True
-    )
+    out = aggregate_with_quantiles(long, group, aggregates, value, [0.5], "_q", bound=bound)
     return out.withColumn("median", F.get("_q", F.lit(0))).drop("_q")
 
 

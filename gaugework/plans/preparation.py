@@ -141,7 +141,7 @@ def inherit_attributes(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     entities = _split(spark, d).select(F.col("c_custkey").alias("o_custkey"), "partition", "segment")
     units = joins.inherit(orders, entities, "o_custkey", ["partition", "segment"])
-    out = selection.positional_index(units, "o_custkey", "o_orderdate", "o_orderkey", bound=orders.count())
+    out = selection.positional_index(units, "o_custkey", "o_orderdate", "o_orderkey", bound=orders.count(), materialize=True)
     return out.drop("o_orderdate")
 
 

@@ -33,9 +33,11 @@ def build_session(app: str = "gaugework", cores: int | None = None) -> SparkSess
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; pick a local one only if none is named."""
+    """Use the cluster's shared checkpoint folder; a local session may get a folder of its own."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
-    configured = context.getConf().get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))

@@ -29,8 +29,7 @@ def test_quotas_rotate(pool, size, number, extra):
     assert [r["entity"] for r in sorted(rows, key=lambda r: r["entity_index"])] == ["1", "2", "10", "11"]
 
 
-@pytest.mark.parametrize("slice_rows", [2, 10**6])
-@pytest.mark.parametrize("size", [None, 17, 40])
+@pytest.mark.parametrize("size, slice_rows", [(None, 10**6), (17, 10**6), (40, 10**6), (40, 2)])
 def test_full_passes_before_repeats(pool, size, slice_rows):
     drawn = epoch(pool, size=size, slice_rows=slice_rows)
     assert len(drawn) == (size or 16)

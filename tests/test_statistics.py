@@ -219,3 +219,16 @@ def test_alignment(spark):
     assert row(a.where("p < 8"))["order_mismatches"] == 2
     swapped = a.withColumn("p", F.when(F.col("p") == 0, 1).when(F.col("p") == 1, 0).otherwise(F.col("p")))
     assert row(swapped)["order_mismatches"] == 2
+
+
+def test_hot_keys_are_spread_without_losing_rows(spark):
+    """Two thirds of the rows share a key, half of those are identical copies."""
+    rows = [("hot", i % 2 * i) for i in range(600)] + [(f"k{i % 7}", i) for i in range(280)] + [(None, i) for i in range(20)]
+    units = spark.createDataFrame(rows, "e string, v int").repartition(6)
+    lookup = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(6)], "e string, x int")
+    plain = units.join(lookup, "e", "left")
+    spread = joins.lookup_join(units, lookup, ["e"], "left", slice_rows=50)
+    assert spread.exceptAll(plain).isEmpty() and plain.exceptAll(spread).isEmpty()
+    assert "_part" in spread._jdf.queryExecution().optimizedPlan().toString()
+    inner = joins.lookup_join(units, lookup, ["e"], "inner", slice_rows=50)
+    assert inner.count() == plain.where("x is not null").count()
