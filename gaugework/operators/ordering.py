@@ -29,9 +29,6 @@ SLICE_ROWS = 1_000_000
 #: Upper bound on slices, hence on the size of the broadcast slice limits.
 MAX_SLICES = 65_536
 
-_STEPS = [1 << k for k in range(16, -1, -1)]
-
-
 def _null_safe(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
     return reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in pairs])
 
@@ -64,7 +61,11 @@ class Ordering:
         self.group = list(group) or ["_all"]
         self.order = list(order)
         self.bounds = self._slice_bounds(slice_rows, bound, materialize)
-        self.rows = self._sliced()
+        self._labelled = self._sliced()
+        # Named explicitly: rows that arrive hashed on the group alone (after a join, say) would
+        # satisfy the window and leave a large group in one task. Slice totals need no such
+        # shuffle, they are combined where the rows lie.
+        self.rows = self._labelled.repartition(*self.group, "_slice") if self.is_sliced else self._labelled
 
     @property
     def is_sliced(self) -> bool:
@@ -111,16 +112,16 @@ class Ordering:
         ).drop(*[b for _, b in pairs])
         here = F.struct(*self.order)
         # Binary search for the number of cuts at or below this row.
+        most = self.bounds.agg(F.max(F.size("_cuts"))).first()[0] or 1
+        steps = [1 << k for k in range(most.bit_length() - 1, -1, -1)]
         position = F.aggregate(
-            F.array(*[F.lit(s) for s in _STEPS]),
+            F.array(*[F.lit(s) for s in steps]),
             F.lit(0),
             lambda low, step: F.when(
                 F.get(F.col("_cuts"), low + step - 1) <= here, low + step
             ).otherwise(low),
         )
-        # Named explicitly: rows that arrive hashed on the group alone (after a join, say) would
-        # satisfy the window and leave a large group in one task.
-        return joined.withColumn("_slice", position).drop("_cuts").repartition(*self.group, "_slice")
+        return joined.withColumn("_slice", position).drop("_cuts")
 
     def _window(self):
         return Window.partitionBy(*self.group, "_slice").orderBy(*self.order)
@@ -150,7 +151,7 @@ class Ordering:
         rows = self.rows.withColumn(name, F.row_number().over(self._window()).cast("long") - 1)
         if not self.is_sliced:
             return self._finish(rows)
-        per_slice = self.rows.groupBy(*self.group, "_slice").agg(F.count("*").alias("_here"))
+        per_slice = self._labelled.groupBy(*self.group, "_slice").agg(F.count("*").alias("_here"))
         rows = self._attach(rows, self._earlier(per_slice), ["_carried_sum"])
         return self._finish(
             rows.withColumn(name, F.col(name) + F.coalesce("_carried_sum", F.lit(0))).drop("_carried_sum")
@@ -162,7 +163,7 @@ class Ordering:
         rows = self.rows.withColumn(name, F.sum(value).over(w))
         if not self.is_sliced:
             return self._finish(rows)
-        per_slice = self.rows.groupBy(*self.group, "_slice").agg(F.sum(value).alias("_here"))
+        per_slice = self._labelled.groupBy(*self.group, "_slice").agg(F.sum(value).alias("_here"))
         rows = self._attach(rows, self._earlier(per_slice), ["_carried_sum"])
         return self._finish(
             rows.withColumn(name, F.col(name) + F.coalesce("_carried_sum", F.lit(0))).drop("_carried_sum")
@@ -177,7 +178,7 @@ class Ordering:
         )
         if not self.is_sliced:
             return self._finish(rows)
-        per_slice = self.rows.groupBy(*self.group, "_slice").agg(F.sum(value).alias("_here"))
+        per_slice = self._labelled.groupBy(*self.group, "_slice").agg(F.sum(value).alias("_here"))
         rows = self._attach(rows, self._earlier(per_slice), ["_carried_sum"])
         rows = rows.withColumn(running, F.col(running) + F.coalesce("_carried_sum", F.lit(0))).drop("_carried_sum")
         # Totals of the sliced groups only; every other group lies in one slice.
@@ -199,7 +200,7 @@ class Ordering:
         if not self.is_sliced:
             return self._finish(rows)
         rows = rows.withColumn("_first", F.row_number().over(w) == 1)
-        last = self.rows.groupBy(*self.group, "_slice").agg(
+        last = self._labelled.groupBy(*self.group, "_slice").agg(
             F.max_by(F.struct(*columns), F.struct(*self.order)).alias("_last")
         )
         across = Window.partitionBy(*self.group).orderBy("_slice")
@@ -217,7 +218,7 @@ class Ordering:
         rows = self.rows.withColumn(name, F.max(value).over(w))
         if not self.is_sliced:
             return self._finish(rows)
-        top = self.rows.groupBy(*self.group, "_slice").agg(F.max(value).alias("_top"))
+        top = self._labelled.groupBy(*self.group, "_slice").agg(F.max(value).alias("_top"))
         across = Window.partitionBy(*self.group).orderBy("_slice")
         carried = top.withColumn(
             "_carried_peak", F.max("_top").over(across.rowsBetween(Window.unboundedPreceding, -1))
