@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gaugework.operators import joins, sampling, selection, splits
-from gaugework.plans.registry import digest_sql, natural_sql, query, rounded, table
+from gaugework.plans.registry import digest_sql, natural_sql, query, table
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD"]
 SIZES = {"validation": 0.15, "test": 0.15}
@@ -101,15 +101,25 @@ def split_report(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_report(_split(spark, d), "partition", "segment", "weight", [*SEGMENTS, "MACHINERY"], _entity_count(spark, d))
 
 
-_CHECKS = [
-    "no duplicate entities", "every entity assigned, none added", "known partition labels", "no entity in two partitions",
-    "rare strata only in stress", "stress holds only rare strata", "every stratum in every evaluation partition",
-]
+_CHECKS = {
+    "no duplicate entities": "(SELECT count(*) FROM (SELECT 1 FROM customer GROUP BY c_custkey HAVING count(*) > 1))",
+    "every entity assigned, none added": """(SELECT count(*) FROM customer c FULL JOIN dealt d ON c.c_custkey = d.c_custkey
+        WHERE c.c_custkey IS NULL OR d.c_custkey IS NULL)""",
+    "known partition labels": "(SELECT count(*) FROM dealt WHERE partition NOT IN ('train', 'validation', 'test', 'stress'))",
+    "no entity in two partitions": "(SELECT count(*) FROM (SELECT 1 FROM dealt GROUP BY c_custkey HAVING count(*) > 1))",
+    "rare strata only in stress": "(SELECT count(*) FROM dealt WHERE segment = 'MACHINERY' AND partition <> 'stress')",
+    "stress holds only rare strata": "(SELECT count(*) FROM dealt WHERE segment <> 'MACHINERY' AND partition = 'stress')",
+    "every stratum in every evaluation partition": """(SELECT 8 - count(*) FROM (SELECT DISTINCT partition, segment FROM dealt
+        WHERE partition IN ('validation', 'test') AND segment <> 'MACHINERY'))""",
+}
 
 
 @query(
     "validate_split",
-    " UNION ALL ".join(f"SELECT '{c}' AS \"check\", true AS passed, 0::BIGINT AS n_bad" for c in _CHECKS),
+    f"WITH {_DEAL} "
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS \"check\", {n} = 0 AS passed, {n}::BIGINT AS n_bad" for c, n in _CHECKS.items()
+    ),
 )
 def validate_split(spark: SparkSession, d: str) -> DataFrame:
     cohort = _customers(spark, d)

@@ -126,7 +126,10 @@ def score_methods(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "shared_inputs",
-    "SELECT 'shared input digest' AS \"check\", true AS passed, 0::BIGINT AS n_bad, '' AS detail",
+    f"""WITH {_NOISY}, {_METHODS},
+s AS (SELECT vec_id, method, string_agg(given::VARCHAR, ',' ORDER BY i) AS seen FROM methods GROUP BY ALL),
+b AS (SELECT vec_id FROM s GROUP BY vec_id HAVING count(DISTINCT seen) > 1)
+SELECT 'shared input digest' AS "check", count(*) = 0 AS passed, count(*) AS n_bad, '' AS detail FROM b""",
 )
 def shared_inputs(spark: SparkSession, d: str) -> DataFrame:
     scored = scoring.score_methods(_noisy(spark, d), ["vec_id"], "given", "ref", METHODS)

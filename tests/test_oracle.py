@@ -18,14 +18,9 @@ def test_query_matches_sql(spark, con, name):
     assert oracle.compare(contract.queries()[name](spark, SF), con, contract.oracle_sql()[name]) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - set(contract.oracle_sql())))
-def test_query_without_sql_runs(spark, name):
-    assert contract.queries()[name](spark, SF).count() > 0
-
-
 def test_entry(spark):
     assert contract.entry(spark).columns == ["metric", "n", "mean", "std", "median", "min", "max"]
 
 
 def test_every_oracle_names_a_query():
-    assert set(contract.oracle_sql()) <= set(contract.queries())
+    assert set(contract.oracle_sql()) == set(contract.queries())
