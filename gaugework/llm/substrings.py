@@ -158,21 +158,22 @@ def _runs(values: np.ndarray) -> np.ndarray:
     return out
 
 
-MARKS = "key long, sum long, start long, node long, several boolean"
+MARKS = "key long, sum long, start long, n long, node long, several boolean"
 
 
 def _internal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Starts of windows whose node comes twice in its part; of divided prefixes also the other
-    starts, with their node, and each internal node once. Rows come sorted by prefix and part."""
+    """Runs of n neighbouring starts of windows whose node comes twice in its part; of divided
+    prefixes also the other starts, one by one with their node, and each internal node once. Rows
+    come sorted by prefix and part."""
 
-    def out(key, check, start, node, several) -> pa.RecordBatch:
+    def out(key, check, start, length, node, several) -> pa.RecordBatch:
         n = len(start)
         columns = [
             pa.nulls(n, pa.int64()) if c is None else pa.array(c, pa.int64())
-            for c in (key, check, start, node)
+            for c in (key, check, start, length, node)
         ]
         columns.append(pa.array(np.full(n, several)))
-        return pa.RecordBatch.from_arrays(columns, ["key", "sum", "start", "node", "several"])
+        return pa.RecordBatch.from_arrays(columns, ["key", "sum", "start", "n", "node", "several"])
 
     def judged(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         nodes = rows["nodes"].combine_chunks().cast(pa.large_binary())
@@ -186,12 +187,18 @@ def _internal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = number["start"][row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
         group = mixed((number["prefix"] + number["part"] * 0x9E3779B9).view(np.uint64))[row]
         twice = _runs(mixed(node.view(np.uint64)) ^ group) > 1
-        yield out(number["key"][row][twice], number["sum"][row][twice], start[twice], None, True)
+        fresh = np.diff(row, prepend=-1) != 0
+        opens = np.flatnonzero(twice & (fresh | ~np.roll(twice, 1)))
+        shuts = np.flatnonzero(twice & (np.roll(fresh, -1) | ~np.roll(twice, -1)))
+        key, check = number["key"][row[opens]], number["sum"][row[opens]]
+        yield out(key, check, start[opens], shuts - opens + 1, None, True)
         divided = number["parts"][row] > 1
         one = divided & ~twice
-        yield out(number["key"][row][one], number["sum"][row][one], start[one], node[one], False)
+        ones = np.ones(int(one.sum()), np.int64)
+        yield out(number["key"][row][one], number["sum"][row][one], start[one], ones, node[one], False)
         internal = np.unique(node[divided & twice])
-        yield out(None, None, np.zeros(len(internal), np.int64), internal, True)
+        none = np.zeros(len(internal), np.int64)
+        yield out(None, None, none, none, internal, True)
 
     waiting: list[pa.RecordBatch] = []
     for batch in batches:
@@ -225,7 +232,7 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             runs = _runs(v) > 1
             keep[known] = runs | several[known]
         keep &= rows["key"].is_valid().to_numpy()
-        names = ["key", "sum", "start"]
+        names = ["key", "sum", "start", "n"]
         columns = [pa.array(rows[c].fill_null(0).to_numpy()[keep], pa.int64()) for c in names]
         return pa.RecordBatch.from_arrays(columns, names)
 
@@ -258,7 +265,7 @@ def _keyed(documents: DataFrame) -> DataFrame:
 
 
 def repeated_starts(documents: DataFrame) -> DataFrame:
-    """(__key, __sum, __starts): for each document with a repeated window, the positions of the words
+    """(__key, __sum, __starts): for each document with a repeated window, runs (start, n) of words
     at which such windows start. ``documents`` has the columns of :func:`_keyed`."""
     texts = documents.select("__key", "__sum", "text")
     anchors = texts.mapInArrow(_anchors, "key long, sum long, place long, prefix long")
@@ -284,25 +291,26 @@ def repeated_starts(documents: DataFrame) -> DataFrame:
         suffixes.mapInArrow(_internal, MARKS)
         .repartition(spread)
         .sortWithinPartitions("node")
-        .mapInArrow(_decide, "key long, sum long, start long")
+        .mapInArrow(_decide, "key long, sum long, start long, n long")
         .groupBy(F.col("key").alias("__key"), F.col("sum").alias("__sum"))
-        .agg(F.collect_set("start").alias("__starts"))
+        .agg(F.collect_set(F.struct("start", "n")).alias("__starts"))
     )
 
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def _cut(text: str | None, starts: list[int] | None) -> tuple[str | None, int, int]:
-    """The text without the words that windows at ``starts`` cover, words, words removed. A word
-    goes with the white space behind it."""
+def _cut(text: str | None, starts: list[dict[str, int]] | None) -> tuple[str | None, int, int]:
+    """The text without the words that windows in the runs ``starts`` cover, words, words removed.
+    A word goes with the white space behind it."""
     data = (text or "").encode()
     if not starts:
         return text, len(data.split()), 0
     begins = [m.start() for m in _WORD.finditer(data)]
     edge = np.zeros(len(begins) + WINDOW + 1, np.int64)
-    np.add.at(edge, np.array(starts), 1)
-    np.add.at(edge, np.array(starts) + WINDOW, -1)
+    first, length = np.array([(x["start"], x["n"]) for x in starts]).T
+    np.add.at(edge, first, 1)
+    np.add.at(edge, first + length - 1 + WINDOW, -1)
     gone = np.cumsum(edge)[: len(begins)] > 0
     turns = np.flatnonzero(np.diff(gone, prepend=False))
     kept, at = [], 0
