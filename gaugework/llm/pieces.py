@@ -26,7 +26,6 @@ import heapq
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,8 +37,10 @@ from gaugework.llm.quality_rules import let
 SPACE_SIGN = "▁"
 UNIT = regex.compile(r"▁*[\p{L}\p{M}]+|▁*[^\p{L}\p{M}▁]+|▁+")
 LONG = 60
-#: Units that are broadcast with their ids.
-HEAD = 200_000
+#: Units that are broadcast with their counts of pieces.
+HEAD = 100_000
+#: Different words that a task holds before it passes them on or starts anew.
+DIFFERENT = 200_000
 
 
 def default_path() -> str:
@@ -218,17 +219,38 @@ def encode_units(units: DataFrame, path: str) -> DataFrame:
     return short.unionAll(long)
 
 
+def words_of(text: str | None) -> list[str]:
+    """The text cut before its single spaces, a space sign before each word; units lie within
+    words. Where spaces stand together or last they belong to one unit, so the text is cut into
+    its units instead."""
+    if not text:
+        return []
+    words = [SPACE_SIGN + w for w in text.split(" ")]
+    return units_of(text) if SPACE_SIGN in words or SPACE_SIGN in text else words
+
+
 def unit_counts(documents: DataFrame) -> DataFrame:
-    """(unit, n): how often each unit occurs, added up per batch before anything moves."""
+    """(unit, n): how often each unit occurs, added up in the reading tasks before anything moves;
+    only different words are cut into units."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        words: Counter[str] = Counter()
+
+        def counted() -> pa.RecordBatch:
             found: Counter[str] = Counter()
+            for word, n in words.items():
+                for unit in UNIT.findall(word):
+                    found[unit] += n
+            words.clear()
+            columns = [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["unit", "n"])
+
+        for batch in batches:
             for text in batch["text"]:
-                found.update(units_of(text.as_py()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["unit", "n"]
-            )
+                words.update(words_of(text.as_py()))
+                if len(words) > DIFFERENT:
+                    yield counted()
+        yield counted()
 
     rows = narrowed(documents, "text").mapInArrow(count, "unit string, n long")
     return rows.groupBy("unit").agg(F.sum("n").alias("n"))
@@ -277,55 +299,69 @@ def decode(encoded: DataFrame, path: str, column: str = "text") -> DataFrame:
     return met.select("row", "doc_id", F.coalesce(F.substring(text, F.lit(2), F.length(text)), F.lit("")).alias(column))
 
 
-def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: units, pieces, and a checksum of the ids in their places."""
-    path = default_path()
-    documents = narrowed(table(spark, sf_dir, "documents"), "doc_id", "text")
-    counts = unit_counts(documents)
-    coded = stored(counts.join(encode_units(counts.select("unit"), path), "unit"), "coded")
-    head = coded.orderBy(F.desc("n"), "unit").limit(HEAD).select("unit", "ids")
-    common = {r["unit"]: np.array(r["ids"], np.int64) for r in head.toLocalIterator()}
-    shared = spark.sparkContext.broadcast(common)
-    schema = "row long, doc_id long, unit string, i long, n_units long, n_pieces long, checksum long"
+def piece_counts(documents: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_units, n_pieces, ids_checksum) per row; the checksum adds (id + 1) times the
+    place within the unit, from 1."""
+    counts = stored(unit_counts(documents), "units")
+    coded = counts.join(encode_units(counts.select("unit"), path), "unit")
+    weighed = F.transform("ids", lambda x, k: (x + 1).cast("long") * (k + 1))
+    total = F.aggregate(weighed, F.lit(0).cast("long"), lambda a, b: a + b)
+    coded = stored(coded.select("unit", "n", F.size("ids").alias("size"), total.alias("mark")), "coded")
+    head = coded.orderBy(F.desc("n"), "unit").limit(HEAD).select("unit", "size", "mark")
+    shared = documents.sparkSession.sparkContext.broadcast(
+        {r["unit"]: (r["size"], r["mark"]) for r in head.toLocalIterator()}
+    )
+    schema = "row long, doc_id long, unit string, times long, n_units long, n_pieces long, ids_checksum long"
+    names = [c.split()[0] for c in schema.split(", ")]
     types = (pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 4)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = shared.value.get
+        head = shared.value
+
+        class Words(dict):
+            """word -> (units, pieces, checksum) of what is in the head; the rest goes to rare."""
+
+            def __missing__(self, word: str) -> tuple[int, int, int]:
+                units = UNIT.findall(word)
+                if other := [u for u in units if u not in head]:
+                    rare[word] = other
+                known = [head[u] for u in units if u in head]
+                self[word] = found = (len(units), sum(n for n, _ in known), sum(m for _, m in known))
+                return found
+
+        rare: dict[str, list[str]] = {}
+        seen = Words()
         for batch in batches:
-            out = []
-            for row, doc_id, text in zip(*(batch[c].to_pylist() for c in ("row", "doc_id", "text")), strict=True):
-                units = units_of(text)
-                ids = [find(u) for u in units]
-                out += [(row, doc_id, u, i, 0, 0, 0) for i, (u, x) in enumerate(zip(units, ids, strict=True)) if x is None]
-                size = np.array([0 if x is None else len(x) for x in ids], np.int64)
-                if total := int(size.sum()):
-                    flat = np.concatenate([x for x in ids if x is not None])
-                    place = np.repeat(np.arange(len(size)) % 1_000_003, size) * 8191
-                    k = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
-                    mark = int(((place + k * 127 + 1) * (flat + 1) % 2_147_483_647).sum())
-                else:
-                    mark = 0
-                out.append((row, doc_id, None, None, len(units), total, mark))
-            columns = zip(*out, strict=True) if out else [()] * len(types)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types, strict=True)],
-                [c.split()[0] for c in schema.split(", ")],
-            )
+            for first in range(0, batch.num_rows, 512):
+                part, out = batch.slice(first, 512), []
+                for row, doc_id, text in zip(*(part[c].to_pylist() for c in names[:2] + ["text"]), strict=True):
+                    words = words_of(text)
+                    sums = [sum(x) for x in zip(*map(seen.__getitem__, words), strict=True)]
+                    out.append((row, doc_id, None, None, *(sums or (0, 0, 0))))
+                    others = Counter(u for w in words if w in rare for u in rare[w])
+                    out += [(row, doc_id, u, n, 0, 0, 0) for u, n in others.items()]
+                columns = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names
+                )
+                if len(seen) > DIFFERENT:
+                    seen.clear()
+                    rare.clear()
 
-    rows = documents.withColumn("row", F.monotonically_increasing_id()).mapInArrow(meet, schema)
+    rows = narrowed(documents, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    met = rows.mapInArrow(meet, schema)
+    # Rows without a rare unit must not meet in one task.
     spread = F.coalesce("unit", F.concat(F.lit("\0"), F.col("row").cast("string")))
-    met = rows.withColumn("at", spread).join(
-        coded.select(F.col("unit").alias("at"), "ids"), "at", "left"
-    )
-    place = (F.col("i") % 1_000_003) * 8191
-    mark = F.aggregate(
-        F.transform("ids", lambda x, k: (place + k * 127 + 1) * (x + 1).cast("long") % 2_147_483_647),
-        F.lit(0).cast("long"),
-        lambda a, b: a + b,
-    )
+    met = met.withColumn("at", spread).join(coded.withColumnRenamed("unit", "at").drop("n"), "at", "left")
+    rest = lambda c: F.coalesce(F.col(c) * F.col("times"), F.lit(0))
     return met.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
         F.sum("n_units").alias("n_units"),
-        F.sum(F.col("n_pieces") + F.coalesce(F.size("ids"), F.lit(0))).alias("n_pieces"),
-        F.sum(F.col("checksum") + F.coalesce(mark, F.lit(0))).alias("ids_checksum"),
+        F.sum(F.col("n_pieces") + rest("size")).alias("n_pieces"),
+        F.sum(F.col("ids_checksum") + rest("mark")).alias("ids_checksum"),
     ).drop("row")
+
+
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: units, pieces, and a checksum of the ids."""
+    return piece_counts(table(spark, sf_dir, "documents"), default_path())
