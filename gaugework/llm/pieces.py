@@ -80,16 +80,21 @@ def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     table is as long as the vocabulary and is broadcast; grouping needs no further shuffle where
     ``units`` is already dealt by unit."""
     n = F.length("unit")
-    at = lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(longest), n - i)),
-        lambda k: F.struct(i.alias("begin"), (i + k).alias("end"), F.substring("unit", i + 1, k).alias("piece")),
+    places = units.select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("begin"))
+    # Each unit also looks up the empty string once, and so keeps a row if nothing is found.
+    least = F.when(F.col("begin") == 0, 0).otherwise(1)
+    sizes = F.sequence(least, F.least(F.lit(longest), n - F.col("begin")))
+    spans = places.select("*", F.explode(sizes).alias("k")).select(
+        "unit",
+        "begin",
+        (F.col("begin") + F.col("k")).alias("end"),
+        F.substring("unit", F.col("begin") + 1, F.col("k")).alias("piece"),
+    )
+    empty = pieces.sparkSession.createDataFrame([("", -1, 0.0)], pieces.schema)
+    found = spans.join(F.broadcast(pieces.unionAll(empty)), "piece")
+    return found.groupBy("unit").agg(
+        F.collect_list(F.struct("score", "begin", "end", "id")).alias("edges")
     )
-    spans = F.inline(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), at)))
-    found = units.select("unit", spans).join(F.broadcast(pieces), "piece", "left")
-    # The span of one character stays without piece, so that every unit keeps a row.
-    found = found.where("id is not null or (begin = 0 and end = 1)")
-    edge = F.when(F.col("id").isNotNull(), F.struct("score", "begin", "end", "id"))
-    return found.groupBy("unit").agg(F.collect_list(edge).alias("edges"))
 
 
 def merged(unit: Column, edges: Column) -> Column:
@@ -200,7 +205,7 @@ def encode_units(units: DataFrame, path: str) -> DataFrame:
     pieces = spark.createDataFrame(known, "piece string, id int, score double")
     short = lattice(units.where(F.length("unit") <= LONG), pieces, longest)
     fold = merged if bpe else viterbi
-    unit, edges = F.col("unit"), F.filter("edges", lambda e: e.isNotNull())
+    unit, edges = F.col("unit"), F.filter("edges", lambda e: e["end"] > e["begin"])
     ids = let(edges, lambda e: _ids(unit, e, fold(unit, e), byte_zero))
     short = short.select("unit", ids.alias("ids"))
     ranks = {p: (i, s) for p, i, s in known}
