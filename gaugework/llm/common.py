@@ -53,6 +53,13 @@ def narrowed(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def anew(key: Column) -> Column:
+    """A join key in place of a 64-bit one. A table that was just grouped by ``key`` is dealt by
+    it already, and Spark then joins without dealing it again, which keeps it from splitting the
+    hot keys of the other side. Under this key both sides are dealt for the join."""
+    return key.bitwiseXOR(F.lit(1).cast("long"))
+
+
 # --- text buffers in numpy -------------------------------------------------------------------
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.llm.common import stored
+from gaugework.llm.common import anew, stored
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -16,15 +16,18 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every node hands its larger neighbours to the smallest node it sees."""
     pairs = _both_ways(edges)
     least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    least = least.select("u", F.least("u", "m").alias("m"))
-    return pairs.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = least.select(anew(F.col("u")).alias("at"), F.least("u", "m").alias("m"))
+    met = pairs.where("v > u").join(least, anew(F.col("u")) == F.col("at"))
+    return met.select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node hands its smaller neighbours, and itself, to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    found = least.select(anew(F.col("u")).alias("at"), "m")
+    met = down.join(found, anew(F.col("u")) == F.col("at"))
+    moved = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionAll(least.select("u", F.col("m").alias("v")))
 
 

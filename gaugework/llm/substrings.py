@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugework.llm.common import (
+    anew,
     document_runs,
     mixed,
     narrowed,
@@ -270,9 +271,10 @@ def repeated_starts(documents: DataFrame) -> DataFrame:
     texts = documents.select("__key", "__sum", "text")
     anchors = texts.mapInArrow(_anchors, "key long, sum long, place long, prefix long")
     counted = anchors.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1")
+    counted = counted.select(anew(F.col("prefix")).alias("at"), "n")
     parts = F.ceil(F.col("n") / GROUP_ROWS).cast("int")
     live = (
-        anchors.join(counted, "prefix")
+        anchors.join(counted, anew(F.col("prefix")) == F.col("at"))
         .groupBy(F.col("key").alias("__key"), F.col("sum").alias("__sum"))
         .agg(F.collect_set(F.struct("place", parts.alias("parts"))).alias("live"))
     )
