@@ -159,16 +159,16 @@ def fit(
         ]
         found.sort()
         y = np.array([y for _, _, y in found], float)
-        m = learn([t for _, t, _ in found], y) if found else _start() | {"mean": np.zeros(FILTERS), "most": np.zeros(FILTERS)}
+        m = learn([t for _, t, _ in found], y) if found else {}
         names = sorted(m)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(names), pa.array([m[k].astype("<f8").tobytes() for k in names], pa.binary())],
+            [pa.array(names, pa.string()), pa.array([m[k].astype("<f8").tobytes() for k in names], pa.binary())],
             ["name", "value"],
         )
 
     found = joined.repartition(1).mapInArrow(train, "name string, value binary").collect()
-    shapes = {k: v.shape for k, v in _start().items()}
-    return {k: np.frombuffer(bytes(v), "<f8").reshape(shapes[k]) for k, v in found}
+    blank = {k: np.zeros_like(v) for k, v in _start().items()}  # says 0.5 to everything
+    return blank | {k: np.frombuffer(bytes(v), "<f8").reshape(blank[k].shape) for k, v in found}
 
 
 def probabilities(m: Model, texts: pa.Array) -> np.ndarray:
