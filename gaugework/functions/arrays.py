@@ -17,7 +17,14 @@ def differences(ref: Column, pred: Column, mask: Column | None = None) -> Column
 
 
 def array_error(ref: Column, pred: Column, mask: Column | None = None, data_range: float = 1.0) -> Column:
-    """``struct(n, mae, mse, psnr)`` over all or the masked cells; nulls if none is selected."""
+    """``struct(n, mae, mse, psnr)`` over all or the masked cells; nulls if none is selected.
+
+    Arrays (and a mask) of different lengths and null cells fail the job.
+    """
+    unfit = (F.size(ref) != F.size(pred)) | F.exists(ref, F.isnull) | F.exists(pred, F.isnull)
+    if mask is not None:
+        unfit = unfit | (F.size(ref) != F.size(mask)) | F.exists(mask, F.isnull)
+    ref = F.when(unfit, F.raise_error(F.lit("arrays to score differ in length or hold null"))).otherwise(ref)
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("a"), F.lit(0.0).alias("s"))
     total = F.aggregate(
         differences(ref, pred, mask),

@@ -34,5 +34,5 @@ def oriented(direction: Column, delta: Column) -> Column:
 
 
 def is_improvement(direction: Column, delta: Column) -> Column:
-    """Strictly better; an exact tie is not an improvement."""
-    return oriented(direction, delta) > 0
+    """Strictly better; neither an exact tie nor NaN, which Spark sorts last, is an improvement."""
+    return (oriented(direction, delta) > 0) & ~F.isnan(delta)

@@ -70,10 +70,13 @@ def is_portable_key(c: Column | str) -> Column:
 def keyed_digest(*fields: Column | str | int) -> Column:
     """SHA-256 in hex over the fields joined by the reserved separator.
 
-    Plain Python strings and integers are literals here; pass columns as ``Column``.
+    Plain Python strings and integers are literals here; pass columns as ``Column``. A null field
+    fails the job: it would vanish from the joined text and share the digest of a shorter key.
     """
+    missing = F.raise_error(F.lit("a field of a keyed digest is null")).cast("string")
     parts = [
-        f.cast("string") if isinstance(f, Column) else F.lit(str(f)) for f in fields
+        F.coalesce(f.cast("string"), missing) if isinstance(f, Column) else F.lit(str(f))
+        for f in fields
     ]
     return F.sha2(F.concat_ws(SEPARATOR, *parts), 256)
 
@@ -115,9 +118,9 @@ def array_digest(c: Column | str, shape: Column | str, kind: str = "double", pla
 
 def probe_positions(n: Column, k: int) -> Column:
     """``k`` evenly spread row positions out of ``n`` (all of them when ``n <= k``)."""
-    every = F.sequence(F.lit(0), (n - 1).cast("int"))
+    every = F.sequence(F.lit(0).cast("long"), (n - 1).cast("long"))
     spread = F.transform(
         F.sequence(F.lit(0), F.lit(k - 1)),
-        lambda i: F.rint(i * (n - 1) / F.lit(float(max(k - 1, 1)))).cast("int"),
+        lambda i: F.rint(i * (n - 1) / F.lit(float(max(k - 1, 1)))).cast("long"),
     )
-    return F.when(n <= 0, F.array().cast("array<int>")).when(n <= k, every).otherwise(spread)
+    return F.when(n <= 0, F.array().cast("array<long>")).when(n <= k, every).otherwise(spread)

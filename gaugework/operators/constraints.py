@@ -179,8 +179,8 @@ def shared_digest(df: DataFrame, key: list[str], digest: str, check: str = "shar
 
 
 def plan_gaps(plan: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
-    """Planned combinations without a result."""
-    return plan.select(*keys).distinct().join(results.select(*keys), keys, "left_anti")
+    """Planned combinations without a result; results are reduced to their few keys first."""
+    return plan.select(*keys).distinct().join(results.select(*keys).distinct(), keys, "left_anti")
 
 
 def unplanned(plan: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:

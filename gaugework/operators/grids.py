@@ -330,26 +330,3 @@ def clip_limited_equalize(
         ).alias(name),
     )
     return lookup_join(df, lut, [*group, bin_column], "left", slice_rows)
-
-
-def _standard_field(a: np.ndarray, sigma: float) -> np.ndarray:
-    """Smooth with reflected borders, then bring every grid to zero mean and unit spread."""
-    if sigma > 0:
-        # Fixed value: the window reaches four standard deviations.
-        r = int(4.0 * sigma + 0.5)
-        taps = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
-        padded = np.pad(a, ((0, 0), (r, r), (r, r)), mode="symmetric")
-        a = _smooth(padded, taps / taps.sum())
-    a = a - a.mean(axis=(1, 2), keepdims=True)
-    spread = a.std(axis=(1, 2), keepdims=True)
-    # A constant grid has nothing to rescale.
-    return np.divide(a, spread, out=a, where=spread > 1e-12)
-
-
-def standard_field(values: Column, height: Column, width: Column, sigma: float) -> Column:
-    """Spatially correlated zero-mean, unit-spread field from independent values.
-
-    The rescaling keeps the amplitude apart from the correlation width; ``sigma`` 0 smooths
-    nothing.
-    """
-    return _grid_udf(lambda v: _standard_field(v, sigma), float, "array<double>")(values, height, width)

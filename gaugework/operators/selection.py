@@ -41,7 +41,8 @@ def rank_candidates(
 ) -> DataFrame:
     """Best first by metrics (higher wins, in order), then gentler parameters.
 
-    Adds ``selection_rank`` and ``selected``; a repeated parameter set fails the job.
+    Adds ``selection_rank`` and ``selected``; a repeated parameter set or a metric that is null
+    or not finite fails the job.
     """
     repeats = candidates.groupBy(*parameters).agg(F.count("*").alias("_copies"), *[F.any_value(c).alias(c) for c in candidates.columns if c not in parameters])
     keyed = repeats.select("*", *[(-F.col(m)).alias(f"_neg_{m}") for m in metrics])
@@ -50,6 +51,10 @@ def rank_candidates(
     place = F.when(F.col("_copies") == 1, F.col("_rank") + 1).otherwise(
         F.raise_error(F.lit("a parameter set is repeated"))
     )
+    for m in metrics:
+        place = F.when(is_finite(F.col(m)), place).otherwise(
+            F.raise_error(F.lit(f"{m} of a candidate is null or not finite"))
+        )
     return ranked.select(
         *candidates.columns, place.alias("selection_rank"), (F.col("_rank") == 0).alias("selected")
     )
@@ -86,10 +91,12 @@ def best_epoch(
 def best_so_far(
     history: DataFrame, run: list[str], epoch: str, metric: str, name: str = "is_best_so_far", slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
-    """Flag rows that set a strict new minimum of their run."""
-    keyed = history.withColumn("_neg", -F.col(metric))
+    """Flag rows that set a strict new minimum of their run; a null or non-finite value is never
+    best and hides no later one."""
+    finite = F.coalesce(is_finite(F.col(metric)), F.lit(False))
+    keyed = history.withColumn("_neg", F.when(finite, -F.col(metric)))
     looked = Ordering(keyed, run, [epoch], slice_rows, materialize=True).previous_max("_neg", "_peak")
-    flag = F.coalesce(F.col("_neg") > F.col("_peak"), F.lit(True))
+    flag = F.col("_neg").isNotNull() & F.coalesce(F.col("_neg") > F.col("_peak"), F.lit(True))
     return looked.withColumn(name, flag).drop("_neg", "_peak")
 
 
@@ -105,4 +112,4 @@ def probe_rows(df: DataFrame, order: list[str], k: int, slice_rows: int = SLICE_
     n = df.count()
     ranked = rank(df, [], order, "position", slice_rows, bound=n)
     wanted = probe_positions(F.lit(n), k)
-    return ranked.where(F.array_contains(wanted, F.col("position").cast("int")))
+    return ranked.where(F.array_contains(wanted, F.col("position").cast("long")))

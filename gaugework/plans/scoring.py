@@ -372,42 +372,6 @@ def score_functions(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rounded(out.select("vec_id", "method", "full_mae", "full_psnr"), ["full_mae"], 8), ["full_psnr"], 5)
 
 
-_REFLECT = "CASE WHEN {i} < 0 THEN -{i} - 1 WHEN {i} > 7 THEN 15 - {i} ELSE {i} END"
-
-
-def _field_taps() -> str:
-    import numpy as np
-
-    taps = np.exp(-0.5 * (np.arange(-2, 3) / 0.6) ** 2)
-    return ", ".join(f"({k - 2}, {w!r}::DOUBLE)" for k, w in enumerate((taps / taps.sum()).tolist()))
-
-
-@query(
-    "correlated_noise",
-    f"""WITH {_CELLS},
-h AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, ref, {_N} AS h FROM cells),
-w AS (SELECT vec_id, y, x, ref, sqrt(-2 * ln({uniform_sql('h', 0)})) * cos(2 * pi() * {uniform_sql('h', 1)}) AS z FROM h),
-taps AS (SELECT * FROM (VALUES {_field_taps()}) t(k, weight)),
-a AS (SELECT w.vec_id, w.y, w.x, any_value(w.ref) AS ref, sum(weight * v.z) AS z FROM w CROSS JOIN taps
-      JOIN w v ON v.vec_id = w.vec_id AND v.x = w.x AND v.y = {_REFLECT.format(i="(w.y + k)")} GROUP BY ALL),
-b AS (SELECT a.vec_id, a.y, a.x, any_value(a.ref) AS ref, sum(weight * v.z) AS z FROM a CROSS JOIN taps
-      JOIN a v ON v.vec_id = a.vec_id AND v.y = a.y AND v.x = {_REFLECT.format(i="(a.x + k)")} GROUP BY ALL),
-s AS (SELECT vec_id, y, x, ref, (z - avg(z) OVER (PARTITION BY vec_id)) / stddev_pop(z) OVER (PARTITION BY vec_id) AS z FROM b),
-d AS (SELECT vec_id, ref, least(greatest(ref + (0.015 + 0.035 * sqrt(ref)) * z, 0), 1) AS v FROM s)
-SELECT vec_id, round(avg(abs(v - ref)), 8) AS mean_change, round(min(v), 8) AS low, round(max(v), 8) AS high FROM d GROUP BY vec_id""",
-)
-def correlated_noise(spark: SparkSession, d: str) -> DataFrame:
-    key = ["grid_v1", 2026, F.col("vec_id")]
-    out = scoring.degrade(_grids(spark, d), "ref", "height", "width", key, 0.015, 0.035, 0.6)
-    e = array_error(F.col("ref"), F.col("degraded"))
-    return out.select(
-        "vec_id",
-        r(e["mae"], 8).alias("mean_change"),
-        r(F.array_min("degraded"), 8).alias("low"),
-        r(F.array_max("degraded"), 8).alias("high"),
-    )
-
-
 @query(
     "training_pairs",
     f"""WITH {_NOISY}

@@ -211,31 +211,6 @@ def test_change_diagnostics_keep_raw_and_clipped_apart(spark):
     assert row["unit_change_q50"] == pytest.approx(2.25 / 4) and (row["raw_min"], row["raw_max"]) == (-0.5, 1.5)
 
 
-def test_correlated_field(spark):
-    rng = np.random.default_rng(9)
-    arrays = [rng.normal(size=(20, 24)) for _ in range(3)] + [np.full((5, 5), 2.0)]
-    rows = frame(spark, arrays).select("id", grids.standard_field(F.col("v"), *HW, 1.0), grids.standard_field(F.col("v"), *HW, 0.0)).collect()
-    smooth = grid_of([(r[0], r[1]) for r in rows], [a.shape for a in arrays], float)
-    plain = grid_of([(r[0], r[2]) for r in rows], [a.shape for a in arrays], float)
-    taps = np.exp(-0.5 * np.arange(-4, 5) ** 2.0)
-    taps /= taps.sum()
-    for a, s, p in list(zip(arrays, smooth, plain))[:3]:
-        padded = np.pad(a, 4, mode="symmetric")
-        expected = np.array([[(np.outer(taps, taps) * padded[y : y + 9, x : x + 9]).sum() for x in range(24)] for y in range(20)])
-        assert np.allclose(s, (expected - expected.mean()) / expected.std())
-        assert np.allclose(p, (a - a.mean()) / a.std())
-    assert not smooth[3].any()
-
-
-def test_degrade_is_a_function_of_values_and_key(spark):
-    a = np.random.default_rng(10).random((6, 6))
-    df = frame(spark, [a, a, a]).withColumn("k", F.col("id") % 2)
-    run = lambda frame_: {r["id"]: r["degraded"] for r in scoring.degrade(frame_, "v", "h", "w", ["v1", 2026, F.col("k")], 0.015, 0.035, 0.6).collect()}
-    got = run(df)
-    assert got == run(df.orderBy(F.desc("id")).repartition(3))
-    assert got[0] == got[2] != got[1] and all(0 <= v <= 1 for v in got[0])
-
-
 def test_training_pairs_contract(spark):
     row = ([0.1, 0.2], [0.1, 0.3], "7", "Train/CT/7/a.dcm", "Train", "A", 3, "train", [True, False])
     df = spark.createDataFrame([row], "degraded array<double>, clean array<double>, subject_id string, sample_key string, source_archive string, acquisition_group string, geometric_slice_index int, split string, mask array<boolean>")
