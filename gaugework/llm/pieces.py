@@ -23,9 +23,10 @@ columns are ignored. :func:`decode` undoes :func:`encode` exactly, also for whit
 from __future__ import annotations
 
 import heapq
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,9 +39,11 @@ SPACE_SIGN = "▁"
 UNIT = regex.compile(r"▁*[\p{L}\p{M}]+|▁*[^\p{L}\p{M}▁]+|▁+")
 LONG = 60
 #: Units that are broadcast with their counts of pieces.
-HEAD = 100_000
+HEAD = 300_000
+#: Units whose substrings one numpy step handles.
+TOGETHER = 2_048
 #: Different words that a task holds before it passes them on or starts anew.
-DIFFERENT = 200_000
+DIFFERENT = 400_000
 
 
 def default_path() -> str:
@@ -75,50 +78,109 @@ def _bit(position: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), position)
 
 
-def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(unit, edges): of each different unit the pieces found in it, with begin and end. The piece
-    table is as long as the vocabulary and is broadcast; grouping needs no further shuffle where
-    ``units`` is already dealt by unit."""
-    n = F.length("unit")
-    places = units.select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("begin"))
-    # Each unit also looks up the empty string once, and so keeps a row if nothing is found.
-    least = F.when(F.col("begin") == 0, 0).otherwise(1)
-    sizes = F.sequence(least, F.least(F.lit(longest), n - F.col("begin")))
-    spans = places.select("*", F.explode(sizes).alias("k")).select(
-        "unit",
-        "begin",
-        (F.col("begin") + F.col("k")).alias("end"),
-        F.substring("unit", F.col("begin") + 1, F.col("k")).alias("piece"),
-    )
-    empty = pieces.sparkSession.createDataFrame([("", -1, 0.0)], pieces.schema)
-    found = spans.join(F.broadcast(pieces.unionAll(empty)), "piece")
-    return found.groupBy("unit").agg(
-        F.collect_list(F.struct("score", "begin", "end", "id")).alias("edges")
+class PieceTable:
+    """The pieces as arrays: for each length their sorted hashes, code points, ids and ranks."""
+
+    def __init__(self, pieces: list[tuple[str, int, float]]) -> None:
+        order = {score: k for k, score in enumerate(sorted({s for _, _, s in pieces}, reverse=True))}
+        by_length: dict[int, list[tuple[str, int, float]]] = defaultdict(list)
+        for piece in pieces:
+            by_length[len(piece[0])].append(piece)
+        self.lengths = {}
+        for k, found in sorted(by_length.items()):
+            codes = np.array([[ord(c) for c in p] for p, _, _ in found], np.uint64)
+            h = np.zeros(len(found), np.uint64)
+            for column in codes.T:
+                h = extended(h, column)
+            at = np.argsort(h)
+            if (h[at][1:] == h[at][:-1]).any():
+                raise ValueError("two pieces of a length have one hash")
+            ids = np.array([i for _, i, _ in found], np.int32)[at]
+            scores = np.array([s for _, _, s in found], float)[at]
+            ranks = np.array([order[s] for _, _, s in found], np.int64)[at]
+            self.lengths[k] = (h[at], codes[at], ids, scores, ranks)
+
+
+def extended(h: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The hash of strings that are longer by one code point."""
+    h = (h ^ code) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+EDGES = "array<struct<score: double, begin: int, end: int, id: int, ends: long, inside: long>>"
+
+
+def edges_of(table: PieceTable, units: list[str]) -> pa.Array:
+    """The pieces found in each unit, best score first and leftmost of equals: all substrings of
+    a length are hashed at once, met with the pieces of that length and compared by code points."""
+    codes = np.frombuffer("".join(units).encode("utf-32-le"), "<u4").astype(np.uint64)
+    size = np.fromiter(map(len, units), np.int64, len(units))
+    unit = np.repeat(np.arange(len(units)), size)
+    first = np.repeat(np.cumsum(size) - size, size)
+    at, left = np.arange(len(codes)), np.repeat(np.cumsum(size), size) - np.arange(len(codes))
+    h = np.zeros(len(codes), np.uint64)
+    found = [[np.zeros(0, t)] for t in (np.int64, np.int64, np.int64, np.int32, float, np.int64)]
+    for k in range(1, max(table.lengths, default=0) + 1):
+        held = left[at] >= k
+        at, h = at[held], h[held]
+        h = extended(h, codes[at + k - 1])
+        if k in table.lengths and len(at):
+            keys, spelled, ids, scores, ranks = table.lengths[k]
+            place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            hit = np.flatnonzero(keys[place] == h)
+            place, begin = place[hit], at[hit]
+            same = (codes[begin[:, None] + np.arange(k)] == spelled[place]).all(axis=1)
+            place, begin = place[same], begin[same]
+            new = (unit[begin], begin - first[begin], np.full(len(begin), k), ids[place], scores[place], ranks[place])
+            for column, values in zip(found, new, strict=True):
+                column.append(values)
+    of, begin, k, ids, scores, ranks = (np.concatenate(c) for c in found)
+    order = np.lexsort((begin, ranks, of))
+    of, begin, k, ids, scores = (c[order] for c in (of, begin, k, ids, scores))
+    end, one = begin + k, np.int64(1)
+    # Bits 0 to 62 are enough for the folds; longer units go another way.
+    ends = one << np.minimum(begin, 62) | one << np.minimum(end, 62)
+    inside = (one << np.minimum(end, 62)) - (one << np.minimum(begin + 1, 62))
+    columns = [pa.array(scores), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(ids)]
+    rows = pa.StructArray.from_arrays(
+        [*columns, pa.array(ends), pa.array(inside)], ["score", "begin", "end", "id", "ends", "inside"]
     )
+    cuts = np.searchsorted(of, np.arange(len(units) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(cuts), rows)
+
+
+def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+    """``units`` with the column ``edges``: of each different unit the pieces of at most ``longest`` characters found in
+    it, with begin and end, best score first. The piece table is as long as the vocabulary and is
+    broadcast. Substrings are exploded, met with it and grouped by unit within the task: as rows of
+    their own they were some 57 per unit, and the most costly part of the query."""
+    spark = units.sparkSession
+    known = pieces.select("piece", "id", "score").where(F.length("piece") <= longest)
+    shared = spark.sparkContext.broadcast([tuple(r) for r in known.toLocalIterator()])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = PieceTable(shared.value)
+        for batch in batches:
+            for i in range(0, batch.num_rows, TOGETHER):
+                some = batch.slice(i, TOGETHER)
+                found = edges_of(table, some["unit"].to_pylist())
+                yield pa.RecordBatch.from_arrays([*some.columns, found], [*some.schema.names, "edges"])
+
+    return units.mapInArrow(meet, units.withColumn("edges", F.lit(None).cast(EDGES)).schema)
 
 
 def merged(unit: Column, edges: Column) -> Column:
-    """Borders that stand after the merges, as bits, of a unit of at most ``LONG`` characters."""
-    ranked = F.array_sort(
-        F.transform(
-            F.filter(edges, lambda e: e["end"] > e["begin"] + 1),
-            lambda e: F.struct(
-                (-e["score"]).alias("rank"),
-                e["begin"].alias("begin"),
-                (_bit(e["begin"]).bitwiseOR(_bit(e["end"]))).alias("ends"),
-                (_bit(e["end"]) - _bit(e["begin"] + 1)).alias("inside"),
-            ),
-        )
-    )
+    """Borders that stand after the merges, as bits, of a unit of at most ``LONG`` characters; the
+    edges come best score first."""
     all_borders = _bit(F.length(unit) + 1) - 1
 
     def step(borders: Column, e: Column) -> Column:
         ends = borders.bitwiseAND(e["ends"]) == e["ends"]
         one = F.bit_count(borders.bitwiseAND(e["inside"])) == 1
         without = borders.bitwiseAND(F.bitwise_not(e["inside"]))
-        return F.when(ends & one, without).otherwise(borders)
+        return F.when(one & ends, without).otherwise(borders)
 
-    return F.aggregate(ranked, all_borders, step)
+    return F.aggregate(edges, all_borders, step)
 
 
 def viterbi(unit: Column, edges: Column) -> Column:
@@ -126,10 +188,13 @@ def viterbi(unit: Column, edges: Column) -> Column:
     than any path. Of equal paths the one whose last piece is longest."""
     none = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(1).cast("long").alias("borders")))
 
+    def way(e: Column) -> Column:
+        return F.struct(*(e[c].alias(c) for c in ("score", "begin", "end", "id")))
+
     def step(best: Column, end: Column) -> Column:
         ways = F.transform(
             F.concat(
-                F.filter(edges, lambda e: e["end"] == end),
+                F.transform(F.filter(edges, lambda e: e["end"] == end), way),
                 F.array(F.struct(F.lit(-1e6).alias("score"), (end - 1).alias("begin"), end.alias("end"), F.lit(-1).alias("id"))),
             ),
             lambda e: F.struct(
@@ -148,7 +213,12 @@ def viterbi(unit: Column, edges: Column) -> Column:
 def _ids(unit: Column, edges: Column, borders: Column, byte_zero: int) -> Column:
     """The ids between neighbouring borders; where there is no piece, those of the bytes."""
 
-    def chosen(b: Column) -> Column:
+    def path(b: Column) -> Column:
+        on_path = lambda e: (b.bitwiseAND(e["ends"]) == e["ends"]) & (b.bitwiseAND(e["inside"]) == 0)
+        narrow = lambda e: F.struct(e["begin"].alias("begin"), e["end"].alias("end"), e["id"].alias("id"))
+        return F.sort_array(F.transform(F.filter(edges, on_path), narrow))
+
+    def chosen(b: Column, edges: Column) -> Column:
         def ids_at(i: Column) -> Column:
             is_next = lambda e: (e["begin"] == i) & (b.bitwiseAND(_bit(e["end"])) != 0)
             whole = lambda e: b.bitwiseAND(_bit(e["end"]) - _bit(i + 1)) == 0
@@ -162,7 +232,11 @@ def _ids(unit: Column, edges: Column, borders: Column, byte_zero: int) -> Column
         places = F.filter(F.sequence(F.lit(0), F.length(unit) - 1), lambda i: b.bitwiseAND(_bit(i)) != 0)
         return F.flatten(F.transform(places, ids_at))
 
-    return let(borders, chosen)
+    def either(b: Column, found: Column) -> Column:
+        covered = F.aggregate(found, F.lit(0), lambda n, e: n + e["end"] - e["begin"])
+        return F.when(covered == F.length(unit), F.transform(found, lambda e: e["id"])).otherwise(chosen(b, found))
+
+    return let(borders, lambda b: let(path(b), lambda found: either(b, found)))
 
 
 def merge_long(unit: str, ranks: dict[str, tuple[int, float]], byte_zero: int) -> list[int]:
@@ -198,32 +272,39 @@ def merge_long(unit: str, ranks: dict[str, tuple[int, float]], byte_zero: int) -
 
 
 def encode_units(units: DataFrame, path: str) -> DataFrame:
-    """(unit, ids) of a table of different units."""
+    """A table of different units with the column ``ids``."""
     spark = units.sparkSession
     known, byte_zero, bpe = read_pieces(path)
     longest = max(len(p) for p, _, _ in known)
     pieces = spark.createDataFrame(known, "piece string, id int, score double")
     short = lattice(units.where(F.length("unit") <= LONG), pieces, longest)
     fold = merged if bpe else viterbi
-    unit, edges = F.col("unit"), F.filter("edges", lambda e: e["end"] > e["begin"])
-    ids = let(edges, lambda e: _ids(unit, e, fold(unit, e), byte_zero))
-    short = short.select("unit", ids.alias("ids"))
+    unit, edges = F.col("unit"), F.col("edges")
+    ids = _ids(unit, edges, fold(unit, edges), byte_zero)
+    short = short.select(*units.columns, ids.alias("ids"))
     ranks = {p: (i, s) for p, i, s in known}
     shared = spark.sparkContext.broadcast(ranks)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [merge_long(u, shared.value, byte_zero) for u in batch["unit"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["unit"], pa.array(found, pa.list_(pa.int32()))], ["unit", "ids"])
+            ids = pa.array(found, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
 
     if not bpe:
         raise_long = F.raise_error(F.lit("a unit is too long for the Viterbi fold"))
-        long = units.where(F.length("unit") > LONG).select("unit", raise_long.cast("array<int>").alias("ids"))
+        long = units.where(F.length("unit") > LONG).withColumn("ids", raise_long.cast("array<int>"))
     else:
-        long = units.where(F.length("unit") > LONG).mapInArrow(merge, "unit string, ids array<int>")
+        schema = units.withColumn("ids", F.lit(None).cast("array<int>")).schema
+        long = units.where(F.length("unit") > LONG).mapInArrow(merge, schema)
     return short.unionAll(long)
 
 
+def units_in(word: str) -> list[str]:
+    """The units of a word, which begins with a space sign; letters only are one unit."""
+    return [word] if word[1:].isalpha() else UNIT.findall(word)
+
+
 def words_of(text: str | None) -> list[str]:
     """The text cut before its single spaces, a space sign before each word; units lie within
     words. Where spaces stand together or last they belong to one unit, so the text is cut into
@@ -244,7 +325,7 @@ def unit_counts(documents: DataFrame) -> DataFrame:
         def counted() -> pa.RecordBatch:
             found: Counter[str] = Counter()
             for word, n in words.items():
-                for unit in UNIT.findall(word):
+                for unit in units_in(word):
                     found[unit] += n
             words.clear()
             columns = [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())]
@@ -258,7 +339,9 @@ def unit_counts(documents: DataFrame) -> DataFrame:
         yield counted()
 
     rows = narrowed(documents, "text").mapInArrow(count, "unit string, n long")
-    return rows.groupBy("unit").agg(F.sum("n").alias("n"))
+    # A fixed number of parts: the units are few bytes but much work for what reads them.
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "unit").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def encode(documents: DataFrame, path: str) -> DataFrame:
@@ -308,7 +391,7 @@ def piece_counts(documents: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_units, n_pieces, ids_checksum) per row; the checksum adds (id + 1) times the
     place within the unit, from 1."""
     counts = stored(unit_counts(documents), "units")
-    coded = counts.join(encode_units(counts.select("unit"), path), "unit")
+    coded = encode_units(counts, path)
     weighed = F.transform("ids", lambda x, k: (x + 1).cast("long") * (k + 1))
     total = F.aggregate(weighed, F.lit(0).cast("long"), lambda a, b: a + b)
     coded = stored(coded.select("unit", "n", F.size("ids").alias("size"), total.alias("mark")), "coded")
@@ -327,7 +410,7 @@ def piece_counts(documents: DataFrame, path: str) -> DataFrame:
             """word -> (units, pieces, checksum) of what is in the head; the rest goes to rare."""
 
             def __missing__(self, word: str) -> tuple[int, int, int]:
-                units = UNIT.findall(word)
+                units = units_in(word)
                 if other := [u for u in units if u not in head]:
                     rare[word] = other
                 known = [head[u] for u in units if u in head]
