@@ -2,8 +2,10 @@
 
 A text gets the leading space sign, its spaces become space signs, and it is cut into *units*
 that no piece of the vocabulary crosses (checked when the vocabulary is read). Each different unit
-is encoded once: its substrings of bounded length are exploded and joined to the piece table, the
+is encoded once: its substrings of bounded length are exploded and met with the piece table, the
 edges found are grouped by unit, and a higher-order ``aggregate`` folds them into the best path.
+Explosion, equi-join and grouping run in numpy within the task that holds the unit, so that no
+substring is a row of its own; the fold is a Spark expression.
 
 Two folds exist. Where pieces have log probabilities (a unigram model) it is Viterbi: position by
 position, the best score and the edge it came by. A BPE model takes the merge of best score
