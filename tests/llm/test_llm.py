@@ -303,6 +303,27 @@ def test_pieces_equal_the_library_and_round_trip(spark):
     assert not pieces.piece_counts(frame(spark, []), path).collect()
 
 
+def test_lattice_against_all_substrings():
+    known = [("a", 0, -3.0), ("ab", 1, -1.0), ("bé", 2, -1.0), ("é", 3, -4.0), ("😀a", 4, -2.0), ("aab", 5, 0.0)]
+    units = ["", "a", "aabé", "😀aab", "zzz", "aabé", "abé" * 20]
+    table = pieces.PieceTable(known)
+    found = pieces.edges_of(table, units).to_pylist()
+    for unit, edges in zip(units, found, strict=True):
+        wanted = [
+            (-score, begin, begin + len(piece), i)
+            for piece, i, score in known
+            for begin in range(len(unit))
+            if unit.startswith(piece, begin)
+        ]
+        assert [(-e["score"], e["begin"], e["end"], e["id"]) for e in edges] == sorted(wanted)
+        for e in edges:
+            bits = [k for k in range(63) if e["inside"] >> k & 1]
+            assert bits == list(range(e["begin"] + 1, e["end"]))
+            assert e["ends"] == 1 << e["begin"] | 1 << e["end"]
+    assert pieces.edges_of(table, []).to_pylist() == []
+    assert pieces.edges_of(pieces.PieceTable([]), ["a"]).to_pylist() == [[]]
+
+
 def test_viterbi_against_all_paths(spark):
     from pyspark.sql import functions as F
 
