@@ -12,19 +12,24 @@ position, the best score and the edge it came by. A BPE model takes the merge of
 first, which is not the path of best total score, so for such a model the fold runs over the
 edges in the order of their scores and keeps a bit set of the borders still standing; an edge
 merges if exactly one border stands inside it. Characters without a piece become byte pieces.
-Units of more than ``LONG`` characters, too long for the bit set, are merged in a small Python
-function with a heap.
+Units of more than ``LONG`` characters, too long for the bit set, go through a small Python
+function: a heap of merges for a BPE, Viterbi over positions for a unigram model.
 
-Documents meet the encoded units in two ways: the ``HEAD`` most frequent units are broadcast (that
-bound is a parameter), the others are joined.
+Documents meet the ids of their units in two ways: the ``HEAD`` most frequent units are broadcast
+(that bound is a parameter), and a document that has only such units is put together where it is
+read. Where some units are rarer, their ids are joined to (row, unit), the ids of the documents move
+once, packed and with gaps, to meet them by row, and the gaps are filled.
+:func:`decode` looks up the bytes of each id in the broadcast piece table.
 
 Defined results: a null or empty text has no pieces; repeated rows are encoded one by one; extra
-columns are ignored. :func:`decode` undoes :func:`encode` exactly, also for white space.
+columns are ignored. :func:`decode` undoes :func:`encode` exactly, also for white space; only a
+space sign in the text itself comes back as a space, as in the library.
 """
 
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -46,6 +51,8 @@ HEAD = 300_000
 TOGETHER = 2_048
 #: Different words that a task holds before it passes them on or starts anew.
 DIFFERENT = 400_000
+#: Documents that leave a task together.
+DOCUMENTS = 256
 
 
 def default_path() -> str:
@@ -273,6 +280,32 @@ def merge_long(unit: str, ranks: dict[str, tuple[int, float]], byte_zero: int) -
     return out
 
 
+def viterbi_long(unit: str, ranks: dict[str, tuple[int, float]], byte_zero: int, longest: int) -> list[int]:
+    """The ids of the path of one unit of any length with the best total score, by the rules of
+    :func:`viterbi`."""
+    best, begin = [0.0], [0]
+    for end in range(1, len(unit) + 1):
+        # From the longest piece on, so that of equal paths it stays.
+        found, at = float("-inf"), end - 1
+        for i in range(max(0, end - longest), end):
+            known = ranks.get(unit[i:end])
+            if known is not None and best[i] + known[1] > found:
+                found, at = best[i] + known[1], i
+        if best[end - 1] - 1e6 > found:
+            found, at = best[end - 1] - 1e6, end - 1
+        best.append(found)
+        begin.append(at)
+    cut, end = [], len(unit)
+    while end:
+        cut.append((begin[end], end))
+        end = begin[end]
+    out: list[int] = []
+    for i, end in reversed(cut):
+        known = ranks.get(unit[i:end])
+        out += [known[0]] if known else [byte_zero + b for b in unit[i:end].encode()]
+    return out
+
+
 def encode_units(units: DataFrame, path: str) -> DataFrame:
     """A table of different units with the column ``ids``."""
     spark = units.sparkSession
@@ -288,18 +321,17 @@ def encode_units(units: DataFrame, path: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(ranks)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def coded(unit: str) -> list[int]:
+            if bpe:
+                return merge_long(unit, shared.value, byte_zero)
+            return viterbi_long(unit, shared.value, byte_zero, longest)
+
         for batch in batches:
-            found = [merge_long(u, shared.value, byte_zero) for u in batch["unit"].to_pylist()]
-            ids = pa.array(found, pa.list_(pa.int32()))
+            ids = pa.array([coded(u) for u in batch["unit"].to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
 
-    if not bpe:
-        raise_long = F.raise_error(F.lit("a unit is too long for the Viterbi fold"))
-        long = units.where(F.length("unit") > LONG).withColumn("ids", raise_long.cast("array<int>"))
-    else:
-        schema = units.withColumn("ids", F.lit(None).cast("array<int>")).schema
-        long = units.where(F.length("unit") > LONG).mapInArrow(merge, schema)
-    return short.unionAll(long)
+    schema = units.withColumn("ids", F.lit(None).cast("array<int>")).schema
+    return short.unionAll(units.where(F.length("unit") > LONG).mapInArrow(merge, schema))
 
 
 def units_in(word: str) -> list[str]:
@@ -346,112 +378,177 @@ def unit_counts(documents: DataFrame) -> DataFrame:
     return rows.repartition(parts, "unit").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
-def encode(documents: DataFrame, path: str) -> DataFrame:
-    """(row, doc_id, ids): the ids of every row of ``documents`` in their order."""
+class Words(dict):
+    """word -> (number of units, ids as bytes); None for the ids where a unit is not in the head."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [
-                (row, doc_id, i, unit)
-                for row, doc_id, text in zip(*(batch[c].to_pylist() for c in ("row", "doc_id", "text")), strict=True)
-                for i, unit in enumerate(units_of(text) or [None])
-            ]
-            columns = zip(*rows, strict=True) if rows else [()] * 4
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["row", "doc_id", "i", "unit"]
-            )
+    def __init__(self, head: dict[str, bytes]) -> None:
+        self.head = head
 
-    rows = narrowed(documents, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    rows = stored(rows.mapInArrow(cut, "row long, doc_id long, i long, unit string"), "units")
-    coded = encode_units(rows.where("unit is not null").select("unit").distinct(), path)
-    met = rows.join(coded, "unit", "left").groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("i", "ids"))).alias("parts")
-    )
-    empty = F.array().cast("array<int>")
-    parts = F.transform("parts", lambda p: F.coalesce(p["ids"], empty))
-    return met.select("row", "doc_id", F.flatten(parts).alias("ids"))
+    def __missing__(self, word: str) -> tuple[int, bytes | None]:
+        units = units_in(word)
+        found = [self.head.get(u) for u in units]
+        self[word] = out = (len(units), None if None in found else b"".join(found))
+        return out
 
 
-def decode(encoded: DataFrame, path: str, column: str = "text") -> DataFrame:
-    """``encoded`` (row, doc_id, ids) as (row, doc_id, text): ids joined to their pieces, put
-    together in order."""
-    known, byte_zero, _ = read_pieces(path)
-    spark = encoded.sparkSession
-    rows = [(i, p.encode().hex()) for p, i, _ in known] + [(byte_zero + b, f"{b:02x}") for b in range(256)]
-    codes = spark.createDataFrame(rows, "id int, code string")
-    spread = encoded.select("row", "doc_id", F.posexplode_outer("ids").alias("k", "id"))
-    met = spread.join(F.broadcast(codes), "id", "left").groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("k", "code"))).alias("parts")
-    )
-    joined = F.array_join(F.transform("parts", lambda p: p["code"]), "")
-    text = F.replace(F.decode(F.unhex(joined), "UTF-8"), F.lit(SPACE_SIGN), F.lit(" "))
-    return met.select("row", "doc_id", F.coalesce(F.substring(text, F.lit(2), F.length(text)), F.lit("")).alias(column))
+def rare_units(words: list[str], coded: list[bytes | None], head: dict[str, bytes]) -> list[str]:
+    """The different units of a document that are not in the head, in the order they come."""
+    rare = (w for w, ids in zip(words, coded, strict=True) if ids is None)
+    return list(dict.fromkeys(u for w in rare for u in units_in(w) if u not in head))
 
 
-def piece_counts(documents: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_units, n_pieces, ids_checksum) per row; the checksum adds (id + 1) times the
-    place within the unit, from 1."""
-    counts = stored(unit_counts(documents), "units")
-    coded = encode_units(counts, path)
-    weighed = F.transform("ids", lambda x, k: (x + 1).cast("long") * (k + 1))
-    total = F.aggregate(weighed, F.lit(0).cast("long"), lambda a, b: a + b)
-    coded = stored(coded.select("unit", "n", F.size("ids").alias("size"), total.alias("mark")), "coded")
-    head = coded.orderBy(F.desc("n"), "unit").limit(HEAD).select("unit", "size", "mark")
-    shared = documents.sparkSession.sparkContext.broadcast(
-        {r["unit"]: (r["size"], r["mark"]) for r in head.toLocalIterator()}
-    )
-    schema = "row long, doc_id long, unit string, times long, n_units long, n_pieces long, ids_checksum long"
-    names = [c.split()[0] for c in schema.split(", ")]
-    types = (pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 4)
+def with_gaps(words: list[str], coded: list[bytes | None], head: dict[str, bytes], rare: list[str]) -> bytes:
+    """The ids of a document in its order; they hold -1 - k where the k-th rare unit stands."""
+    gap = {u: (-1 - k).to_bytes(4, "little", signed=True) for k, u in enumerate(rare)}
+    out = []
+    for word, ids in zip(words, coded, strict=True):
+        out += [ids] if ids is not None else [head.get(u) or gap[u] for u in units_in(word)]
+    return b"".join(out)
+
+
+def packed(ids: bytes, gaps: int) -> bytes:
+    """Ids with so many different gaps, made small for the way: the width, then zlib."""
+    codes = np.frombuffer(ids, "<i4") + np.int32(gaps)
+    width = 2 if codes.max(initial=0) < 1 << 16 else 4
+    return bytes([width]) + zlib.compress(codes.astype(f"<u{width}").tobytes(), 1)
+
+
+def unpacked(data: bytes, gaps: int) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[1:]), f"<u{data[0]}").astype(np.int32) - np.int32(gaps)
+
+
+def filled(ids: np.ndarray, parts: list[np.ndarray]) -> bytes:
+    """The ids with the k-th part where -1 - k stands."""
+    out, first = [], 0
+    for at in np.flatnonzero(ids < 0).tolist():
+        out += [ids[first:at], parts[-1 - ids[at]]]
+        first = at + 1
+    return np.concatenate([*out, ids[first:]]).astype("<i4").tobytes()
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = shared.value
 
-        class Words(dict):
-            """word -> (units, pieces, checksum) of what is in the head; the rest goes to rare."""
+def id_lists(coded: list[bytes]) -> pa.ListArray:
+    """Ids given as bytes, as an Arrow column of lists."""
+    cuts = np.cumsum([0, *(len(c) // 4 for c in coded)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.frombuffer(b"".join(coded), "<i4")))
 
-            def __missing__(self, word: str) -> tuple[int, int, int]:
-                units = units_in(word)
-                if other := [u for u in units if u not in head]:
-                    rare[word] = other
-                known = [head[u] for u in units if u in head]
-                self[word] = found = (len(units), sum(n for n, _ in known), sum(m for _, m in known))
-                return found
 
-        rare: dict[str, list[str]] = {}
-        seen = Words()
+def id_arrays(column: pa.Array) -> list[np.ndarray]:
+    """The lists of an Arrow column, null read as empty."""
+    size = column.value_lengths().fill_null(0).to_numpy()
+    return np.split(column.flatten().to_numpy(), np.cumsum(size)[:-1]) if len(column) else []
+
+
+def encode(documents: DataFrame, path: str) -> DataFrame:
+    """(row, doc_id, n_units, ids): the ids of every row of ``documents`` in their order, and the
+    number of its units."""
+    spark = documents.sparkSession
+    coded = stored(encode_units(stored(unit_counts(documents), "units"), path), "coded")
+    top = coded.orderBy(F.desc("n"), "unit").limit(HEAD).select("unit", "ids")
+    head = {r["unit"]: np.array(r["ids"], "<i4").tobytes() for r in top.toLocalIterator()}
+    shared, all_known = spark.sparkContext.broadcast(head), len(head) < HEAD
+    del head
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        """Lists of (row, doc_id, number of units, words, their ids or None)."""
+        seen = Words(shared.value)
         for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                part, out = batch.slice(first, 512), []
-                for row, doc_id, text in zip(*(part[c].to_pylist() for c in names[:2] + ["text"]), strict=True):
+            for first in range(0, batch.num_rows, DOCUMENTS):
+                part, out = batch.slice(first, DOCUMENTS), []
+                for row, doc_id, text in zip(*(part[c].to_pylist() for c in ("row", "doc_id", "text")), strict=True):
                     words = words_of(text)
-                    sums = [sum(x) for x in zip(*map(seen.__getitem__, words), strict=True)]
-                    out.append((row, doc_id, None, None, *(sums or (0, 0, 0))))
-                    others = Counter(u for w in words if w in rare for u in rare[w])
-                    out += [(row, doc_id, u, n, 0, 0, 0) for u, n in others.items()]
-                columns = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names
-                )
+                    found = list(map(seen.__getitem__, words))
+                    out.append((row, doc_id, sum(n for n, _ in found), words, [c for _, c in found]))
+                yield out
                 if len(seen) > DIFFERENT:
                     seen.clear()
-                    rare.clear()
 
+    def columns(rows: list[tuple], *types: pa.DataType) -> list[pa.Array]:
+        return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(types), types, strict=True)]
+
+    ends = (pa.int64(), pa.int64(), pa.int64())
+    names = ["row", "doc_id", "n_units", "ids"]
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in cut(batches):
+            ids = id_lists([b"".join(coded) for *_, coded in found])
+            yield pa.RecordBatch.from_arrays([*columns([f[:3] for f in found], *ends), ids], names)
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in cut(batches):
+            rows = [
+                (row, k, unit)
+                for row, _, _, words, coded in found
+                for k, unit in enumerate(rare_units(words, coded, shared.value))
+            ]
+            yield pa.RecordBatch.from_arrays(columns(rows, pa.int64(), pa.int32(), pa.string()), ["row", "k", "unit"])
+
+    def gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in cut(batches):
+            rows = []
+            for *known, words, coded in found:
+                units = rare_units(words, coded, shared.value)
+                rows.append((*known, packed(with_gaps(words, coded, shared.value, units), len(units))))
+            yield pa.RecordBatch.from_arrays(columns(rows, *ends, pa.binary()), names)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, DOCUMENTS):
+                part, out = batch.slice(first, DOCUMENTS), []
+                for ids, found in zip(part["ids"].to_pylist(), part["parts"].to_pylist(), strict=True):
+                    found = sorted(found or [], key=lambda p: p["k"])
+                    out.append(filled(unpacked(ids, len(found)), [np.array(p["own"], np.int32) for p in found]))
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in names[:3]), id_lists(out)], names)
+
+    schema = "row long, doc_id long, n_units long, ids array<int>"
     rows = narrowed(documents, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    met = rows.mapInArrow(meet, schema)
-    # Rows without a rare unit must not meet in one task.
-    spread = F.coalesce("unit", F.concat(F.lit("\0"), F.col("row").cast("string")))
-    met = met.withColumn("at", spread).join(coded.withColumnRenamed("unit", "at").drop("n"), "at", "left")
-    rest = lambda c: F.coalesce(F.col(c) * F.col("times"), F.lit(0))
-    return met.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.sum("n_units").alias("n_units"),
-        F.sum(F.col("n_pieces") + rest("size")).alias("n_pieces"),
-        F.sum(F.col("ids_checksum") + rest("mark")).alias("ids_checksum"),
-    ).drop("row")
+    if all_known:
+        return rows.mapInArrow(whole, schema)
+    own = coded.select("unit", F.col("ids").alias("own"))
+    met = rows.mapInArrow(rare, "row long, k int, unit string").join(own, "unit", "left")
+    parts = met.groupBy("row").agg(F.collect_list(F.struct("k", "own")).alias("parts"))
+    coming = rows.mapInArrow(gaps, "row long, doc_id long, n_units long, ids binary")
+    return coming.join(parts, "row", "left").mapInArrow(fill, schema)
+
+
+def decode(encoded: DataFrame, path: str, column: str = "text") -> DataFrame:
+    """``encoded`` with the text of its ``ids`` in ``column``: each id looked up in the piece table,
+    which is broadcast, and the bytes put together in order."""
+    known, byte_zero, _ = read_pieces(path)
+    codes = {i: p.encode() for p, i, _ in known} | {byte_zero + b: bytes([b]) for b in range(256)}
+    shared = encoded.sparkSession.sparkContext.broadcast(codes)
+    schema = encoded.drop(column).withColumn(column, F.lit("")).schema
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        class Codes(dict):
+            def __missing__(self, i: int) -> bytes:
+                return b""  # control ids
+
+        code = Codes(shared.value).__getitem__
+        for batch in batches:
+            kept = [c for c in batch.schema.names if c != column]
+            for first in range(0, batch.num_rows, DOCUMENTS):
+                part = batch.slice(first, DOCUMENTS)
+                texts = [b"".join(map(code, ids.tolist())).decode("utf-8", "replace") for ids in id_arrays(part["ids"])]
+                text = pa.array([t.replace(SPACE_SIGN, " ")[1:] for t in texts], pa.string())
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), text], [*kept, column])
+
+    return encoded.mapInArrow(look_up, schema)
+
+
+def piece_counts(documents: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_units, n_pieces, ids_crc32, text_crc32) per row: the CRC-32 of all its ids in
+    their order, in decimal with one space between, and that of the UTF-8 text decoded from them."""
+    both = decode(encode(documents, path), path)
+    stated = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return both.select(
+        "doc_id",
+        "n_units",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.crc32(stated).alias("ids_crc32"),
+        F.crc32("text").alias("text_crc32"),
+    )
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: units, pieces, and a checksum of the ids."""
+    """Per document: units, pieces, and checksums of the ids and of the text decoded from them."""
     return piece_counts(table(spark, sf_dir, "documents"), default_path())

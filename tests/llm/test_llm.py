@@ -303,6 +303,44 @@ def test_pieces_equal_the_library_and_round_trip(spark):
     assert not pieces.piece_counts(frame(spark, []), path).collect()
 
 
+@pytest.mark.parametrize("head", [300_000, 40])
+def test_pieces_query_digests_ids_in_order_and_the_text_given_back(spark, monkeypatch, head):
+    from sentencepiece import SentencePieceProcessor
+
+    monkeypatch.setattr(pieces, "HEAD", head)
+    library = SentencePieceProcessor(model_file=pieces.default_path())
+
+    def wanted(doc_id, text):
+        ids = library.encode(text or "")
+        return doc_id, len(ids), zlib.crc32(" ".join(map(str, ids)).encode()), zlib.crc32((text or "").encode())
+
+    columns = ("doc_id", "n_pieces", "ids_crc32", "text_crc32")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    assert by_row(registry.QUERIES["op3_pieces"](spark, SF), *columns) == sorted(wanted(*r) for r in docs)
+    rows = [(1, "one two 12zq"), (2, "two one 12zq"), (3, "12zq 12zq qz " * 50), (4, None), (5, "z" * 90), (1, "one two 12zq")]
+    got = by_row(pieces.piece_counts(frame(spark, rows, extra=True), pieces.default_path()), *columns)
+    assert got == sorted(wanted(*r) for r in rows) and got[0][2] != got[2][2]
+
+
+def test_viterbi_of_long_units(spark, monkeypatch):
+    score = {"a": -1.5, "b": -2.0, "ab": -2.2, "ba": -2.6, "aba": -5.0, "abab": -4.6, "bb": -3.1}
+    ranks = {p: (i, s) for i, (p, s) in enumerate(score.items())}
+    short = ["".join(x) for n in (1, 2, 5, 6) for x in product("ab", repeat=n)] + ["aébb", "é"]
+    long = ["ab" * 40, "abba" * 20 + "é" + "bab" * 30]
+    monkeypatch.setattr(pieces, "read_pieces", lambda path: ([(p, i, s) for p, (i, s) in ranks.items()], 100, False))
+    units = spark.createDataFrame([(u,) for u in short + long], "unit string")
+    got = {r["unit"]: r["ids"] for r in pieces.encode_units(units, "").collect()}
+    assert {u: pieces.viterbi_long(u, ranks, 100, 4) for u in got} == got and len(got) == len(short + long)
+    spelled = {i: p.encode() for p, (i, _) in ranks.items()} | {100 + b: bytes([b]) for b in range(256)}
+    for u in long:
+        assert b"".join(spelled[i] for i in got[u]) == u.encode()
+        best = [0.0]  # the best score of each beginning
+        for n in range(1, len(u) + 1):
+            best.append(max(best[n - k] + score.get(u[n - k : n], -1e6 if k == 1 else -1e12) for k in range(1, min(4, n) + 1)))
+        paid = sum(list(score.values())[i] for i in got[u] if i < 100) - 1e6 * u.count("é")
+        assert abs(paid - best[-1]) < 1e-6
+
+
 def test_lattice_against_all_substrings():
     known = [("a", 0, -3.0), ("ab", 1, -1.0), ("bé", 2, -1.0), ("é", 3, -4.0), ("😀a", 4, -2.0), ("aab", 5, 0.0)]
     units = ["", "a", "aabé", "😀aab", "zzz", "aabé", "abé" * 20]
