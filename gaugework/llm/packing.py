@@ -11,9 +11,14 @@ is cut into powers of two, which need no padding.
 Blocks of ``BLOCK`` examples are packed inside the tasks that read them, so nothing is shuffled
 and memory is bounded by the block; a sequence number holds the partition and a running number.
 
+Which ids of an example bear loss is stated by a column of spans (for instance the answers of a
+conversation). Without it all ids but the first do, so that an example's loss is always below its
+tokens and a loss limit that is not below the token limit cannot bind.
+
 Defined results: a null or empty text is one example that holds the closing id alone; repeated
 rows are packed one by one; documents without id are packed under a null id; extra columns are
-ignored; an empty table gives no piece. Every id lies in exactly one piece.
+ignored; an empty table gives no piece. Every id lies in exactly one piece. Spans may overlap or
+reach beyond the example; null spans count as none stated, an empty list as no loss at all.
 """
 
 from __future__ import annotations
@@ -59,6 +64,21 @@ def room_for(spans: list[tuple[int, int]], start: int, loss: int, most: int) ->
     return most
 
 
+def merged_spans(spans: list[dict] | None, n: int) -> list[tuple[int, int]]:
+    """Stated spans (start, end) in their order, without overlaps, within the ids 1 to n: the first
+    id, which nothing precedes, bears no loss."""
+    if spans is None:
+        return [(1, n)]
+    out: list[tuple[int, int]] = []
+    known = [(s["start"], s["end"]) for s in spans if s and s["start"] is not None and s["end"] is not None]
+    for a, b in sorted((max(a, 1), min(b, n)) for a, b in known):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        elif a < b:
+            out.append((a, b))
+    return out
+
+
 Example = tuple[int, int, list[tuple[int, int]]]  # first and end position, loss spans
 
 
@@ -141,23 +161,29 @@ SCHEMA = (
 )
 
 
-def pack_documents(documents: DataFrame, path: str, limits: Limits = Limits()) -> DataFrame:
+def pack_documents(
+    documents: DataFrame, path: str, limits: Limits = Limits(), spans: str | None = None
+) -> DataFrame:
     """Pieces of all ``documents`` (doc_id, text) in sequences; the first id of a document, which
-    nothing precedes, bears no loss."""
+    nothing precedes, bears no loss. ``spans`` names a column array<struct<start, end>> of the ids
+    that bear loss, counted from 0 in the ids of the text with the closing id at their end; without
+    it all but the first do."""
+    if limits.loss < 1:
+        raise ValueError("the loss limit has to be positive")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, number = encoder(path), TaskContext.get().partitionId() << 40
         closing = np.array([CLOSING_ID], "<u4").tobytes()
-        block: list[tuple[int | None, bytes]] = []
+        block: list[tuple[int | None, bytes, list[dict] | None]] = []
 
         def packed() -> pa.RecordBatch:
             nonlocal number
             rows: list[tuple] = []
-            examples = [(0, len(ids) // 4, [(1, len(ids) // 4)]) for _, ids in block]
+            examples = [(0, len(ids) // 4, merged_spans(stated, len(ids) // 4)) for _, ids, stated in block]
             for pieces in pack(examples, limits):
                 offset = 0
                 for i, a, b in pieces:
-                    doc_id, ids = block[i]
+                    doc_id, ids, _ = block[i]
                     crc = zlib.crc32(memoryview(ids)[4 * a : 4 * b])
                     loss = loss_between(examples[i][2], a, b)
                     rows.append((doc_id, a, b - a, crc, len(ids) // 4, number, offset, loss))
@@ -172,9 +198,10 @@ def pack_documents(documents: DataFrame, path: str, limits: Limits = Limits()) -
         for batch in batches:
             for i in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(i, TOGETHER)
-                for doc_id, text in zip(*(part[c].to_pylist() for c in ("doc_id", "text")), strict=True):
+                stated = part["spans"].to_pylist() if spans else [None] * part.num_rows
+                for doc_id, text, own in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), stated, strict=True):
                     ids = encode(text).astype("<u4").tobytes()
-                    block.append((doc_id, ids + closing))
+                    block.append((doc_id, ids + closing, own))
                     held += len(ids) // 4
                     if len(block) >= BLOCK or held >= BLOCK_IDS:
                         yield packed()
@@ -182,8 +209,10 @@ def pack_documents(documents: DataFrame, path: str, limits: Limits = Limits()) -
         if block:
             yield packed()
 
-    rows = narrowed(documents, "doc_id", "text")
+    rows = narrowed(documents, "doc_id", "text", *([spans] if spans else []))
     rows = rows.withColumn("doc_id", rows["doc_id"].cast("long"))
+    if spans:
+        rows = rows.withColumnRenamed(spans, "spans")
     return rows.mapInArrow(apply, SCHEMA)
 
 

@@ -280,6 +280,34 @@ def test_vector_limits():
     assert seen == Counter((i, k) for i, (_, n, _) in enumerate(examples) for k in range(n))
 
 
+def test_loss_spans_of_documents_bind(spark):
+    r = random.Random(8)
+    path, limits = tokens.default_path(), packing.Limits(tokens=256, segments=100, loss=40)
+    encode, rows = packing.encoder(path), []
+    for i in range(200):
+        text = " ".join(r.choice(["one", "two", "three", "eleven"]) for _ in range(r.randint(0, 120)))
+        n = len(encode(text)) + 1
+        a = r.randint(0, n)
+        b = r.randint(a, n)
+        spans = r.choice([[(a, b)], [(a, b), (a, n + 5), (0, 1)], [], None])
+        rows.append((i, text, spans))
+    schema = "doc_id long, text string, answers array<struct<start: int, end: int>>"
+    found = packing.pack_documents(spark.createDataFrame(rows, schema), path, limits, "answers").collect()
+    bears = {}
+    for i, text, spans in rows:
+        n = len(encode(text)) + 1
+        own = range(1, n) if spans is None else {k for a, b in spans for k in range(a, b)}
+        bears[i] = [k > 0 and k in own for k in range(n)]
+    total, seen = Counter(), Counter()
+    for x in found:
+        part = range(x["start"], x["start"] + x["length"])
+        assert x["loss_tokens"] == sum(bears[x["doc_id"]][k] for k in part)
+        total[x["sequence_id"]] += x["loss_tokens"]
+        seen.update((x["doc_id"], k) for k in part)
+    assert seen == Counter((i, k) for i, own in bears.items() for k in range(len(own)))
+    assert max(total.values()) == 40 and sum(total.values()) == sum(map(sum, bears.values()))
+
+
 # --- SentencePiece ----------------------------------------------------------------------------
 
 
