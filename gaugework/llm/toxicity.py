@@ -202,8 +202,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that score 0.5 or more go. The labels learned from are those of
-    the documents at hand."""
-    model = fit(docs, table(spark, sf_dir, "labels"))
+    the documents at hand in the learnable fold, as in :func:`op1_toxicity`."""
+    model = fit(docs, table(spark, sf_dir, "labels"), learnable())
+    if not len(model.index) and model.intercept == 0:
+        return docs  # no usable label
     columns = docs.columns
     scored = score(docs, model, "__toxicity")
     return scored.where(F.col("__toxicity") < 0.5).select(*[F.col(f"`{c}`") for c in columns])

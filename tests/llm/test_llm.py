@@ -95,6 +95,25 @@ def test_toxicity_edges(spark):
     assert toxicity.score(none[0], model).count() == 0
 
 
+def test_toxicity_stage_learns_from_the_learnable_fold_only(spark, tmp_path):
+    rows, labels = toxic_corpus(600, 3)
+    docs = frame(spark, rows, extra=True)
+    held = {k for k, *_ in rows if zlib.crc32(str(k).encode()) % 5 == 0}
+
+    def kept(name, labels):
+        made = spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
+        made.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        return {r["doc_id"] for r in toxicity.stage(spark, docs, f"{tmp_path}/{name}").collect()}
+
+    # Held-out labels that say the contrary of the others change nothing.
+    contrary = [(k, 1 - y if k in held else y, q) for k, y, q in labels]
+    made = spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
+    scored = toxicity.score(docs, toxicity.fit(docs, made, toxicity.learnable())).where("score < 0.5")
+    assert kept("contrary", contrary) == {r["doc_id"] for r in scored.collect()} != {k for k, *_ in rows}
+    # Where no label is usable, every row stays.
+    assert kept("held", [x for x in labels if x[0] in held]) == {k for k, *_ in rows}
+
+
 def test_word_hashes():
     texts = ["b a", "", None, "a c  a", "ab"]
     data, offsets = text_buffer(pa.array(texts))
