@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from gaugework.llm import fingerprints, quality_rules, substrings
+from gaugework.llm import filter_audit, fingerprints, quality_rules, substrings
+from gaugework.llm.filter_audit import op13_filter_audit
 from gaugework.llm.fingerprints import op5_fingerprints
 from gaugework.llm.packing import op10_packing
 from gaugework.llm.pieces import op3_pieces
@@ -27,6 +28,7 @@ QUERIES = {
         op8_simhash,
         op9_quality_model,
         op10_packing,
+        op13_filter_audit,
     )
 }
 
@@ -34,4 +36,5 @@ ORACLES = {
     "op4_quality_rules": quality_rules.SQL,
     "op5_fingerprints": fingerprints.SQL,
     "op7_substrings": substrings.SQL,
+    "op13_filter_audit": filter_audit.SQL,
 }
