@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gaugework.llm import filter_audit, fingerprints, quality_rules, substrings
+from gaugework.llm import filter_audit, fingerprints, lexical, quality_rules, substrings
 from gaugework.llm.filter_audit import op13_filter_audit
 from gaugework.llm.fingerprints import op5_fingerprints
+from gaugework.llm.lexical import op11_lexical
 from gaugework.llm.packing import op10_packing
 from gaugework.llm.pieces import op3_pieces
 from gaugework.llm.quality_model import op9_quality_model
@@ -28,6 +29,7 @@ QUERIES = {
         op8_simhash,
         op9_quality_model,
         op10_packing,
+        op11_lexical,
         op13_filter_audit,
     )
 }
@@ -36,5 +38,6 @@ ORACLES = {
     "op4_quality_rules": quality_rules.SQL,
     "op5_fingerprints": fingerprints.SQL,
     "op7_substrings": substrings.SQL,
+    "op11_lexical": lexical.SQL,
     "op13_filter_audit": filter_audit.SQL,
 }
