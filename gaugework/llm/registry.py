@@ -12,6 +12,7 @@ from gaugework.llm.quality_model import op9_quality_model
 from gaugework.llm.quality_rules import op4_quality_rules
 from gaugework.llm.simhash import op8_simhash
 from gaugework.llm.substrings import op7_substrings
+from gaugework.llm.suffixes import op12_suffixes
 from gaugework.llm.surrogates import op2_surrogates
 from gaugework.llm.tokens import op6_token_counts
 from gaugework.llm.toxicity import op1_toxicity
@@ -30,6 +31,7 @@ QUERIES = {
         op9_quality_model,
         op10_packing,
         op11_lexical,
+        op12_suffixes,
         op13_filter_audit,
     )
 }
