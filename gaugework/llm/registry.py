@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugework.llm import filter_audit, fingerprints, lexical, quality_rules, substrings
+from gaugework.llm import filter_audit, fingerprints, lexical, quality_rules, substrings, suffixes
 from gaugework.llm.filter_audit import op13_filter_audit
 from gaugework.llm.fingerprints import op5_fingerprints
 from gaugework.llm.lexical import op11_lexical
@@ -41,5 +41,6 @@ ORACLES = {
     "op5_fingerprints": fingerprints.SQL,
     "op7_substrings": substrings.SQL,
     "op11_lexical": lexical.SQL,
+    "op12_suffixes": suffixes.SQL,
     "op13_filter_audit": filter_audit.SQL,
 }

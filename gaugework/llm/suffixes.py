@@ -389,3 +389,25 @@ def op12_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = without_copies(documents)
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT k, doc_id, unnest(range(0, len(h) // 2 - 49, 200)) AS o, unnest(list_transform(range(0, len(h) // 2 - 49, 200), lambda x: array_slice(h, 2 * x + 1, 2 * x + 498))) AS h
+  FROM d WHERE doc_id IS NOT NULL),
+w AS (
+  SELECT k, doc_id, unnest(range(o, o + len(h) // 2 - 49)) AS i,
+    unnest(list_transform(range(0, len(h) // 2 - 49), lambda x: md5(array_slice(h, 2 * x + 1, 2 * x + 100)))) AS m
+  FROM b),
+f AS (SELECT m, min(doc_id) AS f FROM w GROUP BY m HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT k, i, CASE WHEN i <= lag(i) OVER (PARTITION BY k ORDER BY i) + 50 THEN 0 ELSE 1 END AS o FROM w JOIN f USING (m) WHERE f < doc_id),
+g AS (SELECT k, i, sum(o) OVER (PARTITION BY k ORDER BY i) AS g FROM c),
+s AS (SELECT k, g, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY k, g),
+p AS (SELECT k, a, b, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS e FROM s),
+r AS (
+  SELECT k, count(*) AS n, sum(b - a)::BIGINT AS gone, max(b) AS z, string_agg(array_slice(h, 2 * e + 1, 2 * a), '' ORDER BY a) AS t
+  FROM p JOIN d USING (k) GROUP BY k)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN n IS NULL THEN h ELSE t || array_slice(h, 2 * z + 1, len(h)) END)) AS kept_sha256
+FROM d LEFT JOIN r USING (k)
+"""
