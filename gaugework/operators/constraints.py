@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from gaugework.local import local_rows
 
 REPORT_SCHEMA = T.StructType(
@@ -213,6 +213,18 @@ def only_partitions(df: DataFrame, partition: str, allowed: list[str]) -> DataFr
     return domain(df, partition, allowed, f"only partitions {','.join(allowed)}")
 
 
+def require_open(df: DataFrame, partition: str, allowed: list[str]) -> DataFrame:
+    """``df`` whose rows fail the job unless their label is an open partition; a row without a label
+    fails too. For rows that reach a reader by any other route than :func:`open_partition`."""
+    if partition not in df.columns:
+        raise ConstraintError(f"the rows have no column {partition!r}, so their partition is not known")
+    label = F.col(partition)
+    fault = F.concat(F.lit("sealed or unknown partition: "), F.coalesce(label.cast("string"), F.lit("no label")))
+    is_open = F.coalesce(label.isin(*allowed), F.lit(False))
+    # A filter, so that the check stays where later steps drop the label.
+    return df.where(F.when(is_open, F.lit(True)).otherwise(F.raise_error(fault).cast("boolean")))
+
+
 def open_partition(df: DataFrame, partition: str, wanted: str, allowed: list[str]) -> DataFrame:
     """The rows of one open partition; the filter reaches the scan."""
     if wanted not in allowed:
@@ -267,6 +279,3 @@ def clashing_entities(pooled: DataFrame, entity: str, source: str = "source") ->
         .where(F.col("sources") > 1)
     )
 
-
-def empty_report(spark: SparkSession) -> DataFrame:
-    return local_rows(spark, [], REPORT_SCHEMA)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from gaugework.functions.values import is_finite
 from gaugework.operators import constraints as q
 from gaugework.operators import joins, runs, stats
+from gaugework.operators.gates import Gates, RowGates
 from gaugework.session import ensure_checkpoint_dir
 from gaugework.sources.publish import Output, publish_once
 
@@ -34,34 +35,42 @@ class Study:
     lower: tuple[str, ...] = ("mae", "mse")
     higher: tuple[str, ...] = ("psnr", "ssim")
     expected: dict[str, int] = field(default_factory=dict)
+    #: Partitions that exist but are not opened.
+    sealed: tuple[str, ...] = ()
 
 
 def manifest_gates(manifest: DataFrame, study: Study) -> DataFrame:
-    """Checks on metadata alone: keys, leakage, labels and, where given, exact counts."""
-    reports = [
-        q.required_columns(manifest, [study.unit, study.entity, study.partition, study.stratum]),
-        q.unique(manifest, [study.unit]),
-        q.constant(manifest, [study.entity], [study.stratum]),
-        q.no_leakage(manifest, study.entity, study.partition),
-    ]
+    """Checks on metadata alone, in one pass over it: keys, leakage, labels and, where given, exact
+    counts. A label must be an open or a sealed partition of the study; a row without one fails."""
+    columns = q.required_columns(manifest, [study.unit, study.entity, study.partition, study.stratum])
+    q.require(columns)
+    gates = Gates()
+    rows = gates.table(manifest)
+    rows.unique([study.unit]).constant([study.entity], [study.stratum])
+    rows.no_leakage(study.entity, study.partition)
+    rows.only_partitions(study.partition, sorted({*study.allowed, *study.sealed, *study.expected}))
     if study.expected:
-        reports.append(q.expected_counts(manifest, study.partition, study.expected))
-    return q.combine(reports)
+        rows.expected_counts(study.partition, study.expected)
+    return q.combine([columns, gates.report()])
+
+
+def finite_metrics(study: Study) -> RowGates:
+    """The row gates of scored units; they are counted while the scores are written."""
+    return RowGates({f"finite {m}": is_finite(F.col(m)) for m in study.metrics}, study.unit)
 
 
 def score_gates(scored: DataFrame, units: DataFrame, study: Study) -> DataFrame:
-    """Checks on scored units: finite metrics, one shared input, every planned row and no other."""
+    """Checks across scored units, in one pass over them and one over the units: one row per unit and
+    method, one shared input, every planned row and no other."""
     named = F.array(*[F.lit(m) for m in study.methods])
     plan = units.select(study.unit, F.explode(named).alias("method"))
-    finite = {f"finite {m}": is_finite(F.col(m)) for m in study.metrics}
-    return q.combine(
-        [
-            q.rows(scored, finite, study.unit),
-            q.unique(scored, [study.unit, "method"]),
-            q.shared_digest(scored, [study.unit], "input_digest"),
-            q.planned(plan, scored, [study.unit, "method"]),
-        ]
-    )
+    keys = [study.unit, "method"]
+    gates = Gates()
+    rows, planned = gates.table(scored), gates.table(plan)
+    rows.unique(keys).constant([study.unit], ["input_digest"], "shared input digest")
+    rows.rows({"input digest present": F.col("input_digest").isNotNull()})
+    gates.planned(planned, keys, rows, keys)
+    return gates.report()
 
 
 def result_tables(scored: DataFrame, study: Study, bound: int | None = None) -> dict[str, DataFrame]:
@@ -113,8 +122,10 @@ def evaluate(
     q.require(q.not_empty(units, f"units of {partition}"))
 
     ensure_checkpoint_dir(manifest.sparkSession)
-    scored = score(units).checkpoint()
-    q.require(score_gates(scored, units, study))
+    units = q.require_open(units, study.partition, list(study.allowed))
+    finite = finite_metrics(study)
+    scored = finite.watch(score(units)).checkpoint()
+    q.require(q.combine([finite.report(manifest.sparkSession), score_gates(scored, units, study)]))
     tables = result_tables(scored, study, units.count())
     if destination is not None:
         outputs = {"units": Output(scored, "parquet", (), ("method",))}

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gaugework.functions.keys import content_digest
 from gaugework.functions.values import is_finite
 from gaugework.operators import constraints as q
 from gaugework.operators import joins, stats
+from gaugework.operators.gates import Gates
 from gaugework.plans.registry import query, rounded, table
 
 
@@ -232,25 +234,16 @@ UNION ALL SELECT 'two routes agree', count(*) = 0, count(*), '' FROM s WHERE abs
 UNION ALL SELECT 'not empty', count(*) > 0, (count(*) = 0)::BIGINT, '' FROM orders""",
 )
 def gate_report(spark: SparkSession, d: str) -> DataFrame:
-    orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
-    one = stats.entity_means(lines, "l_suppkey", ["l_quantity"])
-    other = lines.groupBy("l_suppkey").agg(
-        (F.sum("l_quantity") / F.count("l_quantity")).alias("mean_l_quantity")
-    )
-    return q.combine(
-        [
-            q.unique(orders, ["o_orderkey"]),
-            q.unique(lines, ["l_orderkey", "l_linenumber"]),
-            q.constant(lines, ["l_orderkey"], ["l_linestatus"]),
-            q.same_keys(
-                lines.select(F.col("l_orderkey").alias("k")), orders.select(F.col("o_orderkey").alias("k")), ["k"]
-            ),
-            q.no_leakage(orders, "o_custkey", "o_orderstatus"),
-            q.only_partitions(orders, "o_orderstatus", ["F", "O"]),
-            q.within_tolerance(one, other, ["l_suppkey"], "mean_l_quantity", 1e-9),
-            q.not_empty(orders),
-        ]
-    )
+    """Eight gates on two tables, each table read once."""
+    gates = Gates()
+    orders, lines = gates.table(table(spark, d, "orders")), gates.table(table(spark, d, "lineitem"))
+    orders.unique(["o_orderkey"])
+    lines.unique(["l_orderkey", "l_linenumber"]).constant(["l_orderkey"], ["l_linestatus"])
+    gates.same_keys(lines, ["l_orderkey"], orders, ["o_orderkey"])
+    orders.no_leakage("o_custkey", "o_orderstatus").only_partitions("o_orderstatus", ["F", "O"])
+    lines.two_routes(["l_suppkey"], "l_quantity", ["l_returnflag"], 1e-9)
+    orders.not_empty()
+    return gates.report()
 
 
 @query(
@@ -276,3 +269,78 @@ def candidate_sweep(spark: SparkSession, d: str) -> DataFrame:
         F.count("*").alias("entities"), F.avg("mean_hit").alias("entity_weighted_hit")
     )
     return rounded(out, ["entity_weighted_hit"])
+
+
+@query(
+    "expected_counts",
+    """
+WITH p AS (SELECT * FROM (VALUES ('ENTRY', 1), ('AUTO', 1)) t(g, w)),
+c AS (SELECT event_type AS g, count(*) AS n FROM events GROUP BY event_type),
+o AS (SELECT o_orderpriority AS g, count(*) AS n FROM orders GROUP BY o_orderpriority)
+SELECT 'counts per event type' AS "check",
+  count_if(n IS DISTINCT FROM w) + (sum(n) IS DISTINCT FROM sum(w))::BIGINT = 0 AS passed,
+  count_if(n IS DISTINCT FROM w) + (sum(n) IS DISTINCT FROM sum(w))::BIGINT AS n_bad, '' AS detail
+FROM c FULL JOIN p USING (g)
+UNION ALL SELECT 'counts per priority', max(n) = 0, 0, '' FROM (SELECT 0 AS n FROM o)
+UNION ALL SELECT 'required event_id', count(*) = 0, count(*), '' FROM events WHERE event_id IS NULL""",
+)
+def expected_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Rows per group against a plan that is wrong, one that is right, and a required value."""
+    events, orders = table(spark, d, "events"), table(spark, d, "orders")
+    # One row per priority: there are five.
+    right = {r["o_orderpriority"]: r["count"] for r in orders.groupBy("o_orderpriority").count().collect()}
+    gates = Gates()
+    seen = gates.table(events).expected_counts("event_type", {"ENTRY": 1, "AUTO": 1}, check="counts per event type")
+    gates.table(orders).expected_counts("o_orderpriority", right, check="counts per priority")
+    seen.rows({"required event_id": F.col("event_id").isNotNull()})
+    return gates.report()
+
+
+@query(
+    "sealed_gate",
+    """
+WITH m AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE source END AS part FROM documents),
+o AS (SELECT min(source) AS open FROM documents)
+SELECT 'every row has a known label' AS "check", count(*) = 0 AS passed, count(*) AS n_bad, '' AS detail FROM m WHERE part IS NULL
+UNION ALL SELECT 'only open rows', count(*) = 0, count(*), '' FROM m, o WHERE part IS NULL OR part <> open""",
+)
+def sealed_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of a manifest in one pass: unlabelled rows, and rows that are not open. No content."""
+    documents = table(spark, d, "documents").select(
+        "doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("source")).alias("part")
+    )
+    first = table(spark, d, "documents").agg(F.min("source")).first()[0]
+    known = F.col("part").isNotNull()
+    gates = Gates()
+    gates.table(documents).rows({"every row has a known label": known, "only open rows": F.col("part") == first})
+    return gates.report()
+
+
+@query(
+    "identical_bytes",
+    """
+SELECT 'identical content' AS "check", count(*) = 0 AS passed, count(*) AS n_bad, '' AS detail FROM (
+  SELECT d.doc_id FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id
+  WHERE p.page_id IS NULL OR sha256(encode(d.text)) IS DISTINCT FROM sha256(encode(p.html))
+  UNION ALL SELECT page_id FROM pages WHERE page_id NOT IN (SELECT doc_id FROM documents))""",
+)
+def identical_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """Two tables that should hold the same content under the same ids, and do not."""
+    left = table(spark, d, "documents").select(F.col("doc_id").alias("k"), content_digest("text").alias("digest"))
+    right = table(spark, d, "pages").select(F.col("page_id").alias("k"), content_digest("html").alias("digest"))
+    return q.same_bytes(left, right, ["k"], "digest")
+
+
+@query(
+    "recorded_choice",
+    """
+WITH a AS (SELECT o_custkey, max(o_totalprice) AS c FROM orders GROUP BY o_custkey),
+b AS (SELECT o_custkey, max(o_totalprice) AS c FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey)
+SELECT 'recorded choice equals recomputed choice' AS "check", count_if(a.c IS DISTINCT FROM b.c) = 0 AS passed,
+  count_if(a.c IS DISTINCT FROM b.c) AS n_bad, '' AS detail FROM a FULL JOIN b USING (o_custkey)""",
+)
+def recorded_choice(spark: SparkSession, d: str) -> DataFrame:
+    """The best order of each customer, recorded over all orders and computed again without some."""
+    orders = table(spark, d, "orders")
+    best = lambda df: df.groupBy("o_custkey").agg(F.max("o_totalprice").alias("c"))
+    return q.recorded_choice(best(orders), best(orders.where("o_orderstatus <> 'P'")), ["o_custkey"], "c")

@@ -1,5 +1,6 @@
 """A complete evaluation on a small cohort, its refusals, and the multi-run comparison."""
 
+import dataclasses
 import os
 
 import numpy as np
@@ -64,6 +65,22 @@ def test_gates_stop_before_scoring(spark, manifest):
         protocol.evaluate(manifest.union(manifest.where("key = '4/0'")), STUDY, "validation", untouched)
 
 
+@pytest.mark.parametrize("label", [None, "sealed", "stress"])
+def test_unknown_labels_stop_before_scoring(manifest, label):
+    def untouched(_):
+        raise AssertionError("scored in spite of a failed gate")
+
+    study = dataclasses.replace(STUDY, expected={})
+    wrong = manifest.withColumn("split", F.when(F.col("entity") == "4", F.lit(label)).otherwise(F.col("split")))
+    with pytest.raises(ConstraintError, match="only partitions train,validation: 7 bad"):
+        protocol.evaluate(wrong, study, "validation", untouched)
+    # A label that the study declares as sealed may stand in the manifest, and is not opened.
+    declared = dataclasses.replace(study, sealed=("test",))
+    assert protocol.evaluate(manifest, declared, "validation", score)["units"].count() == 18
+    with pytest.raises(ConstraintError, match="not open"):
+        protocol.evaluate(manifest, declared, "test", untouched)
+
+
 def test_score_gates(manifest):
     def partial(units):
         return score(units).where("not (method = 'shrink' and key = '3/0')")
