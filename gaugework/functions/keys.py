@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Fixed value: the reserved separator between hashed fields. Keys may not contain it.
 SEPARATOR = "\x1f"
@@ -124,3 +124,94 @@ def probe_positions(n: Column, k: int) -> Column:
         lambda i: F.rint(i * (n - 1) / F.lit(float(max(k - 1, 1)))).cast("long"),
     )
     return F.when(n <= 0, F.array().cast("array<long>")).when(n <= k, every).otherwise(spread)
+
+
+_MANTISSA = 2.0**52
+
+
+def _exact_power(e: Column) -> Column:
+    """Two to a whole power, exactly."""
+    return F.pow(F.lit(2.0), e.cast("double"))
+
+
+def order_key(c: Column | str) -> Column:
+    """A 64-bit integer whose order is the order of a double: not a number last, null stays null,
+    both zeros are 0. Built by exact arithmetic on exponent and mantissa, so :func:`from_order_key`
+    gives the double back."""
+    x = _col(c).cast("double")
+    a = F.abs(x)
+    near = F.greatest(F.floor(F.log2(a)), F.lit(-1022)).cast("int")
+    # The logarithm may miss a power of two by one.
+    e = F.when((near > -1022) & (_exact_power(near) > a), near - 1)
+    e = e.when((near < 1023) & (_exact_power(near + 1) <= a), near + 1).otherwise(near)
+    normal = F.shiftleft((e + 1023).cast("long"), 52) + ((a / _exact_power(e) - 1.0) * _MANTISSA).cast("long")
+    small = (a * F.lit(2.0**537) * F.lit(2.0**537)).cast("long")
+    infinite = F.lit(0x7FF0000000000000)
+    size = (
+        F.when(F.isnan(x), infinite + 1)
+        .when(a == F.lit(float("inf")), infinite)
+        .when(a < F.lit(2.0**-1022), small)
+        .otherwise(normal)
+    )
+    return F.when(x.isNull(), F.lit(None).cast("long")).when(x < 0, -size).otherwise(size)
+
+
+def from_order_key(k: Column) -> Column:
+    """The double of an :func:`order_key`."""
+    a = F.abs(k)
+    e = F.shiftright(a, 52).cast("int")
+    m = a.bitwiseAND(F.lit((1 << 52) - 1)).cast("double")
+    infinite = F.lit(0x7FF0000000000000)
+    size = (
+        F.when(a > infinite, F.lit(float("nan")))
+        .when(a == infinite, F.lit(float("inf")))
+        .when(e == 0, m * F.lit(2.0**-537) * F.lit(2.0**-537))
+        .otherwise((F.lit(1.0) + m / F.lit(_MANTISSA)) * _exact_power(e - 1023))
+    )
+    return F.when(k < 0, -size).otherwise(size)
+
+
+def exact_array_digest(c: Column | str, kind: str) -> Column:
+    """SHA-256 over element type, length and every value of an array, exactly: equal arrays of one
+    type have one digest, and no others do. Numbers are spelled so that they can be read back; null
+    elements count, a null array has no digest. ``kind`` is the type of the column, as the schema
+    names it (:func:`typed_array_digest` takes it from there)."""
+    values = _col(c)
+    spelled = F.transform(values, lambda v: F.coalesce(v.cast("string"), F.lit("null")))
+    return F.when(
+        values.isNotNull(), keyed_digest(kind, F.size(values), F.array_join(spelled, ","))
+    )
+
+
+def typed_array_digest(df: DataFrame, name: str) -> Column:
+    """:func:`exact_array_digest` of a column with the element type that its schema states."""
+    return exact_array_digest(F.col(f"`{name}`"), df.schema[name].dataType.simpleString())
+
+
+#: Modulus and base of :func:`sequence_term`; fixed, so that checks of different runs compare.
+SEQUENCE_PRIME, SEQUENCE_BASE = (1 << 31) - 1, 1_947_203_011
+
+
+def sequence_term(position: Column | str, digest: Column) -> Column:
+    """One term of a polynomial over a sequence: ``digest`` (a 64-bit hash) times the power of the
+    base that the 0-based ``position`` names, modulo a prime below 2^31. The sum of all terms modulo
+    the prime depends on what stands where; the sum of a shifted sequence is the sum times a power,
+    so parts can be added in any order."""
+    place = _col(position).cast("long")
+    powers, base = [], SEQUENCE_BASE
+    for _ in range(40):
+        powers.append(base)
+        base = base * base % SEQUENCE_PRIME
+    one = F.struct(place.alias("left"), F.lit(1).cast("long").alias("power"))
+    power = F.aggregate(
+        F.array(*[F.lit(p).cast("long") for p in powers]),
+        one,
+        lambda acc, p: F.struct(
+            F.shiftright(acc["left"], 1).alias("left"),
+            F.when(acc["left"].bitwiseAND(F.lit(1).cast("long")) == 1, acc["power"] * p % SEQUENCE_PRIME)
+            .otherwise(acc["power"])
+            .alias("power"),
+        ),
+        lambda acc: acc["power"],
+    )
+    return F.pmod(digest, F.lit(SEQUENCE_PRIME)) * power % SEQUENCE_PRIME

@@ -21,6 +21,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gaugework.functions.keys import SEQUENCE_PRIME, from_order_key, order_key, sequence_term
 from gaugework.local import pinned
 from gaugework.session import ensure_checkpoint_dir
 
@@ -240,49 +241,80 @@ def rank(
     return Ordering(df, group, order, slice_rows, bound, materialize).rank(name)
 
 
+#: Bits of an order key that each of three histograms looks at; the first has sign and exponent.
+RADIX_BITS = (22, 21, 21)
+
+
 def quantiles(
     df: DataFrame,
     group: list[str],
     value: str,
     probs: list[float],
     name: str = "quantiles",
-    slice_rows: int = SLICE_ROWS,
-    bound: int | None = None,
 ) -> DataFrame:
-    """Exact, linearly interpolated quantiles per group as an array column.
+    """Exact, linearly interpolated quantiles per group as an array column; nulls are left out.
 
-    ``bound`` is a number of rows no group can exceed, as in :class:`Ordering`. Large groups
-    are never collected: equal values are counted first, and the quantiles are read off
-    running counts.
+    One plan for groups of every size, a radix selection: rows are counted by the leading bits of
+    an order-preserving key, which is a partial aggregate; the counts of a group, 2^22 at most, say
+    in which bucket each wanted rank lies; the rows of those buckets are counted by the next bits,
+    and once more. After three counts a bucket is one value. No group is collected or sorted, and
+    rows never move: what moves is counts.
     """
-    data = df.where(F.col(value).isNotNull())
-    small = bound is not None and bound <= slice_rows
-    if small or largest_group(data, group, slice_rows) <= slice_rows:
-        return data.groupBy(*group).agg(F.percentile(value, probs).alias(name))
-
-    base = data if group else data.withColumn("_all", F.lit(0))
-    keys = list(group) or ["_all"]
-    counts = base.groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    ordering = Ordering(counts, keys, [value], slice_rows, materialize=True)
-    joined = ordering.with_group_total("_c", "_upto", "_total")
-    before = F.col("_upto") - F.col("_c")
-
-    def picked(position: Column) -> Column:
-        hit = (before <= position) & (position < F.col("_upto"))
-        return F.max(F.when(hit, F.col(value).cast("double")))
-
-    aggs = []
-    for i, p in enumerate(probs):
-        place = F.lit(float(p)) * (F.col("_total") - 1)
-        aggs += [picked(F.floor(place)).alias(f"_lo{i}"), picked(F.ceil(place)).alias(f"_hi{i}")]
-    read = joined.groupBy(*keys).agg(F.max("_total").alias("_total"), *aggs)
+    if sum(RADIX_BITS) != 64:
+        raise ValueError("the histograms have to cover 64 bits")
+    keys = [f"_g{i}" for i in range(len(group))] or ["_g0"]
+    named = [F.col(g).alias(k) for g, k in zip(group, keys, strict=False)] or [F.lit(0).alias("_g0")]
+    rows = df.where(F.col(value).isNotNull()).select(*named, order_key(value).alias("_key"))
+    shifts = [64 - sum(RADIX_BITS[: i + 1]) for i in range(3)]
+    digits = [F.shiftright("_key", shifts[0])] + [
+        F.shiftright("_key", s).bitwiseAND(F.lit((1 << b) - 1)) for s, b in zip(shifts[1:], RADIX_BITS[1:], strict=True)
+    ]
+    rows = rows.select(*keys, *[d.cast("int").alias(f"_d{i}") for i, d in enumerate(digits)])
+
+    # Ranks that the quantiles are read from, once per group.
+    def ranks(total: Column) -> Column:
+        places = [F.lit(float(p)) * (total - 1) for p in probs]
+        both = [f(place).cast("long") for place in places for f in (F.floor, F.ceil)]
+        return F.array_distinct(F.array(*both)) if both else F.array().cast("array<long>")
+
+    wanted = None
+    for level in range(3):
+        known = [*keys, *[f"_d{i}" for i in range(level)]]
+        if wanted is not None:
+            pairs = [(k, f"_w{k}") for k in known]
+            there = wanted.select(*[F.col(k).alias(w) for k, w in pairs])
+            rows = rows.join(there, _null_safe(rows, there, pairs), "left_semi")
+        counts = rows.groupBy(*known, f"_d{level}").agg(F.count("*").alias("_n"))
+        w = Window.partitionBy(*known).orderBy(f"_d{level}")
+        upto = F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        counts = counts.select(*known, f"_d{level}", "_n", upto.alias("_upto"))
+        if wanted is None:
+            total = F.sum("_n").over(Window.partitionBy(*keys))
+            counts = counts.withColumn("_total", total).withColumn(
+                "_ranks", F.transform(ranks(F.col("_total")), lambda r: F.struct(r.alias("rank"), r.alias("left")))
+            )
+        else:
+            pairs = [(k, f"_w{k}") for k in known]
+            there = wanted.select(*[F.col(k).alias(x) for k, x in pairs], "_total", "_ranks")
+            counts = counts.join(there, _null_safe(counts, there, pairs)).drop(*[x for _, x in pairs])
+        before = F.col("_upto") - F.col("_n")
+        here = F.filter("_ranks", lambda r: (r["left"] >= before) & (r["left"] < F.col("_upto")))
+        here = F.transform(here, lambda r: F.struct(r["rank"].alias("rank"), (r["left"] - before).alias("left")))
+        wanted = counts.select(*known, f"_d{level}", "_total", here.alias("_ranks")).where(F.size("_ranks") > 0)
+    key = F.lit(0).cast("long")
+    for level, shift in enumerate(shifts):
+        key = key + F.shiftleft(F.col(f"_d{level}").cast("long"), shift)
+    found = wanted.select(*keys, "_total", F.explode("_ranks.rank").alias("_rank"), from_order_key(key).alias("_value"))
+    read = found.groupBy(*keys, "_total").agg(
+        F.map_from_entries(F.collect_list(F.struct("_rank", "_value"))).alias("_at")
+    )
     parts = []
-    for i, p in enumerate(probs):
+    for p in probs:
         place = F.lit(float(p)) * (F.col("_total") - 1)
-        share = place - F.floor(place)
-        parts.append(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * share)
-    out = read.select(*keys, F.array(*parts).alias(name))
-    return out if group else out.drop("_all")
+        low, high = (F.element_at("_at", f(place).cast("long")) for f in (F.floor, F.ceil))
+        parts.append(F.when(low == high, low).otherwise(low + (high - low) * (place - F.floor(place))))
+    back = [F.col(k).alias(g) for g, k in zip(group, keys, strict=False)]
+    return read.select(*back, F.array(*parts).cast("array<double>").alias(name))
 
 
 def aggregate_with_quantiles(
@@ -302,13 +334,45 @@ def aggregate_with_quantiles(
         return df.groupBy(*group).agg(*aggregates, F.percentile(value, probs).alias(name))
     keyed = df if group else df.withColumn("_all", F.lit(0))
     keys = list(group) or ["_all"]
-    points = quantiles(keyed, keys, value, probs, name, slice_rows, bound)
+    points = quantiles(keyed, keys, value, probs, name)
     facts = keyed.groupBy(*keys).agg(*aggregates)
     cond = _null_safe(facts, points, [(k, k) for k in keys])
     joined = facts.join(points, cond, "left").drop(*[points[k] for k in keys])
     return joined if group else joined.drop("_all")
 
 
+def sequence_check(df: DataFrame, position: str, key: str) -> DataFrame:
+    """One row (``rows``, ``check``) that tells sequences apart without ordering them: the sum of
+    :func:`gaugework.functions.keys.sequence_term` over 0-based positions, a partial aggregate. Equal
+    sequences have equal checks; a swapped, dropped or changed key changes it but for one case in two
+    thousand million. An empty table has 0 rows and the check 0."""
+    hashed = F.conv(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 12), 16, 10).cast("long")
+    term = sequence_term(position, hashed)
+    total = F.pmod(F.sum(term.cast("decimal(10,0)")), F.lit(SEQUENCE_PRIME))
+    return df.agg(F.count("*").alias("rows"), F.coalesce(total.cast("long"), F.lit(0).cast("long")).alias("check"))
+
+
+def sequences_differ(left: DataFrame, right: DataFrame, position: str, key: str) -> DataFrame:
+    """One row comparing two sequences in one plan, nothing ordered and nothing joined: rows of each
+    side, how many positions hold different keys or are missing on a side, and the first of them."""
+    sides = left.select(F.col(position).alias("_p"), F.col(key).cast("string").alias("_k"), F.lit(1).alias("_s"))
+    sides = sides.unionAll(right.select(F.col(position), F.col(key).cast("string"), F.lit(2)))
+    # A pair that both sides have cancels; what is left stands on one side only.
+    odd = sides.groupBy("_p", "_k").agg(
+        F.count_if(F.col("_s") == 1).alias("_l"), F.count_if(F.col("_s") == 2).alias("_r")
+    )
+    places = odd.groupBy("_p").agg(
+        F.sum("_l").alias("_l"), F.sum("_r").alias("_r"), F.bool_or(F.col("_l") != F.col("_r")).alias("_off")
+    )
+    none = F.lit(0).cast("long")
+    return places.agg(
+        F.coalesce(F.sum("_l"), none).alias("left_rows"),
+        F.coalesce(F.sum("_r"), none).alias("right_rows"),
+        F.count_if("_off").alias("different_positions"),
+        F.min(F.when(F.col("_off"), F.col("_p"))).alias("first_difference"),
+    )
+
+
 def sequence_digest(
     df: DataFrame,
     order: list[str],
@@ -320,10 +384,11 @@ def sequence_digest(
 ) -> DataFrame:
     """One row with ``rows`` (counted unless given) and the ``digest`` of the keys in order.
 
-    Up to ``block`` keys the digest is SHA-256 over the keys, each followed by the separator.
-    Longer sequences are hashed block by block and the block digests are hashed the same
-    way, level by level, so no task sees more than one block at a time. ``dense`` states that
-    the single ``order`` column already holds the positions 0, 1, 2, …
+    The digest is a tree, for every length: blocks of ``block`` keys are hashed by SHA-256, each key
+    followed by the separator, and the block digests are hashed the same way, level by level, until
+    one is left. One block is a tree of one leaf, the empty sequence is a leaf without keys. No task
+    sees more than one block at a time. ``dense`` states that the single ``order`` column already
+    holds the positions 0, 1, 2, …
     """
     rows = df.count() if rows is None else rows
     columns = df.select(*dict.fromkeys([*order, key]))
@@ -351,7 +416,9 @@ def sequence_digest(
     level, left = fold(level), -(-rows // block)
     while left > 1:
         level, left = fold(level), -(-left // block)
-    return level.select(F.lit(rows).cast("long").alias("rows"), F.col("_text").alias("digest"))
+    # One row is left, or none.
+    digest = F.coalesce(F.max("_text"), F.sha2(F.lit(""), 256))
+    return level.agg(digest.alias("digest")).select(F.lit(rows).cast("long").alias("rows"), "digest")
 
 
 def canonical_order(df: DataFrame, entity: str, position: str, name: str = "position", slice_rows: int = SLICE_ROWS) -> DataFrame:

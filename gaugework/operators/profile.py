@@ -148,7 +148,7 @@ def histogram_quantile(counts: DataFrame, bins: int, probs: list[float], low: fl
 
 def quantile_rows(df: DataFrame, group: list[str], value: str, probs: list[float], slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Exact quantiles, one row per (group, q)."""
-    out = quantiles(df, group, value, probs, "_q", slice_rows)
+    out = quantiles(df, group, value, probs, "_q")
     labels = F.array(*[F.lit(float(p)) for p in probs])
     return out.select(
         *group,

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gaugework.functions.arrays import array_error, pair_fault
-from gaugework.functions.keys import array_digest
+from gaugework.functions.keys import typed_array_digest
 from gaugework.functions.values import affine_rescale, window_normalize
 from gaugework.operators import grids
 from gaugework.operators.constraints import open_partition, projection
@@ -126,7 +126,7 @@ def score_methods(
     kept = [*keep, reference, *([mask] if mask else [])]
     rows = units.select(
         *kept,
-        array_digest(given, F.size(given).cast("string")).alias("input_digest"),
+        typed_array_digest(units, given).alias("input_digest"),
         F.explode(restored).alias("_scored"),
     )
     error = array_error(F.col(reference), F.col("_scored.restored"), F.col(mask) if mask else None)
@@ -182,9 +182,9 @@ def score_functions(
                 )[schema.names]
 
     digested = units.select(
-        *passed, given, array_digest(given, F.size(given).cast("string")).alias("input_digest")
+        *passed, given, typed_array_digest(units, given).alias("input_digest")
     ) if given not in passed else units.select(
-        *passed, array_digest(given, F.size(given).cast("string")).alias("input_digest")
+        *passed, typed_array_digest(units, given).alias("input_digest")
     )
     rows = digested.mapInPandas(apply, schema)
     metrics = grids.unit_metrics(

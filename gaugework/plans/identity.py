@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gaugework.functions import geometry, keys, values
-from gaugework.operators.ordering import canonical_order, sequence_digest
+from gaugework.operators.ordering import canonical_order, rank, sequence_check, sequence_digest, sequences_differ
 from gaugework.operators.selection import probe_rows
 from gaugework.operators.splits import classify, unknown_signatures
-from gaugework.plans.registry import digest_sql, natural_sql, query, r, table, uniform_sql
+from gaugework.plans.registry import ORACLES, digest_sql, natural_sql, query, r, table, uniform_sql
 
 
 @query("natural_keys", f"SELECT doc_id, source, {natural_sql('source')} AS natural FROM documents")
@@ -320,3 +320,87 @@ WHERE event_type NOT IN ('view', 'click', 'purchase') GROUP BY ALL""",
 )
 def unknown_signatures_query(spark: SparkSession, d: str) -> DataFrame:
     return unknown_signatures(_signed(spark, d), ["event_type", "level"], _SIGNATURES)
+
+
+_SLICED = 2_000
+
+
+@query("canonical_order_sliced", ORACLES["canonical_order"])
+def canonical_order_sliced(spark: SparkSession, d: str) -> DataFrame:
+    """The canonical order by the plan for groups that no task can hold, with a small limit."""
+    documents = table(spark, d, "documents").select("doc_id", "source")
+    return canonical_order(documents, "source", "doc_id", slice_rows=_SLICED)
+
+
+def _powers() -> str:
+    powers, base = [], keys.SEQUENCE_BASE
+    for _ in range(40):
+        powers.append(base)
+        base = base * base % keys.SEQUENCE_PRIME
+    return ", ".join(map(str, powers))
+
+
+@query(
+    "sequence_check",
+    f"""
+WITH t AS (SELECT doc_id AS pos, ('0x' || substr(sha256(source), 1, 12))::BIGINT % {keys.SEQUENCE_PRIME} AS h FROM documents),
+m AS (SELECT h, list_reduce(list_prepend(1::BIGINT, list_transform([{_powers()}]::BIGINT[],
+  lambda p, i: CASE WHEN (pos >> (i - 1)) & 1 = 1 THEN p ELSE 1 END)), lambda a, b: a * b % {keys.SEQUENCE_PRIME}) AS power FROM t)
+SELECT count(*) AS rows, coalesce(sum(h * power % {keys.SEQUENCE_PRIME}) % {keys.SEQUENCE_PRIME}, 0)::BIGINT AS "check" FROM m""",
+)
+def sequence_check_query(spark: SparkSession, d: str) -> DataFrame:
+    """The sources of all documents by doc_id, checked without ordering them."""
+    return sequence_check(table(spark, d, "documents"), "doc_id", "source")
+
+
+@query(
+    "sequences_differ",
+    """
+WITH a AS (SELECT doc_id, source FROM documents),
+b AS (SELECT CASE WHEN doc_id % 100 = 0 THEN doc_id + 1 WHEN doc_id % 100 = 1 THEN doc_id - 1 ELSE doc_id END AS doc_id, source
+      FROM documents WHERE doc_id % 50 <> 7),
+j AS (SELECT coalesce(a.doc_id, b.doc_id) AS p, a.source IS DISTINCT FROM b.source AS off FROM a FULL JOIN b USING (doc_id))
+SELECT (SELECT count(*) FROM a) AS left_rows, (SELECT count(*) FROM b) AS right_rows,
+  count_if(off) AS different_positions, min(CASE WHEN off THEN p END) AS first_difference FROM j""",
+)
+def sequences_differ_query(spark: SparkSession, d: str) -> DataFrame:
+    """Documents against a copy in which neighbours are swapped and rows are dropped."""
+    left = table(spark, d, "documents").select("doc_id", "source")
+    place = F.col("doc_id") % 100
+    swapped = F.when(place == 0, F.col("doc_id") + 1).when(place == 1, F.col("doc_id") - 1).otherwise(F.col("doc_id"))
+    right = left.where(F.col("doc_id") % 50 != 7).select(swapped.alias("doc_id"), "source")
+    return sequences_differ(left, right, "doc_id", "source")
+
+
+@query(
+    "order_keys",
+    """
+SELECT l_orderkey, l_linenumber, l_extendedprice - 50000 AS value,
+  row_number() OVER (ORDER BY l_extendedprice - 50000, l_orderkey, l_linenumber) AS place FROM lineitem WHERE l_linenumber = 1""",
+)
+def order_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Doubles of both signs through their order keys and back, ranked by the key."""
+    lines = table(spark, d, "lineitem").where("l_linenumber = 1")
+    key = keys.order_key(F.col("l_extendedprice") - 50000)
+    keyed = lines.select("l_orderkey", "l_linenumber", key.alias("key"))
+    ranked = rank(keyed, [], ["key", "l_orderkey", "l_linenumber"], "place")
+    return ranked.select(
+        "l_orderkey", "l_linenumber", keys.from_order_key(F.col("key")).alias("value"), (F.col("place") + 1).alias("place")
+    )
+
+
+@query(
+    "exact_digests",
+    """
+WITH e AS (SELECT vec_id, embedding AS a, list_transform(embedding, lambda v, i: CASE WHEN i = 1 AND vec_id % 3 = 0 THEN v::DOUBLE + 3e-7 ELSE v::DOUBLE END) AS b FROM embeddings)
+SELECT vec_id, a::DOUBLE[] = b AS same_values, false AS same_across_types FROM e""",
+)
+def exact_digests(spark: SparkSession, d: str) -> DataFrame:
+    """Digests agree exactly where all values do: one element off by 3e-7, and float against double."""
+    vectors = table(spark, d, "embeddings").withColumn("a", F.col("embedding").cast("array<double>"))
+    moved = F.transform(
+        "a", lambda v, i: F.when((i == 0) & (F.col("vec_id") % 3 == 0), v + F.lit(3e-7)).otherwise(v)
+    )
+    vectors = vectors.withColumn("b", moved)
+    one, two, raw = (keys.typed_array_digest(vectors, c) for c in ("a", "b", "embedding"))
+    return vectors.select("vec_id", (one == two).alias("same_values"), (one == raw).alias("same_across_types"))

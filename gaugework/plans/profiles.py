@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gaugework.operators import profile, selection
-from gaugework.plans.registry import epoch_seconds, natural_sql, query, r, rounded, table, untied
+from gaugework.plans.registry import ORACLES, epoch_seconds, natural_sql, query, r, rounded, table, untied
 
 
 @query(
@@ -240,6 +240,21 @@ def positional_index(spark: SparkSession, d: str) -> DataFrame:
     return selection.positional_index(events, "user_id", "ts", "event_id").drop("ts")
 
 
+@query("positional_index_sliced", ORACLES["positional_index"])
+def positional_index_sliced(spark: SparkSession, d: str) -> DataFrame:
+    """The positional index by the plan for entities that no task can hold, with a small limit."""
+    events = table(spark, d, "events").select("event_id", "user_id", "ts")
+    return selection.positional_index(events, "user_id", "ts", "event_id", slice_rows=20).drop("ts")
+
+
+@query("gap_report_sliced", ORACLES["gap_report"])
+def gap_report_sliced(spark: SparkSession, d: str) -> DataFrame:
+    """The gap report by the same plan; the first query over it covers the other one."""
+    events = table(spark, d, "events").select("user_id", "event_id", "value", epoch_seconds("ts").alias("position"))
+    out = profile.gap_report(events, "user_id", "position", "event_id", "value", slice_rows=20)
+    return rounded(out, ["min_position", "max_position", "min_step", "max_step", "median_step"], 3)
+
+
 @query(
     "middle_pick",
     f"""

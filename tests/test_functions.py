@@ -156,3 +156,15 @@ def test_outlier_cells(spark):
     cells = df.select(arrays.outlier_cells(F.col("a"), 5.0, 2)).first()[0]
     assert [tuple(c) for c in cells] == [(0, 1, 9.0), (1, 1, 8.0)]
     assert len(df.select(arrays.outlier_cells(F.col("a"), 5.0, 2, cap=1)).first()[0]) == 1
+
+
+def test_exact_array_digest(spark):
+    def digests(schema, *arrays):
+        df = spark.createDataFrame([(a,) for a in arrays], f"a {schema}")
+        return [r[0] for r in df.select(keys.typed_array_digest(df, "a")).collect()]
+
+    rows = [[0.1], [0.1000003], [0.1, 0.2], [0.1, None], [None, 0.1], [], [float("nan")], [1.0, 2.0], [12.0]]
+    found = digests("array<double>", *rows, None)
+    assert found[-1] is None and len(set(found)) == len(rows) + 1 and digests("array<double>", *rows) == found[:-1]
+    assert digests("array<float>", [1.0, 2.0])[0] not in found
+    assert len(set(digests("array<double>", [0.1], [float(np.nextafter(0.1, 1))]))) == 2
