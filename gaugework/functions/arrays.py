@@ -16,37 +16,65 @@ def differences(ref: Column, pred: Column, mask: Column | None = None) -> Column
     return F.filter(kept, lambda d: d.isNotNull())
 
 
-def array_error(ref: Column, pred: Column, mask: Column | None = None, data_range: float = 1.0) -> Column:
-    """``struct(n, mae, mse, psnr)`` over all or the masked cells; nulls if none is selected.
+def array_error(
+    ref: Column,
+    pred: Column,
+    mask: Column | None = None,
+    data_range: float = 1.0,
+    low: float = 0.0,
+    high: float | None = None,
+) -> Column:
+    """``struct(n, mae, mse, psnr)`` over all or the masked cells; nulls if the mask selects none.
 
-    Arrays (and a mask) of different lengths and null cells fail the job.
+    One walk over the arrays adds up the errors and counts cells that may not be scored: null, not
+    finite, outside ``low`` to ``high`` (the data range), on one side only, or under no mask value.
+    Such cells, null arrays and empty ones fail the job with the reason that :func:`pair_fault` or
+    :func:`mask_fault` names.
     """
-    unfit = (F.size(ref) != F.size(pred)) | F.exists(ref, F.isnull) | F.exists(pred, F.isnull)
-    if mask is not None:
-        unfit = unfit | (F.size(ref) != F.size(mask)) | F.exists(mask, F.isnull)
-    ref = F.when(unfit, F.raise_error(F.lit("arrays to score differ in length or hold null"))).otherwise(ref)
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("a"), F.lit(0.0).alias("s"))
-    total = F.aggregate(
-        differences(ref, pred, mask),
-        zero,
-        lambda acc, d: F.struct(
-            (acc["n"] + 1).alias("n"), (acc["a"] + F.abs(d)).alias("a"), (acc["s"] + d * d).alias("s")
-        ),
-        lambda acc: F.struct(
-            acc["n"].alias("n"),
-            F.when(acc["n"] > 0, acc["a"] / acc["n"]).alias("mae"),
-            F.when(acc["n"] > 0, acc["s"] / acc["n"]).alias("mse"),
-        ),
+    top = low + data_range if high is None else high
+
+    def fit(v: Column) -> Column:
+        x = v.cast("double")
+        # Not a number is larger than every limit.
+        return (x >= F.lit(low - RANGE_TOLERANCE)) & (x <= F.lit(top + RANGE_TOLERANCE))
+
+    cells = F.zip_with(ref, pred, lambda a, b: F.when(fit(a) & fit(b), b.cast("double") - a.cast("double")))
+    if mask is None:
+        cells = F.transform(cells, lambda d: F.struct(d.alias("d"), F.lit(True).alias("m")))
+    else:
+        cells = F.zip_with(cells, mask, lambda d, m: F.struct(d.alias("d"), m.alias("m")))
+    zero = F.struct(
+        F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("a"), F.lit(0.0).alias("s"), F.lit(False).alias("bad")
     )
-    return F.transform(
-        F.array(total),
-        lambda t: F.struct(
+
+    def step(acc: Column, c: Column) -> Column:
+        counts = F.coalesce(c["m"], F.lit(False)) & c["d"].isNotNull()
+        d = F.when(counts, c["d"]).otherwise(0.0)
+        return F.struct(
+            (acc["n"] + counts.cast("long")).alias("n"),
+            (acc["a"] + F.abs(d)).alias("a"),
+            (acc["s"] + d * d).alias("s"),
+            (acc["bad"] | c["d"].isNull() | c["m"].isNull()).alias("bad"),
+        )
+
+    reason = pair_fault(ref, pred, low, top)
+    if mask is not None:
+        reason = F.coalesce(reason, mask_fault(mask, ref))
+    message = F.concat(F.lit("arrays may not be scored: "), F.coalesce(reason, F.lit("unknown")))
+    kind = "struct<n: bigint, mae: double, mse: double, psnr: double>"
+
+    def read(t: Column) -> Column:
+        mse = F.when(t["n"] > 0, t["s"] / t["n"])
+        error = F.struct(
             t["n"].alias("n"),
-            t["mae"].alias("mae"),
-            t["mse"].alias("mse"),
-            psnr(t["mse"], data_range).alias("psnr"),
-        ),
-    )[0]
+            F.when(t["n"] > 0, t["a"] / t["n"]).alias("mae"),
+            mse.alias("mse"),
+            psnr(mse, data_range).alias("psnr"),
+        )
+        unfit = t.isNull() | t["bad"] | (F.size(ref) <= 0) | (F.size(pred) <= 0)
+        return F.when(unfit, F.raise_error(message).cast(kind)).otherwise(error)
+
+    return F.transform(F.array(F.aggregate(cells, zero, step)), read)[0]
 
 
 def array_fault(

@@ -213,6 +213,15 @@ def only_partitions(df: DataFrame, partition: str, allowed: list[str]) -> DataFr
     return domain(df, partition, allowed, f"only partitions {','.join(allowed)}")
 
 
+def refuse_empty(df: DataFrame, what: str) -> DataFrame:
+    """``df``, whose use fails the job if it has no row. The check is a branch of the same plan that
+    looks for one row."""
+    first = df.limit(1).agg(F.count("*").alias("_n"))
+    message = F.raise_error(F.lit(f"{what}: no rows")).cast("boolean")
+    guard = first.where(F.when(F.col("_n") == 0, message).otherwise(F.lit(False)))
+    return df.unionAll(guard.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]))
+
+
 def require_open(df: DataFrame, partition: str, allowed: list[str]) -> DataFrame:
     """``df`` whose rows fail the job unless their label is an open partition; a row without a label
     fails too. For rows that reach a reader by any other route than :func:`open_partition`."""

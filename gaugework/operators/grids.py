@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from gaugework.functions.values import RANGE_TOLERANCE
 from gaugework.operators.joins import lookup_join
 from gaugework.operators.ordering import SLICE_ROWS
 
@@ -200,6 +201,14 @@ def nearest(mask: Column, height: Column, width: Column, to_height: int, to_widt
     return _grid_udf(kernel, bool, "array<boolean>")(mask, height, width)
 
 
+def _refuse_unfit(values: np.ndarray, name: str, data_range: float) -> None:
+    """Stop on grids that may not be scored, by the rules of ``functions.arrays.array_fault``."""
+    if values.size and not np.isfinite(values).all():
+        raise ValueError(f"{name} is not finite")
+    if values.size and (values.min() < -RANGE_TOLERANCE or values.max() > data_range + RANGE_TOLERANCE):
+        raise ValueError(f"{name} is out of range")
+
+
 def local_similarity(
     ref: Column,
     pred: Column,
@@ -209,7 +218,8 @@ def local_similarity(
     sigma: float = SIGMA,
     data_range: float = 1.0,
 ) -> Column:
-    """Mean local similarity over the interior the window covers completely."""
+    """Mean local similarity over the interior the window covers completely. Values that are not
+    finite or outside the data range fail the job, as grids of another size than stated do."""
     taps = gaussian_taps(window, sigma)
 
     @F.pandas_udf("double")
@@ -219,6 +229,8 @@ def local_similarity(
             if min(h, w) < window:
                 raise ValueError(f"a {h}x{w} grid is smaller than the window {window}")
             x, y = _stack(a, rows, h, w, float), _stack(b, rows, h, w, float)
+            _refuse_unfit(x, "reference", data_range)
+            _refuse_unfit(y, "prediction", data_range)
             out[rows] = _similarity(x, y, taps, data_range).mean(axis=(1, 2))
         return pd.Series(out)
 
@@ -237,8 +249,8 @@ def unit_metrics(
 ) -> Column:
     """All eight metrics of a unit; the similarity map is computed once for both regions.
 
-    The masked similarity averages cells whose whole window lies in the mask. An empty mask
-    fails the job; a mask thinner than the window gives null there, for the caller to handle.
+    The masked similarity averages cells whose whole window lies in the mask. Values that are not
+    finite or outside the data range and an empty mask fail the job; a mask thinner than the window gives null there, for the caller to handle.
     """
     taps, r = gaussian_taps(window, sigma), window // 2
 
@@ -249,6 +261,8 @@ def unit_metrics(
             if min(h, w) < window:
                 raise ValueError(f"a {h}x{w} grid is smaller than the window {window}")
             x, y = _stack(a, rows, h, w, float), _stack(b, rows, h, w, float)
+            _refuse_unfit(x, "reference", data_range)
+            _refuse_unfit(y, "prediction", data_range)
             body = _stack(m, rows, h, w, bool)
             cells = body.sum(axis=(1, 2))
             if (cells == 0).any():
@@ -302,8 +316,12 @@ def clip_limited_equalize(
 
     Bins are capped at ``clip`` times the mean bin height (at least one), the excess is spread
     evenly, the first bins taking the remainder, and the running count is scaled to
-    ``bins - 1``. The lookup is joined on (group, bin), and a hot cell is spread further.
+    ``bins - 1``. The lookup is joined on (group, bin), and a hot cell is spread further. A bin that
+    is null or outside 0 to ``bins - 1`` fails the job.
     """
+    inside = F.coalesce(F.col(bin_column).between(0, bins - 1), F.lit(False))
+    outside = F.concat(F.lit(f"outside the {bins} bins: "), F.coalesce(F.col(bin_column).cast("string"), F.lit("null")))
+    df = df.where(F.when(inside, F.lit(True)).otherwise(F.raise_error(outside).cast("boolean")))
     cells = df.groupBy(*group, F.col(bin_column).alias("_bin")).agg(F.count("*").alias("_c"))
     # One histogram per group: at most ``bins`` entries.
     packed = cells.groupBy(*group).agg(

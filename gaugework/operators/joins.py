@@ -6,7 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gaugework.functions.values import is_finite
 from gaugework.local import pinned
+from gaugework.operators.constraints import refuse_empty
 from gaugework.operators.ordering import MAX_SLICES, SLICE_ROWS, rank
 
 
@@ -44,23 +46,32 @@ def lookup_join(
     return spread.join(repeated, [*keys, "_part"], how).drop("_part")
 
 
+def _one_per_key(lookup: DataFrame, keys: list[str], columns: list[str], what: str) -> DataFrame:
+    """``lookup`` reduced to one row per key; a key that comes twice fails the job when it is met.
+    The aggregate stands where the join deals the lookup anyway."""
+    one = lookup.groupBy(*keys).agg(F.count("*").alias("_copies"), *[F.any_value(c).alias(c) for c in columns])
+    key = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
+    message = F.raise_error(F.concat(F.lit(f"{what} is repeated: "), key)).cast("boolean")
+    # A filter, so that the check stays where a column is not used.
+    return one.where(F.when(F.col("_copies") == 1, F.lit(True)).otherwise(message)).drop("_copies")
+
+
 def inherit(
     units: DataFrame, entities: DataFrame, entity: str, attributes: list[str], slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
-    """Units with the attributes of their entity; a unit without entity fails the job."""
-    lookup = entities.select(entity, *attributes, F.lit(True).alias("_known"))
+    """Units with the attributes of their entity; a unit without entity, or an entity that comes
+    twice, fails the job."""
+    lookup = _one_per_key(entities, [entity], attributes, "an entity").withColumn("_known", F.lit(True))
     joined = lookup_join(units, lookup, [entity], "left", slice_rows)
-    checked = F.when(F.col("_known"), F.col(attributes[0])).otherwise(
-        F.raise_error(F.concat(F.lit("unit of unknown entity "), F.col(entity).cast("string")))
-    )
-    return joined.withColumn(attributes[0], checked).drop("_known")
+    message = F.raise_error(F.concat(F.lit("unit of unknown entity "), F.coalesce(F.col(entity).cast("string"), F.lit("null"))))
+    return joined.where(F.when(F.col("_known"), F.lit(True)).otherwise(message.cast("boolean"))).drop("_known")
 
 
 def inherited_mismatches(
     units: DataFrame, entities: DataFrame, entity: str, attribute: str, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """One row: units checked and units whose attribute differs from their entity's."""
-    lookup = entities.select(entity, F.col(attribute).alias("_expected"))
+    lookup = _one_per_key(entities, [entity], [attribute], "an entity").withColumnRenamed(attribute, "_expected")
     return lookup_join(units, lookup, [entity], "left", slice_rows).agg(
         F.count("*").alias("units"),
         F.count_if(~F.col(attribute).eqNullSafe(F.col("_expected"))).alias("mismatched"),
@@ -104,8 +115,14 @@ def _pair_fault(must_match: list[str]) -> Column:
     )
 
 
+def _metric_fault(fault: Column, metrics: list[str]) -> Column:
+    """``fault``, or the first metric that is null or not finite on a side."""
+    sides = [F.when(~is_finite(F.col(f"_{s}_mean_{m}")), F.lit(f"{m} is not finite")) for m in metrics for s in "mb"]
+    return F.coalesce(fault, *sides)
+
+
 def _checked_pairs(joined: DataFrame, key: str, metrics: list[str], must_match: list[str]) -> DataFrame:
-    fault = _pair_fault(must_match)
+    fault = _metric_fault(_pair_fault(must_match), metrics)
     message = F.concat(F.lit("not paired: "), F.col(key).cast("string"), F.lit(" "), fault)
     columns = []
     for m in metrics:
@@ -132,7 +149,8 @@ def strict_pairs_of(
     """
     columns = [*must_match, *[f"mean_{m}" for m in metrics]]
     sides = {"m": F.col(method) == name, "b": F.col(method) == baseline}
-    both = entities.where(F.col(method).isin(name, baseline)).groupBy(key).agg(
+    chosen = refuse_empty(entities.where(F.col(method).isin(name, baseline)), f"{name} and {baseline}")
+    both = chosen.groupBy(key).agg(
         *[F.nullif(F.count_if(is_side), F.lit(0)).alias(f"_{s}_n") for s, is_side in sides.items()],
         *[
             F.max(F.when(is_side, F.col(c))).alias(f"_{s}_{c}")
@@ -150,8 +168,10 @@ def strict_pairs(
     metrics: list[str],
     must_match: list[str] = ("unit_count",),
 ) -> DataFrame:
-    """``baseline_x, method_x, delta_x`` per entity; anything short of 1:1 fails the job."""
+    """``baseline_x, method_x, delta_x`` per entity; anything short of 1:1, a metric that is not
+    finite and an empty side fail the job."""
     must_match = list(must_match)
+    method, baseline = refuse_empty(method, "method table"), refuse_empty(baseline, "baseline table")
     return _checked_pairs(_full_pairs(method, baseline, key, metrics, must_match), key, metrics, must_match)
 
 
@@ -255,10 +275,8 @@ def candidate_grid(units: DataFrame, candidates: list[dict], name: str = "candid
 def same_run_partner(
     results: DataFrame, partners: DataFrame, keys: list[str], run: str, value: str = "value"
 ) -> DataFrame:
-    """Each result with the partner of the same run; a missing partner fails the job."""
-    other = partners.select(*keys, run, F.col(value).alias("partner"), F.lit(True).alias("_found"))
-    joined = results.join(other, [*keys, run], "left")
-    checked = F.when(F.col("_found"), F.col("partner")).otherwise(
-        F.raise_error(F.concat(F.lit("no partner for run "), F.col(run).cast("string")))
-    )
-    return joined.withColumn("partner", checked).drop("_found")
+    """Each result with the partner of the same run; a missing or repeated partner fails the job."""
+    other = _one_per_key(partners, [*keys, run], [value], "a partner").withColumnRenamed(value, "partner")
+    joined = results.join(other.withColumn("_found", F.lit(True)), [*keys, run], "left")
+    message = F.raise_error(F.concat(F.lit("no partner for run "), F.coalesce(F.col(run).cast("string"), F.lit("null"))))
+    return joined.where(F.when(F.col("_found"), F.lit(True)).otherwise(message.cast("boolean"))).drop("_found")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gaugework.functions.keys import natural_key
 from gaugework.functions.values import is_finite
+from gaugework.operators.constraints import refuse_empty
 from gaugework.operators.ordering import SLICE_ROWS, Ordering, rank
 
 
@@ -41,9 +42,10 @@ def rank_candidates(
 ) -> DataFrame:
     """Best first by metrics (higher wins, in order), then gentler parameters.
 
-    Adds ``selection_rank`` and ``selected``; a repeated parameter set or a metric that is null
-    or not finite fails the job.
+    Adds ``selection_rank`` and ``selected``; a repeated parameter set, a metric that is null or not
+    finite and a table without candidates fail the job.
     """
+    candidates = refuse_empty(candidates, "candidates")
     repeats = candidates.groupBy(*parameters).agg(F.count("*").alias("_copies"), *[F.any_value(c).alias(c) for c in candidates.columns if c not in parameters])
     keyed = repeats.select("*", *[(-F.col(m)).alias(f"_neg_{m}") for m in metrics])
     order = [*[f"_neg_{m}" for m in metrics], *parameters]

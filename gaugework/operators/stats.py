@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gaugework.functions.directions import is_improvement, metric_direction
+from gaugework.functions.values import is_finite
+from gaugework.operators.constraints import refuse_empty
 from gaugework.operators.ordering import aggregate_with_quantiles
 
 
@@ -137,7 +139,12 @@ def paired_delta_summary(
     higher: tuple[str, ...],
     bound: int | None = None,
 ) -> DataFrame:
-    """Distribution of the per-entity deltas and direction-aware counts, one row per metric."""
+    """Distribution of the per-entity deltas and direction-aware counts, one row per metric. A delta
+    that is null or not finite and an empty table fail the job."""
+    fault = F.coalesce(*[F.when(~is_finite(F.col(d)), F.lit(d)) for d in delta_columns(metrics)])
+    message = F.raise_error(F.concat(fault, F.lit(" is not finite"))).cast("boolean")
+    pairs = refuse_empty(pairs, "paired deltas")
+    pairs = pairs.where(F.when(fault.isNull(), F.lit(True)).otherwise(message))
     long = to_long(pairs, [], delta_columns(metrics)).withColumn(
         "direction", metric_direction(F.col("metric"), lower, higher)
     )

@@ -69,13 +69,14 @@ def array_error_query(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "masked_error",
     f"""WITH {_NOISY}
-SELECT vec_id, count(*) AS n, round(avg(abs(given - ref)), 8) AS mae, round(avg((given - ref) ** 2), 8) AS mse,
-       round({_psnr('avg((given - ref) ** 2)')}, 5) AS psnr FROM noisy WHERE ref > 0.5 GROUP BY vec_id""",
+SELECT vec_id, count_if(ref > 0.5) AS n, round(avg(abs(given - ref)) FILTER (ref > 0.5), 8) AS mae,
+       round(avg((given - ref) ** 2) FILTER (ref > 0.5), 8) AS mse,
+       round({_psnr('avg((given - ref) ** 2) FILTER (ref > 0.5)')}, 5) AS psnr FROM noisy GROUP BY vec_id""",
 )
 def masked_error(spark: SparkSession, d: str) -> DataFrame:
     mask = F.transform("ref", lambda v: v > 0.5)
     out = _noisy(spark, d).select("vec_id", array_error(F.col("ref"), F.col("given"), mask).alias("e")).select("vec_id", "e.*")
-    return rounded(rounded(out.where("n > 0"), ["mae", "mse"], 8), ["psnr"], 5)
+    return rounded(rounded(out, ["mae", "mse"], 8), ["psnr"], 5)
 
 
 @query(
@@ -98,6 +99,27 @@ def pair_faults(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    "score_faults",
+    """
+WITH k AS (SELECT vec_id % 6 AS k FROM embeddings)
+SELECT CASE k WHEN 0 THEN 'reference not finite' WHEN 1 THEN 'prediction out of range' WHEN 2 THEN 'reference empty'
+         WHEN 3 THEN 'shapes differ' WHEN 4 THEN 'prediction not finite' END AS fault, count(*) AS units FROM k GROUP BY k""",
+)
+def score_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Every unit with a fault of its own kind, named by the checks that the scorers fail with."""
+    units = _grids(spark, d).withColumn("k", F.col("vec_id") % 6)
+
+    def first(c: Column, value: float) -> Column:
+        return F.transform(c, lambda v, i: F.when(i == 0, F.lit(value)).otherwise(v.cast("double")))
+
+    none = F.array().cast("array<double>")
+    ref = F.when(F.col("k") == 0, first(F.col("ref"), float("nan"))).when(F.col("k") == 2, none).otherwise(F.col("ref"))
+    pred = F.when(F.col("k") == 1, first(F.col("ref"), 7.0)).when(F.col("k") == 3, F.slice("ref", 1, 9))
+    pred = pred.when(F.col("k") == 4, first(F.col("ref"), float("inf"))).otherwise(F.col("ref"))
+    return units.select(pair_fault(ref, pred).alias("fault")).groupBy("fault").agg(F.count("*").alias("units"))
+
+
 def _clip(v: Column) -> Column:
     return F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
 
