@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gaugework.functions.values import is_finite
@@ -45,19 +47,46 @@ def cohort_counters(
     means: list[str] = (),
     maxima: list[str] = (),
     all_of: dict[str, Column] | None = None,
+    minima: list[str] = (),
+    medians: list[str] = (),
 ) -> DataFrame:
-    """Counts, distinct entities, conditional counts and null-tolerant mean/max/all."""
+    """Counts, distinct entities, conditional counts and null-tolerant mean/min/median/max/all. The
+    medians are exact, by :func:`gaugework.operators.ordering.quantiles`."""
+    if medians:
+        out = cohort_counters(units, entity, by, counts, means, maxima, all_of, minima)
+        for c in medians:
+            found = quantiles(units, list(by), c, [0.5], "_q").select(
+                *[F.col(b).alias(f"_b{i}") for i, b in enumerate(by)], F.get("_q", F.lit(0)).alias(f"median_{c}")
+            )
+            same = [out[b].eqNullSafe(found[f"_b{i}"]) for i, b in enumerate(by)] or [F.lit(True)]
+            # One row per group on both sides.
+            out = out.join(found, reduce(lambda a, b: a & b, same), "left").drop(*[f"_b{i}" for i in range(len(by))])
+        return out
     grouped = units.groupBy(*by)
     return grouped.agg(
         F.count("*").alias("units"),
         F.count_distinct(entity).alias("entities"),
         *[F.count_if(c).alias(n) for n, c in (counts or {}).items()],
         *[F.avg(c).alias(f"mean_{c}") for c in means],
+        *[F.min(c).alias(f"min_{c}") for c in minima],
         *[F.max(c).alias(f"max_{c}") for c in maxima],
         *[F.bool_and(c).alias(n) for n, c in (all_of or {}).items()],
     )
 
 
+def known_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per column: rows with a value, rows without, and distinct values, in one pass."""
+    entries = F.array(
+        *[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]
+    )
+    long = df.select(F.explode(entries).alias("r")).select("r.*")
+    return long.groupBy("column").agg(
+        F.count("value").alias("present"),
+        F.count_if(F.col("value").isNull()).alias("absent"),
+        F.count_distinct("value").alias("values"),
+    )
+
+
 def value_distribution(df: DataFrame, columns: list[str], top: int | None = 10) -> DataFrame:
     """Counts per (column, value), nulls left out; with ``top``, the most frequent per column.
 

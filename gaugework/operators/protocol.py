@@ -128,11 +128,11 @@ def evaluate(
     q.require(q.combine([finite.report(manifest.sparkSession), score_gates(scored, units, study)]))
     tables = result_tables(scored, study, units.count())
     if destination is not None:
-        outputs = {"units": Output(scored, "parquet", (), ("method",))}
-        outputs |= {
-            name: Output(table, "parquet" if name.startswith(("entities", "deltas")) else "csv")
-            for name, table in tables.items()
-        }
+        outputs = {"units": Output(scored, "parquet", (), ("method",), (study.unit,))}
+        for name, table in tables.items():
+            data = name.startswith(("entities", "deltas"))
+            order = [c for c in ("method", study.entity, study.stratum, "metric") if c in table.columns]
+            outputs[name] = Output(table, "parquet" if data else "csv", (), (), tuple(order))
         publish_once(manifest.sparkSession, outputs, destination, limit, canonical)
     return {"units": scored, **tables}
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gaugework.functions import nested
 from gaugework.plans.registry import query, table
 from gaugework.sources import catalog
 
@@ -27,6 +28,38 @@ def quarantine(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    "read_manifest",
+    "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'",
+)
+def read_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of one open partition of a manifest with a fixed schema; the filter is in the scan."""
+    schema = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").schema
+    path = f"{d.rstrip('/')}/orders.parquet"
+    return catalog.read_manifest(spark, path, "F", ["F", "O"], schema, "o_orderstatus", "parquet")
+
+
+@query(
+    "published_nested",
+    """
+WITH u AS (SELECT l_orderkey, list({'line': l_linenumber, 'share': round(l_extendedprice / 3, 6)} ORDER BY l_linenumber) AS lines,
+             round(avg(l_discount / 7), 6) AS mean FROM lineitem GROUP BY l_orderkey),
+e AS (SELECT l_orderkey, mean, unnest(lines) AS x FROM u)
+SELECT l_orderkey, mean, x.line AS line, x.share AS share, x.share AS keyed FROM e""",
+)
+def published_nested(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with nested shares, rounded at every depth and proved finite, taken apart again."""
+    line = F.struct(F.col("l_linenumber").alias("line"), (F.col("l_extendedprice") / 3).alias("share"))
+    # The lines of an order are few.
+    orders = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
+        F.struct(F.sort_array(F.collect_list(line)).alias("lines")).alias("inner"), F.avg(F.col("l_discount") / 7).alias("mean")
+    )
+    keyed = F.map_from_entries(F.transform("inner.lines", lambda x, i: F.struct(i.alias("i"), F.struct(x["share"].alias("v")))))
+    out = nested.rounded(nested.require_finite(orders.withColumn("map", keyed)), 6)
+    rows = out.select("l_orderkey", "mean", "map", F.posexplode("inner.lines").alias("i", "x"))
+    return rows.select("l_orderkey", "mean", "x.line", "x.share", F.element_at("map", F.col("i"))["v"].alias("keyed"))
+
+
 @query(
     "file_reads",
     """

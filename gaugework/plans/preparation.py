@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gaugework.operators import joins, sampling, selection, splits
+from gaugework.operators.splits import entity_facts
 from gaugework.plans.registry import digest_sql, natural_sql, query, table
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD"]
@@ -59,6 +60,17 @@ dealt AS (SELECT c_custkey, segment, weight, CASE WHEN next_slot = slot THEN 'tr
           FROM par UNION ALL SELECT c_custkey, segment, weight, 'stress' FROM ent WHERE segment = 'MACHINERY')"""
 
 
+@query(
+    "entity_facts",
+    """SELECT o_custkey, c_mktsegment, c_nationkey, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL""",
+)
+def entity_facts_query(spark: SparkSession, d: str) -> DataFrame:
+    """One row per customer with orders: attributes proved constant, and the number of orders."""
+    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", "c_nationkey")
+    units = joins.inherit(table(spark, d, "orders").select("o_custkey"), customers, "o_custkey", ["c_mktsegment", "c_nationkey"])
+    return entity_facts(units, "o_custkey", ["c_mktsegment", "c_nationkey"], "orders")
+
+
 @query("stratum_allocation", f"WITH {_ALLOCATION} SELECT * FROM alloc")
 def stratum_allocation(spark: SparkSession, d: str) -> DataFrame:
     return splits.allocate(_customers(spark, d), "segment", SIZES, SEGMENTS)

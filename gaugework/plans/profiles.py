@@ -240,6 +240,32 @@ def positional_index(spark: SparkSession, d: str) -> DataFrame:
     return selection.positional_index(events, "user_id", "ts", "event_id").drop("ts")
 
 
+@query(
+    "cohort_extremes",
+    """
+SELECT event_type, count(*) AS units, count(DISTINCT user_id) AS entities, min(value) AS min_value, max(value) AS max_value,
+  round(quantile_cont(value, 0.5), 6) AS median_value FROM events GROUP BY event_type""",
+)
+def cohort_extremes(spark: SparkSession, d: str) -> DataFrame:
+    out = profile.cohort_counters(
+        table(spark, d, "events"), "user_id", ["event_type"], maxima=["value"], minima=["value"], medians=["value"]
+    )
+    return rounded(out, ["median_value"])
+
+
+@query(
+    "known_values",
+    """
+WITH d AS (SELECT source, lang, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE n_chars END AS n_chars FROM documents)
+SELECT 'source' AS "column", count(source) AS present, count(*) - count(source) AS absent, count(DISTINCT source) AS "values" FROM d
+UNION ALL SELECT 'lang', count(lang), count(*) - count(lang), count(DISTINCT lang) FROM d
+UNION ALL SELECT 'n_chars', count(n_chars), count(*) - count(n_chars), count(DISTINCT n_chars) FROM d""",
+)
+def known_values(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents").withColumn("n_chars", F.when(F.col("doc_id") % 3 != 0, F.col("n_chars")))
+    return profile.known_values(documents, ["source", "lang", "n_chars"])
+
+
 @query("positional_index_sliced", ORACLES["positional_index"])
 def positional_index_sliced(spark: SparkSession, d: str) -> DataFrame:
     """The positional index by the plan for entities that no task can hold, with a small limit."""

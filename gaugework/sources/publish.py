@@ -6,9 +6,10 @@ import json
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugework.functions.values import PUBLISHED_PLACES, is_finite, published
+from gaugework.functions.nested import require_finite, rounded
+from gaugework.functions.values import PUBLISHED_PLACES
 
 
 class PublicationError(RuntimeError):
@@ -23,6 +24,8 @@ class Output:
     fmt: str = "parquet"
     columns: tuple[str, ...] = ()
     partition_by: tuple[str, ...] = ()
+    #: Columns that rows are ordered by.
+    order: tuple[str, ...] = ()
 
 
 def guard_partial(limit: int | None, destination: str, canonical: tuple[str, ...]) -> None:
@@ -34,53 +37,35 @@ def guard_partial(limit: int | None, destination: str, canonical: tuple[str, ...
         raise PublicationError(f"a run limited to {limit} rows may not write {destination}")
 
 
-def rounded(df: DataFrame, places: int = PUBLISHED_PLACES) -> DataFrame:
-    """Doubles and arrays of doubles rounded for stable bytes."""
-    out = []
-    for field in df.schema.fields:
-        c = F.col(field.name)
-        if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            c = published(c, places).alias(field.name)
-        elif isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, T.DoubleType):
-            c = F.transform(c, lambda v: published(v, places)).alias(field.name)
-        out.append(c)
-    return df.select(*out)
-
-
 def strict_json(df: DataFrame, places: int = PUBLISHED_PLACES) -> DataFrame:
-    """One JSON text per row; a NaN or infinite number fails the job instead of being written."""
-    checks = [
-        is_finite(F.col(f.name)) | F.col(f.name).isNull()
-        for f in df.schema.fields
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType))
-    ]
-    clean = rounded(df, places)
-    text = F.to_json(F.struct(*clean.columns), {"ignoreNullFields": "false"})
-    if not checks:
-        return clean.select(text.alias("value"))
-    sound = checks[0]
-    for c in checks[1:]:
-        sound = sound & c
-    flagged = rounded(df.withColumn("_sound", sound), places)
-    return flagged.select(
-        F.when(F.col("_sound"), text).otherwise(F.raise_error(F.lit("a number is not finite"))).alias("value")
-    )
+    """One JSON text per row, numbers rounded; one that is not finite, at any depth, fails the job
+    instead of being written."""
+    clean = rounded(require_finite(df), places)
+    return clean.select(F.to_json(F.struct(*[f"`{c}`" for c in clean.columns]), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def write_table(output: Output, path: str) -> None:
+    """Write a declared table. Numbers are rounded in every format, so that the same results give the
+    same values; reports are one file in the declared order, data is ordered within its files."""
     df = output.table.select(*output.columns) if output.columns else output.table
-    if output.fmt == "csv":
-        # Reports only: one small file with a fixed column order.
-        rounded(df).coalesce(1).write.mode("errorifexists").option("header", "true").option(
-            "lineSep", "\n"
-        ).csv(path)
-    elif output.fmt == "json":
-        strict_json(df).coalesce(1).write.mode("errorifexists").option("lineSep", "\n").text(path)
-    else:
-        writer = df.write.mode("errorifexists")
-        if output.partition_by:
-            writer = writer.partitionBy(*output.partition_by)
-        writer.parquet(path)
+    order = [F.col(c) for c in output.order]
+    if output.fmt in ("csv", "json"):
+        # Reports only: one small file.
+        one = df.coalesce(1)
+        one = one.sortWithinPartitions(*order) if order else one
+        if output.fmt == "csv":
+            writer = rounded(one).write.mode("errorifexists").option("header", "true")
+            writer.option("lineSep", "\n").csv(path)
+        else:
+            strict_json(one).write.mode("errorifexists").option("lineSep", "\n").text(path)
+        return
+    data = rounded(df)
+    if order:
+        data = data.sortWithinPartitions(*output.partition_by, *order)
+    writer = data.write.mode("errorifexists")
+    if output.partition_by:
+        writer = writer.partitionBy(*output.partition_by)
+    writer.parquet(path)
 
 
 def _filesystem(spark: SparkSession, path: str):
@@ -128,7 +113,7 @@ def publish_once(spark: SparkSession, outputs: dict[str, Output], destination: s
         if not fs.rename(to_path(staging), to_path(destination)):
             raise PublicationError(f"cannot rename {staging} to {destination}")
     except Exception as error:
-        record = {"error": f"{type(error).__name__}: {error}"[:2000]}
+        record = {"error": f"{type(error).__name__}: {error}"}
         if fs.exists(to_path(staging)) and not fs.exists(to_path(f"{staging}/FAILED.json")):
             _write_text(spark, f"{staging}/FAILED.json", json.dumps(record))
         raise
