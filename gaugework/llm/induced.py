@@ -28,11 +28,18 @@ import numpy as np
 IN_MEMORY = 64_000_000
 #: Elements that one step over a whole array handles.
 STEP = 1 << 20
+#: Tuples that a queue hands out together.
+BLOCK = 1 << 18
 #: Symbols of a text of names that is sorted in memory.
 BASE = 1 << 22
 _NEVER = np.iinfo(np.int64).max
 
 
+def _wide(n: int) -> type:
+    """The type of positions in a text of ``n`` symbols."""
+    return np.int32 if n < np.iinfo(np.int32).max // 2 else np.int64
+
+
 def allot(shape: int | tuple[int, ...], dtype: type) -> np.ndarray:
     """An array of zeros in memory or, if large, in a temporary file without a name."""
     size = int(np.prod(shape)) * np.dtype(dtype).itemsize
@@ -70,7 +77,7 @@ class Queue:
 
     def _add(self, level: int, columns: list[np.ndarray]) -> None:
         size = sum(c.nbytes for c in columns)
-        if size > self.held or size + sum(24 * len(r[2]) for r in self.runs if not isinstance(r[2], np.memmap)) > 4 * self.held:
+        if size > self.held or size + sum(3 * r[2].nbytes for r in self.runs if not isinstance(r[2], np.memmap)) > 4 * self.held:
             for i, column in enumerate(columns):
                 with tempfile.TemporaryFile() as file:
                     mapped = np.memmap(file, column.dtype, "w+", shape=column.shape)
@@ -116,27 +123,54 @@ def _small(key: np.ndarray) -> np.ndarray:
 
 
 class Minima:
-    """Minima over ranges of a growing sequence of small numbers."""
+    """Minima over ranges of a growing sequence of small numbers: over 1, 2 .. ``BLOCK`` numbers up
+    to each, and over 1, 2, 4 .. whole blocks."""
 
-    def __init__(self, n: int) -> None:
-        self.table = allot((max(1, n.bit_length()), n), np.uint8)
-        self.n = 0
+    BLOCK = 16
 
-    def append(self, values: np.ndarray) -> None:
-        a, b = self.n, self.n + len(values)
-        self.table[0, a:b] = values
-        for k in range(1, b.bit_length()):
+    def __init__(self, n: int) -> None:
+        self.near = allot((self.BLOCK.bit_length(), n), np.uint8)
+        blocks = n // self.BLOCK + 1
+        self.far = allot((blocks.bit_length(), blocks), np.uint8)
+        self.n = self.blocks = 0
+
+    @staticmethod
+    def _double(table: np.ndarray, a: int, b: int) -> None:
+        for k in range(1, min(len(table), b.bit_length())):
             half = 1 << (k - 1)
-            self.table[k, a:b] = self.table[k - 1, a:b]
+            table[k, a:b] = table[k - 1, a:b]
             first = max(a, half)
             if first < b:
-                np.minimum(self.table[k, first:b], self.table[k - 1, first - half : b - half], out=self.table[k, first:b])
-        self.n = b
+                np.minimum(table[k, first:b], table[k - 1, first - half : b - half], out=table[k, first:b])
+
+    def append(self, values: np.ndarray) -> None:
+        a, self.n = self.n, self.n + len(values)
+        self.near[0, a : self.n] = values
+        self._double(self.near, a, self.n)
+        old, self.blocks = self.blocks, self.n // self.BLOCK
+        if self.blocks > old:
+            self.far[0, old : self.blocks] = self.near[-1, (np.arange(old, self.blocks) + 1) * self.BLOCK - 1]
+            self._double(self.far, old, self.blocks)
+
+    @staticmethod
+    def _least(table: np.ndarray, after: np.ndarray, to: np.ndarray) -> np.ndarray:
+        k = np.frexp(to - after)[1].astype(np.int64) - 1
+        return np.minimum(table[k, to], table[k, after + (np.int64(1) << k)])
 
     def least(self, after: np.ndarray, to: np.ndarray) -> np.ndarray:
         """The least of the numbers behind ``after`` up to and with ``to``."""
-        k = np.frexp(to - after)[1].astype(np.int64) - 1
-        return np.minimum(self.table[k, to], self.table[k, after + (np.int64(1) << k)])
+        wide = to - after > self.BLOCK
+        out = np.empty(len(to), np.uint8)
+        close = ~wide
+        out[close] = self._least(self.near, after[close], to[close])
+        after, to = after[wide], to[wide]
+        ends = np.minimum(self.near[-1, after + self.BLOCK], self.near[-1, to])
+        # Whole blocks between the two ends.
+        first, last = (after + 1) // self.BLOCK, to // self.BLOCK - 1
+        some = last > first
+        ends[some] = np.minimum(ends[some], self._least(self.far, first[some], last[some]))
+        out[wide] = ends
+        return out
 
 
 def kinds(text: np.ndarray) -> np.ndarray:
@@ -195,59 +229,59 @@ def _run(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
 
 
 def induce(
-    text: np.ndarray, small: np.ndarray, seeds: np.ndarray, common: np.ndarray | None, descending: bool, depth: int
+    text: np.ndarray, small: np.ndarray, seeds: np.ndarray, common: np.ndarray, descending: bool, depth: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One pass from sorted ``seeds``: positions taken in order, what each shares with the one
-    before it, and whether it was induced. ``common`` has what the seeds share; None leaves prefixes
-    out. Ascending, L suffixes are induced; descending, S suffixes."""
-    top = np.int64(text.max()) if descending else np.int64(0)
+    before it, and whether it was induced. ``common`` has what the seeds share. Ascending, L suffixes
+    are induced; descending, S suffixes."""
+    wide = np.int64 if 2 * int(text.max()) + 1 > np.iinfo(np.int32).max else _wide(len(text))
+    top = int(text.max()) if descending else 0
     n = len(seeds) + sum(int(np.count_nonzero(small[a:b] == descending)) for a, b in steps(len(small)))
 
     def symbol(at: np.ndarray) -> np.ndarray:
-        found = text[at].astype(np.int64)
+        found = text[at].astype(wide)
         return top - found if descending else found
 
-    taken, induced = allot(n, np.int64), allot(n, np.bool_)
-    shared = allot(n if common is not None else 0, np.uint8)
-    minima = Minima(n) if common is not None else None
+    taken, induced = allot(n, _wide(len(text))), allot(n, np.bool_)
+    shared, minima = allot(n, np.uint8), Minima(n)
     queue, out, limit = Queue(), 0, 4_096
     for a, b in steps(len(seeds)):
         # An induced suffix comes before the seeds of its symbol.
-        queue.push(2 * symbol(seeds[a:b]) + 1, seeds[a:b], common[a:b].astype(np.int64) if common is not None else seeds[a:b])
+        some = seeds[a:b].astype(wide)
+        queue.push(2 * symbol(some) + 1, some, common[a:b].astype(wide))
     last = None
     while (block := queue.peek(limit)) is not None:
         key, at, source = block
         before = at - 1
         goes = (at > 0) & (small[before] == descending)
-        pushed = np.full(len(key), _NEVER)
+        pushed = np.full(len(key), np.iinfo(wide).max, wide)
         pushed[goes] = 2 * symbol(before[goes])
         least = np.minimum.accumulate(pushed)
         late = np.flatnonzero(key[1:] > least[:-1])
         count = int(late[0]) + 1 if len(late) else len(key)
         queue.pop(count)
-        limit = min(max(2 * count, 512), STEP)
+        limit = min(max(2 * count, 512), BLOCK)
         key, at, source, goes, pushed = (c[:count] for c in (key, at, source, goes, pushed))
         taken[out : out + count] = at
         induced[out : out + count] = key & 1 == 0
-        if common is not None:
-            first = last is None
-            k, p, s = (np.concatenate([c if not first else x[:1], x]) for c, x in zip(last or [None] * 3, (key, at, source), strict=True))
-            value = np.zeros(count, np.int64)
-            same = k[1:] >> 1 == k[:-1] >> 1
-            if first:
-                same[0] = False
-            both = np.flatnonzero(same & (k[1:] & 1 == 0))
-            value[both] = 1 + minima.least(s[both], s[both + 1]).astype(np.int64)
-            seeded = np.flatnonzero(same & (k[:-1] & 1 == 1))
-            value[seeded] = s[seeded + 1]
-            meet = np.flatnonzero(same & (k[:-1] & 1 == 0) & (k[1:] & 1 == 1))
-            value[meet] = np.minimum(_run(text, p[meet], depth), _run(text, p[meet + 1], depth))
-            value = np.minimum(value, depth).astype(np.uint8)
-            shared[out : out + count] = value
-            minima.append(value)
-            last = [key[-1:], at[-1:], source[-1:]]
+        first = last is None
+        k, p, s = (np.concatenate([c if not first else x[:1], x]) for c, x in zip(last or [None] * 3, (key, at, source), strict=True))
+        value = np.zeros(count, np.int64)
+        same = k[1:] >> 1 == k[:-1] >> 1
+        if first:
+            same[0] = False
+        both = np.flatnonzero(same & (k[1:] & 1 == 0))
+        value[both] = 1 + minima.least(s[both], s[both + 1]).astype(np.int64)
+        seeded = np.flatnonzero(same & (k[:-1] & 1 == 1))
+        value[seeded] = s[seeded + 1]
+        meet = np.flatnonzero(same & (k[:-1] & 1 == 0) & (k[1:] & 1 == 1))
+        value[meet] = np.minimum(_run(text, p[meet], depth), _run(text, p[meet + 1], depth))
+        value = np.minimum(value, depth).astype(np.uint8)
+        shared[out : out + count] = value
+        minima.append(value)
+        last = [key[-1:], at[-1:], source[-1:]]
         rank = np.flatnonzero(goes)
-        queue.push(pushed[rank], before[:count][rank], out + rank)
+        queue.push(pushed[rank], before[:count][rank], (out + rank).astype(wide))
         out += count
     return taken[:out], shared[:out], induced[:out]
 
@@ -262,12 +296,10 @@ def _only(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return out
 
 
-def _descending(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, common: np.ndarray | None, depth: int):
+def _descending(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, common: np.ndarray, depth: int):
     """All suffixes but the last one from the largest to the least, by both passes."""
     taken, shared, induced = induce(text, small, seeds, common, False, depth)
     large = _only(taken, induced)[::-1]
-    if common is None:
-        return induce(text, small, large, None, True, depth)
     # What a suffix shares with the one behind it is what that one shares with it.
     before = _only(shared, induced)
     turned = np.concatenate([np.zeros(min(1, len(before)), np.uint8), before[:0:-1]])
@@ -308,6 +340,72 @@ def _doubled(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return suffixes, prefixes
 
 
+def _named(text: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the substrings from each seed to the next one (its first symbol included) in their
+    order, equal ones with one name, and the numbers of the seeds in that order.
+
+    As many symbols as fit are packed into one number, and a queue sorts the numbers. A substring that
+    another one begins with is the larger of the two, as it ends in an S
+    suffix where the other has an L suffix; so what lies behind the end counts as the largest symbol. Only substrings that agree so
+    far and go on are looked at again, with their next symbols."""
+    n = len(seeds)
+    bits = max(1, (int(text.max()) + 1).bit_length())
+    width, pad = max(1, 62 // bits), (1 << bits) - 1
+    size = np.append(np.diff(seeds), 0) + 1
+
+    def packed(some: np.ndarray, first: int) -> np.ndarray:
+        key = np.zeros(len(some), np.int64)
+        at, left = seeds[some] + first, size[some] - first
+        for j in range(width):
+            here = left > j
+            key <<= bits
+            key |= np.where(here, text[np.where(here, at + j, 0)].astype(np.int64), pad)
+        return key
+
+    queue = Queue()
+    for a, b in steps(n):
+        some = np.arange(a, b, dtype=_wide(n))
+        queue.push(packed(some, 0), some, some)
+    number, keys, out = allot(n, _wide(n)), allot(n, np.int64), 0
+    while (block := queue.peek(STEP)) is not None:
+        count = len(block[0])
+        queue.pop(count)
+        keys[out : out + count], number[out : out + count] = block[0], block[1]
+        out += count
+    # Places where a name begins, and the runs of equal keys that go on behind them.
+    opens = allot(n, np.bool_)
+    opens[0] = True
+    for a, b in steps(n - 1):
+        opens[a + 1 : b + 1] = keys[a + 1 : b + 1] != keys[a:b]
+    del keys
+    parts = []
+    for a, b in steps(n):
+        goes_on = size[number[a:b]] > width
+        twin = ~np.append(opens[a + 1 : b], opens[b] if b < n else True) | ~opens[a:b]
+        parts.append(np.flatnonzero(goes_on & twin) + a)
+    place, first = np.concatenate(parts), width
+    group = np.cumsum(opens[place]) if len(place) else place
+    while len(place):
+        some = number[place]
+        key = packed(some, first)
+        order = np.lexsort((key, group))
+        some, key, group = some[order], key[order], group[order]
+        number[place] = some
+        fresh = np.ones(len(place), bool)
+        fresh[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
+        opens[place] |= fresh
+        first += width
+        twin = ~np.append(fresh[1:], True) | ~fresh
+        on = twin & (size[some] > first)
+        place, group = place[on], np.cumsum(fresh)[on]
+    names, name = allot(n, np.int64), -1
+    for a, b in steps(n):
+        here = np.cumsum(opens[a:b]) + name
+        names[number[a:b]] = here
+        name = int(here[-1])
+    return names, number
+
+
 def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes of ``text`` in order and what each shares with the one before it, ``depth`` (at
     most 254) symbols at most. The last symbol is the least and stands nowhere else."""
@@ -316,22 +414,8 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(1, np.int64), np.zeros(1, np.uint8)
     small = kinds(text)
     seeds = seeds_of(small)
-    # Seeds by their first symbols give the order of the substrings that they begin.
-    taken, _, induced = _descending(text, small, seeds, None, depth)
-    position = np.searchsorted(seeds, taken)
-    seeded = induced & (seeds[np.minimum(position, len(seeds) - 1)] == taken)
-    number = np.concatenate([[len(seeds) - 1], position[seeded][::-1]])
-    length = np.append(np.diff(seeds), 0)
-    names = allot(len(seeds), np.int64)
-    name = 0
-    for a, b in steps(len(seeds) - 1):
-        one, two = number[a:b], number[a + 1 : b + 1]
-        whole = length[two] + 1
-        reach = np.where(length[one] == length[two], whole, 0)
-        same = (reach > 0) & (extended(text, seeds[one], seeds[two], np.zeros(b - a, np.int64), reach) == whole)
-        names[two] = name + np.cumsum(~same)
-        name += int(np.count_nonzero(~same))
-    if name + 1 == len(seeds):
+    names, number = _named(text, seeds)
+    if int(names[number[-1]]) + 1 == len(seeds):
         order, common = seeds[number], np.zeros(len(seeds), np.int64)
     else:
         inner, shared = (_doubled if len(names) <= BASE else suffix_array)(names, depth)
@@ -341,7 +425,7 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         common[a + 1 : b + 1] = extended(text, order[a:b], order[a + 1 : b + 1], common[a + 1 : b + 1], depth)
     common[0] = 0
     taken, shared, _ = _descending(text, small, order, common.astype(np.uint8), depth)
-    suffixes, prefixes = allot(n, np.int64), allot(n, np.uint8)
+    suffixes, prefixes = allot(n, _wide(n)), allot(n, np.uint8)
     suffixes[0] = n - 1
     suffixes[1:] = taken[::-1]
     prefixes[2:] = shared[:0:-1]

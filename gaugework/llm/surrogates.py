@@ -19,7 +19,8 @@ neither equal a real entity of its kind nor be shared by two. Losers draw again
 attempt, those settled earlier keep theirs, until nothing collides. Text-like kinds grow with each
 attempt, so they always settle; where a kind of fixed length has no room left, :func:`settle` fails
 and names it. Only the entities that needed more than one attempt have to be looked up when texts
-are rewritten; they are joined to the texts that mention them.
+are rewritten: up to ``BROADCAST`` of them are broadcast, more are joined to the texts that mention
+them.
 
 Defined results: a null or empty text stays as it is with no entities; repeated rows are rewritten
 alike; overlapping matches give the one that starts first, then the longest; a secret of marks only
@@ -47,6 +48,8 @@ KEY = b"gaugework surrogates"
 
 #: Where a caller sets a key for the pipeline stage, as a Spark setting.
 KEY_SETTING = "spark.gaugework.surrogates.key"
+#: Entities with later attempts that are broadcast; more of them are joined to the texts.
+BROADCAST = 200_000
 #: Rounds without fewer collisions after which a kind counts as exhausted.
 STALLED = 16
 
@@ -73,8 +76,10 @@ _PATTERNS = (
     ("key", ("AKIA", "ghp_", "gho_", "sk-", "xox"), re.compile(r"(?<!\w)((?:AKIA[0-9A-Z]{16}|gh[po]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,}|xox[abp]-[0-9A-Za-z-]{10,}))(?!\w)")),
     ("secret", ("=", ":"), re.compile(r"(?i)\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b[\"']?\s*[:=]\s*[\"']?([^\s\"',;]{6,})")),
 )
-_TITLE = "|".join(sorted(_TITLES, key=len, reverse=True))
-_PERSON = re.compile(rf"(?<!\w)((?:(?:{_TITLE})\.?[ \t]+)+)({_NAME}(?:[ \t]+{_NAME})?)", re.IGNORECASE)
+#: Titles as they are written: with a capital letter, or in capitals.
+_WRITTEN = sorted({f for t in _TITLES for f in (t.capitalize(), t.upper())}, key=lambda t: (-len(t), t))
+_TITLE = "|".join(_WRITTEN)
+_PERSON = re.compile(rf"(?<!\w)((?:(?:{_TITLE})\.?[ \t]+)+)({_NAME}(?:[ \t]+{_NAME})?)")
 _DIGIT = re.compile(r"[0-9]")
 
 Match = tuple[int, int, str, str]  # begin, end, kind, canonical form
@@ -113,7 +118,7 @@ def _known_names(text: str) -> dict[str, str]:
         titles = m[1].replace(".", " ").split()
         words = [w for w in re.finditer(_NAME, m[2]) if w[0][0].isupper()]
         words = [w for w in words if w[0].lower() not in _TITLES]
-        if not titles[0][0].isupper() or not words or words[0].start():
+        if not words or words[0].start():
             continue
         genders = [_TITLES[t.lower()] for t in titles]
         gender = next((g for g in genders if g != "n"), "n")
@@ -144,8 +149,7 @@ def detect(text: str | None) -> list[Match]:
                     found.append((at + 1, m.end(1), "domain", canonical.partition("@")[2]))
                 else:
                     found.append((m.start(1), m.end(1), kind, canonical))
-    lower = text.lower()
-    if any(t in lower for t in _TITLES) and (known := _known_names(text)):
+    if any(t in text for t in _WRITTEN) and (known := _known_names(text)):
         names = "|".join(re.escape(n) for n in sorted(known, key=len, reverse=True))
         for m in re.finditer(rf"(?<!\w)(?:{names})(?!\w)", text, re.IGNORECASE):
             if m[0][0].isupper() and m[0].lower() in known:
@@ -228,7 +232,9 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int) -> str:
     if kind == "ipv6":
         return _alike(canonical, 0, draw)
     if kind == "mailbox":
-        return _grown(canonical.partition("@")[0].replace("_", "-"), 0, draw, attempt)
+        # Distinct within its domain, which has a surrogate of its own.
+        local, at, domain = canonical.partition("@")
+        return _grown(local.replace("_", "-"), 0, draw, attempt) + at + domain
     if kind == "domain":
         rest, dot, top = canonical.rpartition(".")
         return _grown(rest.replace("_", "-"), 0, draw, attempt) + dot + top
@@ -257,6 +263,7 @@ def _dressed(kind: str, mention: str, replacement: str) -> str:
         new = ipaddress.IPv6Address(replacement).compressed if "::" in mention or len(mention) < 39 else replacement
         return new.upper() if mention.upper() == mention else new
     if kind in ("mailbox", "domain"):
+        replacement = replacement.partition("@")[0]
         if len(mention) != len(replacement):
             return replacement
         both = zip(mention, replacement, strict=True)
@@ -338,15 +345,20 @@ def replace(documents: DataFrame, key: bytes = KEY, column: str = "n_entities")
     schema = rows.withColumn(column, F.lit(0).cast("long")).schema
     settled, late = settle(stored(entities(rows), "entities"), key)
     later_column = _unused("__later", columns)
-    if late:
+    joined = late > BROADCAST
+    few: dict[tuple[str, str], int] = {}
+    if joined:
         rows = _with_attempts(rows, settled.where("attempt > 0"), later_column)
+    elif late:
+        few = {(r["kind"], r["canonical"]): r["attempt"] for r in settled.where("attempt > 0").collect()}
+    shared = rows.sparkSession.sparkContext.broadcast(few)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            attempts = batch[later_column].to_pylist() if late else [None] * batch.num_rows
+            attempts = batch[later_column].to_pylist() if joined else [None] * batch.num_rows
             done = []
             for text, later in zip(batch["text"].to_pylist(), attempts, strict=True):
-                known = {(x["kind"], x["canonical"]): x["attempt"] for x in later or ()}
+                known = {(x["kind"], x["canonical"]): x["attempt"] for x in later or ()} if joined else shared.value
                 done.append(rewrite(text, key, known))
             new = {
                 "text": pa.array([t for t, _ in done], pa.string()),

@@ -157,8 +157,9 @@ def uncovered(rows, window):
     return sorted(out, key=lambda r: tuple((v is None, v) for v in r))
 
 
-@pytest.mark.parametrize("hot,different", [(20_000, 300_000), (3, 10)])
-def test_copies_go_as_by_brute_force(spark, monkeypatch, hot, different):
+@pytest.mark.parametrize("hot,different,size", [(20_000, 300_000, 2_000_000), (3, 10, 2_000_000), (20_000, 10, 0)])
+def test_copies_go_as_by_brute_force(spark, monkeypatch, hot, different, size):
+    monkeypatch.setattr(suffixes, "SHARD_BYTES", size)
     monkeypatch.setattr(suffixes, "HOT", hot)
     monkeypatch.setattr(suffixes, "DIFFERENT", different)
     r = random.Random(9)

@@ -20,7 +20,9 @@ TIGHT = [
 ]
 
 
-def test_every_kind_settles(spark):
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_every_kind_settles(spark, monkeypatch, most):
+    monkeypatch.setattr(surrogates, "BROADCAST", most)
     texts, n = replaced(spark, MASKED + TIGHT)
     assert texts[: len(MASKED)] == MASKED and n[: len(MASKED)] == [0] * len(MASKED)
     assert all(a != b for a, b in zip(texts[len(MASKED) :], TIGHT)) and all(n[len(MASKED) :])
