@@ -15,10 +15,12 @@ merges if exactly one border stands inside it. Characters without a piece become
 Units of more than ``LONG`` characters, too long for the bit set, go through a small Python
 function: a heap of merges for a BPE, Viterbi over positions for a unigram model.
 
-Documents meet the ids of their units in two ways: the ``HEAD`` most frequent units are broadcast
-(that bound is a parameter), and a document that has only such units is put together where it is
-read. Where some units are rarer, their ids are joined to (row, unit), the ids of the documents move
-once, packed and with gaps, to meet them by row, and the gaps are filled.
+Texts are cut once, into stored blocks of documents: the different units of a block, and the
+documents as numbers of them. Everything after reads the blocks. The ids of units come back to them
+in two ways: the ``HEAD`` most frequent units are broadcast (that bound is a parameter), and if there
+are no others, the documents are put together where their block is read. Otherwise the ids of rarer
+units are joined to (block, unit), once per block however often they occur in it, and meet the
+packed numbers of the block's documents, which move once.
 :func:`decode` looks up the bytes of each id in the broadcast piece table.
 
 Defined results: a null or empty text has no pieces; repeated rows are encoded one by one; extra
@@ -30,12 +32,13 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,9 +52,10 @@ LONG = 60
 HEAD = 300_000
 #: Units whose substrings one numpy step handles.
 TOGETHER = 2_048
-#: Different words that a task holds before it passes them on or starts anew.
+#: A block of documents ends beyond so many different words or characters.
 DIFFERENT = 400_000
-#: Documents that leave a task together.
+BLOCK_CHARS = 8_000_000
+#: Documents that are decoded together.
 DOCUMENTS = 256
 
 
@@ -349,165 +353,180 @@ def words_of(text: str | None) -> list[str]:
     return units_of(text) if SPACE_SIGN in words or SPACE_SIGN in text else words
 
 
-def unit_counts(documents: DataFrame) -> DataFrame:
-    """(unit, n): how often each unit occurs, added up in the reading tasks before anything moves;
-    only different words are cut into units."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter[str] = Counter()
-
-        def counted() -> pa.RecordBatch:
-            found: Counter[str] = Counter()
-            for word, n in words.items():
-                for unit in units_in(word):
-                    found[unit] += n
-            words.clear()
-            columns = [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, ["unit", "n"])
-
+class Numbers(dict):
+    """Different keys numbered as they come."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+def spread(flat: np.ndarray, size: np.ndarray, index: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+    """The parts of ``flat``, which have these sizes, put together in the order of ``index``."""
+    begin, out = np.cumsum(size) - size, [flat[:0]]
+    for first in range(0, len(index), step):
+        some = index[first : first + step]
+        n = size[some]
+        shift = begin[some] - (np.cumsum(n) - n)
+        out.append(flat[np.repeat(shift, n) + np.arange(n.sum())])
+    return np.concatenate(out)
+
+
+def packed(codes: np.ndarray) -> bytes:
+    """Small numbers made small for the way: the low bytes of all, then the next, through zlib."""
+    planes = codes.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zlib.compress(np.ascontiguousarray(planes).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def list_of(flat: pa.Array | np.ndarray, size: np.ndarray) -> pa.ListArray:
+    """Values and the sizes of their lists as an Arrow column of lists."""
+    cuts = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(cuts), flat if isinstance(flat, pa.Array) else pa.array(flat))
+
+
+BLOCKS = "block long, doc_ids array<long>, sizes array<long>, places binary, units array<string>, n array<long>"
+
+
+def block_row(block: int, doc_ids: list[int | None], places: list[np.ndarray], words: list[str]) -> pa.RecordBatch:
+    """One block as a row: its different units, the most frequent first, how often each occurs, and
+    for every document, given by the places of its words, the numbers of its units in order."""
+    numbers = Numbers()
+    parts = [[numbers[u] for u in units_in(w)] for w in words]
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    flat = np.fromiter((n for p in parts for n in p), np.int64, int(size.sum()))
+    coded = spread(flat, size, np.concatenate([np.zeros(0, np.int64), *places]))
+    n = np.bincount(coded, minlength=len(numbers))
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    units = pa.array(list(numbers), pa.string()).take(pa.array(order))
+    sizes = np.fromiter((size[p].sum() for p in places), np.int64, len(places))
+    columns = [
+        pa.array([block]),
+        list_of(pa.array(doc_ids, pa.int64()), np.array([len(doc_ids)])),
+        list_of(sizes, np.array([len(sizes)])),
+        pa.array([packed(rank[coded])], pa.binary()),
+        list_of(units, np.array([len(units)])),
+        list_of(n[order].astype(np.int64), np.array([len(n)])),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["block", "doc_ids", "sizes", "places", "units", "n"])
+
+
+def blocks(documents: DataFrame) -> DataFrame:
+    """The documents cut once, as the blocks of :func:`block_row`: a task ends a block at
+    ``BLOCK_CHARS`` characters or ``DIFFERENT`` different words, so that it holds no more than
+    that and one document. Only different words are cut into units."""
+    chars, different = BLOCK_CHARS, DIFFERENT
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A block is one row of one task, written before anything reads it: its number is only a name.
+        block = TaskContext.get().partitionId() << 32
+        numbers, doc_ids, places, read = Numbers(), [], [], 0
         for batch in batches:
-            for text in batch["text"]:
-                words.update(words_of(text.as_py()))
-                if len(words) > DIFFERENT:
-                    yield counted()
-        yield counted()
-
-    rows = narrowed(documents, "text").mapInArrow(count, "unit string, n long")
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                text = text.as_py() or ""
+                words = words_of(text)
+                doc_ids.append(doc_id.as_py())
+                places.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+                read += len(text)
+                if read > chars or len(numbers) > different:
+                    yield block_row(block, doc_ids, places, list(numbers))
+                    block, numbers, doc_ids, places, read = block + 1, Numbers(), [], [], 0
+        if doc_ids:
+            yield block_row(block, doc_ids, places, list(numbers))
+
+    return stored(narrowed(documents, "doc_id", "text").mapInArrow(cut, BLOCKS), "blocks")
+
+
+def unit_counts(cut: DataFrame) -> DataFrame:
+    """(unit, n): how often each unit occurs in all blocks, added up per block before anything moves."""
+    both = F.explode(F.arrays_zip("units", "n")).alias("both")
+    rows = cut.select(both).select(F.col("both.units").alias("unit"), "both.n")
     # A fixed number of parts: the units are few bytes but much work for what reads them.
-    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, "unit").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
-class Words(dict):
-    """word -> (number of units, ids as bytes); None for the ids where a unit is not in the head."""
-
-    def __init__(self, head: dict[str, bytes]) -> None:
-        self.head = head
-
-    def __missing__(self, word: str) -> tuple[int, bytes | None]:
-        units = units_in(word)
-        found = [self.head.get(u) for u in units]
-        self[word] = out = (len(units), None if None in found else b"".join(found))
-        return out
-
-
-def rare_units(words: list[str], coded: list[bytes | None], head: dict[str, bytes]) -> list[str]:
-    """The different units of a document that are not in the head, in the order they come."""
-    rare = (w for w, ids in zip(words, coded, strict=True) if ids is None)
-    return list(dict.fromkeys(u for w in rare for u in units_in(w) if u not in head))
-
-
-def with_gaps(words: list[str], coded: list[bytes | None], head: dict[str, bytes], rare: list[str]) -> bytes:
-    """The ids of a document in its order; they hold -1 - k where the k-th rare unit stands."""
-    gap = {u: (-1 - k).to_bytes(4, "little", signed=True) for k, u in enumerate(rare)}
-    out = []
-    for word, ids in zip(words, coded, strict=True):
-        out += [ids] if ids is not None else [head.get(u) or gap[u] for u in units_in(word)]
-    return b"".join(out)
-
-
-def packed(ids: bytes, gaps: int) -> bytes:
-    """Ids with so many different gaps, made small for the way: the width, then zlib."""
-    codes = np.frombuffer(ids, "<i4") + np.int32(gaps)
-    width = 2 if codes.max(initial=0) < 1 << 16 else 4
-    return bytes([width]) + zlib.compress(codes.astype(f"<u{width}").tobytes(), 1)
-
-
-def unpacked(data: bytes, gaps: int) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data[1:]), f"<u{data[0]}").astype(np.int32) - np.int32(gaps)
-
-
-def filled(ids: np.ndarray, parts: list[np.ndarray]) -> bytes:
-    """The ids with the k-th part where -1 - k stands."""
-    out, first = [], 0
-    for at in np.flatnonzero(ids < 0).tolist():
-        out += [ids[first:at], parts[-1 - ids[at]]]
-        first = at + 1
-    return np.concatenate([*out, ids[first:]]).astype("<i4").tobytes()
-
-
-def id_lists(coded: list[bytes]) -> pa.ListArray:
-    """Ids given as bytes, as an Arrow column of lists."""
-    cuts = np.cumsum([0, *(len(c) // 4 for c in coded)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.frombuffer(b"".join(coded), "<i4")))
-
-
-def id_arrays(column: pa.Array) -> list[np.ndarray]:
-    """The lists of an Arrow column, null read as empty."""
-    size = column.value_lengths().fill_null(0).to_numpy()
-    return np.split(column.flatten().to_numpy(), np.cumsum(size)[:-1]) if len(column) else []
+def with_ids(row: dict, flat: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    """The documents of a block with their ids; ``flat`` holds those of its codes, one after the other."""
+    codes, n_units = unpacked(row["places"]), np.array(row["sizes"], np.int64)
+    found = spread(flat, size, codes).astype(np.int32)
+    ends = np.concatenate([[0], np.cumsum(size[codes])])
+    cuts = ends[np.concatenate([[0], np.cumsum(n_units)])]
+    columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(n_units), list_of(found, np.diff(cuts))]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_units", "ids"])
 
 
 def encode(documents: DataFrame, path: str) -> DataFrame:
-    """(row, doc_id, n_units, ids): the ids of every row of ``documents`` in their order, and the
-    number of its units."""
+    """(doc_id, n_units, ids): the ids of every row of ``documents`` in their order, and the number
+    of its units."""
     spark = documents.sparkSession
-    coded = stored(encode_units(stored(unit_counts(documents), "units"), path), "coded")
+    cut = blocks(documents)
+    coded = stored(encode_units(stored(unit_counts(cut), "units"), path), "coded")
     top = coded.orderBy(F.desc("n"), "unit").limit(HEAD).select("unit", "ids")
-    head = {r["unit"]: np.array(r["ids"], "<i4").tobytes() for r in top.toLocalIterator()}
-    shared, all_known = spark.sparkContext.broadcast(head), len(head) < HEAD
-    del head
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        """Lists of (row, doc_id, number of units, words, their ids or None)."""
-        seen = Words(shared.value)
+    units, ids = [], []
+    for row in top.toLocalIterator():
+        units.append(row["unit"])
+        ids.append(np.array(row["ids"], np.int32))
+    size = np.fromiter(map(len, ids), np.int64, len(ids))
+    shared = spark.sparkContext.broadcast((units, np.concatenate([np.zeros(0, np.int32), *ids]), size))
+    all_known = len(units) < HEAD
+    del units, ids, size
+
+    def gapped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[str], np.ndarray]]:
+        """Each block, its units that are not in the head, and its places as codes: those of the
+        head by their rank in it, the rare ones after them."""
+        head = {u: k for k, u in enumerate(shared.value[0])}
         for batch in batches:
-            for first in range(0, batch.num_rows, DOCUMENTS):
-                part, out = batch.slice(first, DOCUMENTS), []
-                for row, doc_id, text in zip(*(part[c].to_pylist() for c in ("row", "doc_id", "text")), strict=True):
-                    words = words_of(text)
-                    found = list(map(seen.__getitem__, words))
-                    out.append((row, doc_id, sum(n for n, _ in found), words, [c for _, c in found]))
-                yield out
-                if len(seen) > DIFFERENT:
-                    seen.clear()
+            for row in batch.to_pylist():
+                known = [head.get(u, -1) for u in row["units"]]
+                codes = np.array(known, np.int64)
+                gap = np.flatnonzero(codes < 0)
+                codes[gap] = len(head) + np.arange(len(gap))
+                yield row, [row["units"][k] for k in gap], codes
 
-    def columns(rows: list[tuple], *types: pa.DataType) -> list[pa.Array]:
-        return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(types), types, strict=True)]
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, missing, _ in gapped(batches):
+            columns = [np.full(len(missing), row["block"]), np.arange(len(missing), dtype=np.int32)]
+            columns = [*map(pa.array, columns), pa.array(missing, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "k", "unit"])
 
-    ends = (pa.int64(), pa.int64(), pa.int64())
-    names = ["row", "doc_id", "n_units", "ids"]
+    def coming(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, _, codes in gapped(batches):
+            row["places"] = packed(codes[unpacked(row["places"])])
+            del row["units"]
+            yield pa.RecordBatch.from_pylist([row], sent)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in cut(batches):
-            ids = id_lists([b"".join(coded) for *_, coded in found])
-            yield pa.RecordBatch.from_arrays([*columns([f[:3] for f in found], *ends), ids], names)
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in cut(batches):
-            rows = [
-                (row, k, unit)
-                for row, _, _, words, coded in found
-                for k, unit in enumerate(rare_units(words, coded, shared.value))
-            ]
-            yield pa.RecordBatch.from_arrays(columns(rows, pa.int64(), pa.int32(), pa.string()), ["row", "k", "unit"])
-
-    def gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in cut(batches):
-            rows = []
-            for *known, words, coded in found:
-                units = rare_units(words, coded, shared.value)
-                rows.append((*known, packed(with_gaps(words, coded, shared.value, units), len(units))))
-            yield pa.RecordBatch.from_arrays(columns(rows, *ends, pa.binary()), names)
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first in range(0, batch.num_rows, DOCUMENTS):
-                part, out = batch.slice(first, DOCUMENTS), []
-                for ids, found in zip(part["ids"].to_pylist(), part["parts"].to_pylist(), strict=True):
-                    found = sorted(found or [], key=lambda p: p["k"])
-                    out.append(filled(unpacked(ids, len(found)), [np.array(p["own"], np.int32) for p in found]))
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in names[:3]), id_lists(out)], names)
-
-    schema = "row long, doc_id long, n_units long, ids array<int>"
-    rows = narrowed(documents, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+        _, flat, size = shared.value
+        for row, _, codes in gapped(batches):
+            row["places"] = packed(codes[unpacked(row["places"])])
+            yield with_ids(row, flat, size)
+
+    def fill(rows: pa.Table, parts: pa.Table) -> pa.Table:
+        _, flat, size = shared.value
+        parts = parts.sort_by("k")
+        own = parts["own"].combine_chunks()
+        flat = np.concatenate([flat, own.flatten().to_numpy()])
+        size = np.concatenate([size, own.value_lengths().to_numpy()])
+        return pa.Table.from_batches([with_ids(row, flat, size) for row in rows.to_pylist()])
+
+    lists = pa.list_(pa.int64())
+    sent = pa.schema([("block", pa.int64()), ("doc_ids", lists), ("sizes", lists), ("places", pa.binary())])
+    schema = "doc_id long, n_units long, ids array<int>"
+    rows = cut.drop("n")
     if all_known:
         return rows.mapInArrow(whole, schema)
     own = coded.select("unit", F.col("ids").alias("own"))
-    met = rows.mapInArrow(rare, "row long, k int, unit string").join(own, "unit", "left")
-    parts = met.groupBy("row").agg(F.collect_list(F.struct("k", "own")).alias("parts"))
-    coming = rows.mapInArrow(gaps, "row long, doc_id long, n_units long, ids binary")
-    return coming.join(parts, "row", "left").mapInArrow(fill, schema)
+    parts = cut.select("block", "units").mapInArrow(rare, "block long, k int, unit string").join(own, "unit")
+    parts = parts.select("block", "k", "own")
+    moved = rows.mapInArrow(coming, "block long, doc_ids array<long>, sizes array<long>, places binary")
+    return moved.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(fill, schema)
 
 
 def decode(encoded: DataFrame, path: str, column: str = "text") -> DataFrame:
@@ -515,20 +534,24 @@ def decode(encoded: DataFrame, path: str, column: str = "text") -> DataFrame:
     which is broadcast, and the bytes put together in order."""
     known, byte_zero, _ = read_pieces(path)
     codes = {i: p.encode() for p, i, _ in known} | {byte_zero + b: bytes([b]) for b in range(256)}
-    shared = encoded.sparkSession.sparkContext.broadcast(codes)
+    # Control ids and numbers beyond the table give no bytes, as the last entry.
+    codes = [codes.get(i, b"") for i in range(max(codes) + 2)]
+    size = np.fromiter(map(len, codes), np.int64, len(codes))
+    shared = encoded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(codes), np.uint8), size))
     schema = encoded.drop(column).withColumn(column, F.lit("")).schema
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        class Codes(dict):
-            def __missing__(self, i: int) -> bytes:
-                return b""  # control ids
-
-        code = Codes(shared.value).__getitem__
+        flat, size = shared.value
         for batch in batches:
             kept = [c for c in batch.schema.names if c != column]
             for first in range(0, batch.num_rows, DOCUMENTS):
                 part = batch.slice(first, DOCUMENTS)
-                texts = [b"".join(map(code, ids.tolist())).decode("utf-8", "replace") for ids in id_arrays(part["ids"])]
+                n = part["ids"].value_lengths().fill_null(0).to_numpy()
+                ids = part["ids"].flatten().to_numpy().astype(np.int64)
+                ids = np.where((ids < 0) | (ids >= len(size)), len(size) - 1, ids)
+                data = spread(flat, size, ids).tobytes()
+                ends = np.concatenate([[0], np.cumsum(size[ids])])[np.concatenate([[0], np.cumsum(n)])].tolist()
+                texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:], strict=False)]
                 text = pa.array([t.replace(SPACE_SIGN, " ")[1:] for t in texts], pa.string())
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), text], [*kept, column])
 

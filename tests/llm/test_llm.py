@@ -350,11 +350,12 @@ def test_pieces_equal_the_library_and_round_trip(spark):
     assert not pieces.piece_counts(frame(spark, []), path).collect()
 
 
-@pytest.mark.parametrize("head", [300_000, 40])
-def test_pieces_query_digests_ids_in_order_and_the_text_given_back(spark, monkeypatch, head):
+@pytest.mark.parametrize(("head", "chars"), [(300_000, 8_000_000), (40, 8_000_000), (40, 3_000)])
+def test_pieces_query_digests_ids_in_order_and_the_text_given_back(spark, monkeypatch, head, chars):
     from sentencepiece import SentencePieceProcessor
 
     monkeypatch.setattr(pieces, "HEAD", head)
+    monkeypatch.setattr(pieces, "BLOCK_CHARS", chars)
     library = SentencePieceProcessor(model_file=pieces.default_path())
 
     def wanted(doc_id, text):
@@ -367,6 +368,32 @@ def test_pieces_query_digests_ids_in_order_and_the_text_given_back(spark, monkey
     rows = [(1, "one two 12zq"), (2, "two one 12zq"), (3, "12zq 12zq qz " * 50), (4, None), (5, "z" * 90), (1, "one two 12zq")]
     got = by_row(pieces.piece_counts(frame(spark, rows, extra=True), pieces.default_path()), *columns)
     assert got == sorted(wanted(*r) for r in rows) and got[0][2] != got[2][2]
+    rows = [(i, text) for i, (_, text) in enumerate(EDGES)]
+    got = pieces.piece_counts(frame(spark, EDGES), pieces.default_path()).select(*columns).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(str(wanted(*r)) for r in EDGES)
+
+
+def test_blocks_end_at_words_or_characters_and_hold_every_document(spark, monkeypatch):
+    rows = [(i if i % 7 else None, " ".join(f"w{i % 9} {i}x" for _ in range(i % 4))) for i in range(60)]
+    for different, chars in ((3, 10_000), (10_000, 20), (10_000, 10_000)):
+        monkeypatch.setattr(pieces, "DIFFERENT", different)
+        monkeypatch.setattr(pieces, "BLOCK_CHARS", chars)
+        found, back = pieces.blocks(frame(spark, rows).coalesce(1)).collect(), []
+        assert len({b["block"] for b in found}) == len(found) and (len(found) == 1) == (different == chars)
+        for b in found:
+            at, codes = 0, pieces.unpacked(b["places"])
+            assert b["n"] == np.bincount(codes, minlength=len(b["units"])).tolist() == sorted(b["n"], reverse=True)
+            for doc_id, n in zip(b["doc_ids"], b["sizes"], strict=True):
+                back.append((str(doc_id), [b["units"][k] for k in codes[at : at + n]]))
+                at += n
+        assert sorted(back) == sorted((str(i), pieces.units_of(text)) for i, text in rows)
+
+
+def test_spread_in_steps():
+    flat, size = np.arange(10), np.array([3, 0, 2, 5])
+    for step in (1, 2, 100):
+        assert pieces.spread(flat, size, np.array([2, 1, 0, 2]), step).tolist() == [3, 4, 0, 1, 2, 3, 4]
+        assert pieces.spread(flat, size, np.zeros(0, int), step).tolist() == []
 
 
 def test_viterbi_of_long_units(spark, monkeypatch):
