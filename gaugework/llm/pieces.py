@@ -2,7 +2,7 @@
 
 A text gets the leading space sign, its spaces become space signs, and it is cut into *units*
 that no piece of the vocabulary crosses (checked when the vocabulary is read). Each different unit
-is encoded once: its substrings of bounded length are exploded and met with the piece table, the
+of a block of documents is encoded once: its substrings of bounded length are exploded and met with the piece table, the
 edges found are grouped by unit, and a higher-order ``aggregate`` folds them into the best path.
 Explosion, equi-join and grouping run in numpy within the task that holds the unit, so that no
 substring is a row of its own; the fold is a Spark expression.
@@ -16,11 +16,9 @@ Units of more than ``LONG`` characters, too long for the bit set, go through a s
 function: a heap of merges for a BPE, Viterbi over positions for a unigram model.
 
 Texts are cut once, into stored blocks of documents: the different units of a block, and the
-documents as numbers of them. Everything after reads the blocks. The ids of units come back to them
-in two ways: the ``HEAD`` most frequent units are broadcast (that bound is a parameter), and if there
-are no others, the documents are put together where their block is read. Otherwise the ids of rarer
-units are joined to (block, unit), once per block however often they occur in it, and meet the
-packed numbers of the block's documents, which move once.
+documents as numbers of them. Everything after reads the blocks. The most frequent units (``HEAD``
+at most, a parameter) are encoded once and broadcast; a rarer unit seldom comes twice in a block, so
+it is encoded once per block that has it, where the block is read. No document and no rare unit moves.
 :func:`decode` looks up the bytes of each id in the broadcast piece table.
 
 Defined results: a null or empty text has no pieces; repeated rows are encoded one by one; extra
@@ -37,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -310,47 +309,55 @@ def viterbi_long(unit: str, ranks: dict[str, tuple[int, float]], byte_zero: int,
     return out
 
 
+class Coder:
+    """A vocabulary as its folds and its functions for long units need it."""
+
+    def __init__(self, path: str) -> None:
+        self.known, self.byte_zero, self.bpe = read_pieces(path)
+        self.longest = max(len(p) for p, _, _ in self.known)
+        self.ranks = {p: (i, s) for p, i, s in self.known}
+
+    def ids(self) -> Column:
+        """The ids of the columns ``unit`` and ``edges``, null where there are no edges given."""
+        unit, edges = F.col("unit"), F.col("edges")
+        return _ids(unit, edges, (merged if self.bpe else viterbi)(unit, edges), self.byte_zero)
+
+    def long(self, unit: str) -> list[int]:
+        if self.bpe:
+            return merge_long(unit, self.ranks, self.byte_zero)
+        return viterbi_long(unit, self.ranks, self.byte_zero, self.longest)
+
+
 def encode_units(units: DataFrame, path: str) -> DataFrame:
     """A table of different units with the column ``ids``."""
-    spark = units.sparkSession
-    known, byte_zero, bpe = read_pieces(path)
-    longest = max(len(p) for p, _, _ in known)
-    pieces = spark.createDataFrame(known, "piece string, id int, score double")
-    short = lattice(units.where(F.length("unit") <= LONG), pieces, longest)
-    fold = merged if bpe else viterbi
-    unit, edges = F.col("unit"), F.col("edges")
-    ids = _ids(unit, edges, fold(unit, edges), byte_zero)
-    short = short.select(*units.columns, ids.alias("ids"))
-    ranks = {p: (i, s) for p, i, s in known}
-    shared = spark.sparkContext.broadcast(ranks)
+    spark, coder = units.sparkSession, Coder(path)
+    pieces = spark.createDataFrame(coder.known, "piece string, id int, score double")
+    short = lattice(units.where(F.length("unit") <= LONG), pieces, coder.longest)
+    short = short.select(*units.columns, coder.ids().alias("ids"))
+    shared = spark.sparkContext.broadcast(coder)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def coded(unit: str) -> list[int]:
-            if bpe:
-                return merge_long(unit, shared.value, byte_zero)
-            return viterbi_long(unit, shared.value, byte_zero, longest)
-
         for batch in batches:
-            ids = pa.array([coded(u) for u in batch["unit"].to_pylist()], pa.list_(pa.int32()))
+            ids = pa.array([shared.value.long(u) for u in batch["unit"].to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
 
     schema = units.withColumn("ids", F.lit(None).cast("array<int>")).schema
     return short.unionAll(units.where(F.length("unit") > LONG).mapInArrow(merge, schema))
 
 
-def units_in(word: str) -> list[str]:
-    """The units of a word, which begins with a space sign; letters only are one unit."""
-    return [word] if word[1:].isalpha() else UNIT.findall(word)
+def words_of(text: str) -> list[str]:
+    """Keys for the stretches of a text that no unit crosses: its words between single spaces.
+    Where spaces stand together or last they belong to one unit, so the keys are the units
+    themselves, each behind a space, which no word holds."""
+    words = text.split(" ") if text else []
+    return [" " + u for u in units_of(text)] if "" in words or SPACE_SIGN in text else words
 
 
-def words_of(text: str | None) -> list[str]:
-    """The text cut before its single spaces, a space sign before each word; units lie within
-    words. Where spaces stand together or last they belong to one unit, so the text is cut into
-    its units instead."""
-    if not text:
-        return []
-    words = [SPACE_SIGN + w for w in text.split(" ")]
-    return units_of(text) if SPACE_SIGN in words or SPACE_SIGN in text else words
+def units_in(key: str) -> list[str]:
+    """The units of a key of :func:`words_of`; letters only are one unit."""
+    if key.isalpha():
+        return [SPACE_SIGN + key]
+    return [key[1:]] if key[0] == " " else UNIT.findall(SPACE_SIGN + key)
 
 
 class Numbers(dict):
@@ -429,8 +436,7 @@ def blocks(documents: DataFrame) -> DataFrame:
         numbers, doc_ids, places, read = Numbers(), [], [], 0
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                text = text.as_py() or ""
-                words = words_of(text)
+                words = words_of(text := text.as_py() or "")
                 doc_ids.append(doc_id.as_py())
                 places.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
                 read += len(text)
@@ -443,18 +449,29 @@ def blocks(documents: DataFrame) -> DataFrame:
     return stored(narrowed(documents, "doc_id", "text").mapInArrow(cut, BLOCKS), "blocks")
 
 
-def unit_counts(cut: DataFrame) -> DataFrame:
-    """(unit, n): how often each unit occurs in all blocks, added up per block before anything moves."""
+def repeated_units(cut: DataFrame) -> DataFrame:
+    """(unit, n): the units met more than once and how often, added up per block before they move."""
     both = F.explode(F.arrays_zip("units", "n")).alias("both")
     rows = cut.select(both).select(F.col("both.units").alias("unit"), "both.n")
-    # A fixed number of parts: the units are few bytes but much work for what reads them.
-    parts = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "unit").groupBy("unit").agg(F.sum("n").alias("n"))
+    return rows.groupBy("unit").agg(F.sum("n").alias("n")).where("n > 1")
+
+
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The units above the count that at most ``most`` units exceed, on a scale of 16 steps per
+    doubling, so that what the driver sees is some hundred numbers."""
+    step = F.floor(16 * F.log2("n"))
+    left, lowest = most, None
+    for row in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        left -= row["count"]
+        if left < 0:
+            break
+        lowest = row["step"]
+    return counts.where(F.lit(False) if lowest is None else step >= lowest)
 
 
-def with_ids(row: dict, flat: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
-    """The documents of a block with their ids; ``flat`` holds those of its codes, one after the other."""
-    codes, n_units = unpacked(row["places"]), np.array(row["sizes"], np.int64)
+def with_ids(row: dict, codes: np.ndarray, flat: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    """The documents of a block with their ids: those of each code lie in ``flat`` one after the other."""
+    n_units = np.array(row["sizes"], np.int64)
     found = spread(flat, size, codes).astype(np.int32)
     ends = np.concatenate([[0], np.cumsum(size[codes])])
     cuts = ends[np.concatenate([[0], np.cumsum(n_units)])]
@@ -465,68 +482,69 @@ def with_ids(row: dict, flat: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
 def encode(documents: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_units, ids): the ids of every row of ``documents`` in their order, and the number
     of its units."""
-    spark = documents.sparkSession
+    spark, coder = documents.sparkSession, Coder(path)
     cut = blocks(documents)
-    coded = stored(encode_units(stored(unit_counts(cut), "units"), path), "coded")
-    top = coded.orderBy(F.desc("n"), "unit").limit(HEAD).select("unit", "ids")
+    counts = stored(repeated_units(cut), "units")
     units, ids = [], []
-    for row in top.toLocalIterator():
+    for row in encode_units(most_frequent(counts, HEAD), path).toLocalIterator():
         units.append(row["unit"])
         ids.append(np.array(row["ids"], np.int32))
     size = np.fromiter(map(len, ids), np.int64, len(ids))
-    shared = spark.sparkContext.broadcast((units, np.concatenate([np.zeros(0, np.int32), *ids]), size))
-    all_known = len(units) < HEAD
+    shared = spark.sparkContext.broadcast((units, np.concatenate([np.zeros(0, np.int32), *ids]), size, coder))
     del units, ids, size
+    lists = pa.list_(pa.int64())
+    known = pa.schema([("block", pa.int64()), ("doc_ids", lists), ("sizes", lists), ("places", pa.binary())])
 
-    def gapped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[str], np.ndarray]]:
-        """Each block, its units that are not in the head, and its places as codes: those of the
-        head by their rank in it, the rare ones after them."""
+    def laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each block a row per unit that is not in the head, with its lattice, in order; then
+        the block's own row, its places as codes: those of the head, then the rare ones."""
+        coder = shared.value[-1]
         head = {u: k for k, u in enumerate(shared.value[0])}
+        pieces = PieceTable(coder.known)
         for batch in batches:
             for row in batch.to_pylist():
-                known = [head.get(u, -1) for u in row["units"]]
-                codes = np.array(known, np.int64)
+                codes = np.fromiter((head.get(u, -1) for u in row["units"]), np.int64, len(row["units"]))
                 gap = np.flatnonzero(codes < 0)
                 codes[gap] = len(head) + np.arange(len(gap))
-                yield row, [row["units"][k] for k in gap], codes
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, missing, _ in gapped(batches):
-            columns = [np.full(len(missing), row["block"]), np.arange(len(missing), dtype=np.int32)]
-            columns = [*map(pa.array, columns), pa.array(missing, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["block", "k", "unit"])
-
-    def coming(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, _, codes in gapped(batches):
-            row["places"] = packed(codes[unpacked(row["places"])])
-            del row["units"]
-            yield pa.RecordBatch.from_pylist([row], sent)
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, flat, size = shared.value
-        for row, _, codes in gapped(batches):
-            row["places"] = packed(codes[unpacked(row["places"])])
-            yield with_ids(row, flat, size)
-
-    def fill(rows: pa.Table, parts: pa.Table) -> pa.Table:
-        _, flat, size = shared.value
-        parts = parts.sort_by("k")
-        own = parts["own"].combine_chunks()
-        flat = np.concatenate([flat, own.flatten().to_numpy()])
-        size = np.concatenate([size, own.value_lengths().to_numpy()])
-        return pa.Table.from_batches([with_ids(row, flat, size) for row in rows.to_pylist()])
+                rare = [row["units"][k] for k in gap]
+                for first in range(0, len(rare), TOGETHER):
+                    some = rare[first : first + TOGETHER]
+                    edges = edges_of(pieces, [u if len(u) <= LONG else "" for u in some])
+                    none = [pa.nulls(len(some), f.type) for f in list(known)[1:]]
+                    columns = [pa.array(np.full(len(some), row["block"])), *none, pa.array(some, pa.string()), edges]
+                    yield pa.RecordBatch.from_arrays(columns, [*known.names, "unit", "edges"])
+                row["places"] = packed(codes[unpacked(row["places"])])
+                own = pa.RecordBatch.from_pylist([{c: row[c] for c in known.names}], known)
+                columns = [*own.columns, pa.nulls(1, pa.string()), pa.nulls(1, edges_of(pieces, []).type)]
+                yield pa.RecordBatch.from_arrays(columns, [*known.names, "unit", "edges"])
+
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows come as ``laid_out`` gave them, since nothing between moves any."""
+        _, flat, size, coder = shared.value
+        rare: list[tuple[pa.ListArray, pa.Array]] = []
+
+        def taken(part: pa.RecordBatch) -> None:
+            ids, unit = part["ids"], part["unit"]
+            if part.num_rows and pc.max(pc.utf8_length(unit)).as_py() > LONG:
+                both = zip(ids.to_pylist(), unit.to_pylist(), strict=True)
+                ids = pa.array([i if len(u) <= LONG else coder.long(u) for i, u in both], ids.type)
+            rare.append((ids.flatten().to_numpy(), ids.value_lengths().to_numpy()))
 
-    lists = pa.list_(pa.int64())
-    sent = pa.schema([("block", pa.int64()), ("doc_ids", lists), ("sizes", lists), ("places", pa.binary())])
-    schema = "doc_id long, n_units long, ids array<int>"
-    rows = cut.drop("n")
-    if all_known:
-        return rows.mapInArrow(whole, schema)
-    own = coded.select("unit", F.col("ids").alias("own"))
-    parts = cut.select("block", "units").mapInArrow(rare, "block long, k int, unit string").join(own, "unit")
-    parts = parts.select("block", "k", "own")
-    moved = rows.mapInArrow(coming, "block long, doc_ids array<long>, sizes array<long>, places binary")
-    return moved.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(fill, schema)
+        for batch in batches:
+            first = 0
+            for end in np.flatnonzero(batch["unit"].is_null().to_numpy(zero_copy_only=False)).tolist():
+                taken(batch.slice(first, end - first))
+                row = batch.slice(end, 1).select(known.names).to_pylist()[0]
+                codes = unpacked(row["places"])
+                sizes = np.concatenate([size, *(n for _, n in rare)])
+                yield with_ids(row, codes, np.concatenate([flat, *(ids for ids, _ in rare)]), sizes)
+                rare, first = [], end + 1
+            taken(batch.slice(first))
+
+    of_block = "block long, doc_ids array<long>, sizes array<long>, places binary"
+    rows = cut.drop("n").mapInArrow(laid_out, f"{of_block}, unit string, edges {EDGES}")
+    own = F.when(F.length("unit") <= LONG, coder.ids()).alias("ids")
+    return rows.select(*known.names, "unit", own).mapInArrow(put_together, "doc_id long, n_units long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, column: str = "text") -> DataFrame:
