@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gaugework.functions import geometry
 from gaugework.functions.values import is_finite
 from gaugework.operators.ordering import (
     SLICE_ROWS,
@@ -297,6 +298,50 @@ def gap_report(
     return facts.withColumn("uniform_spacing", uniform)
 
 
+def orientation_report(
+    units: DataFrame,
+    entity: str,
+    orientation: str,
+    position: str,
+    instance: str,
+    tolerance: float = geometry.AXIAL_TOLERANCE,
+) -> DataFrame:
+    """Presence of the geometry and constancy of the plane per entity (the rest of W3).
+
+    ``orientation`` holds six direction cosines, ``position`` a point; either may be null, and so
+    may the normal of an orientation that spans no plane. ``orientation_constant`` is exact;
+    ``plane_constant`` holds when all normals agree within ``tolerance`` up to their sign: the
+    products of two components do not see the sign, so their ranges tell, and no vectors are
+    compared. Both are null, as ``all_axial``, where an entity has no value to judge by. Units are
+    added up per different orientation first, so a large entity does not meet in one task.
+    """
+    rows = units.select(entity, orientation, position, instance).withColumn("_n", geometry.plane_normal(F.col(orientation)))
+    z = F.get(position, F.lit(2)).cast("double")
+    apart = F.abs(geometry.projected_position(F.col(position), F.col("_n")) - z)
+    per_orientation = rows.groupBy(entity, orientation).agg(
+        F.count("*").alias("_units"),
+        F.count(position).alias("_positions"),
+        F.count(instance).alias("_instances"),
+        F.first("_n").alias("_n"),
+        F.max(apart).alias("_apart"),
+    )
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    products = [F.get("_n", F.lit(i)) * F.get("_n", F.lit(j)) for i, j in pairs]
+    ranges = [F.max(p) - F.min(p) for p in products]
+    share = lambda n: F.sum(n) / F.sum("_units")
+    return per_orientation.groupBy(entity).agg(
+        F.sum("_units").alias("units"),
+        share("_positions").alias("position_fraction"),
+        share(F.when(F.col(orientation).isNotNull(), F.col("_units")).otherwise(0)).alias("orientation_fraction"),
+        share("_instances").alias("instance_fraction"),
+        F.count(orientation).alias("distinct_orientations"),
+        F.when(F.count(orientation) > 0, F.count(orientation) == 1).alias("orientation_constant"),
+        (F.greatest(*ranges) <= F.lit(tolerance)).alias("plane_constant"),
+        F.bool_and(geometry.is_axial(F.col("_n"), tolerance)).alias("all_axial"),
+        F.max("_apart").alias("max_projected_minus_z"),
+    )
+
+
 def entity_index(units: DataFrame, entity: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Entities with their unit count and position in natural order."""
     from gaugework.functions.keys import natural_key

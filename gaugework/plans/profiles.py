@@ -231,6 +231,35 @@ def gap_report(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out, ["min_position", "max_position", "min_step", "max_step", "median_step"], 3)
 
 
+@query(
+    "orientation_report",
+    """
+WITH e AS (SELECT label, vec_id, CASE WHEN embedding[10] > 0 THEN list_transform(embedding[1:6], lambda v: sign(v)::DOUBLE) END AS o,
+       CASE WHEN embedding[11] > 0 THEN embedding[7:9]::DOUBLE[] END AS p, CASE WHEN embedding[12] > 0 THEN vec_id END AS i FROM embeddings),
+c AS (SELECT *, o[2] * o[6] - o[3] * o[5] AS x, o[3] * o[4] - o[1] * o[6] AS y, o[1] * o[5] - o[2] * o[4] AS z FROM e),
+l AS (SELECT *, nullif(sqrt(x * x + y * y + z * z), 0) AS l FROM c),
+n AS (SELECT label, o, p, i, x / l AS x, y / l AS y, z / l AS z FROM l),
+g AS (SELECT label, count(*) AS units, count(p) AS p, count(o) AS o, count(i) AS i, count(DISTINCT o) AS d,
+       greatest(max(x*x) - min(x*x), max(x*y) - min(x*y), max(x*z) - min(x*z), max(y*y) - min(y*y), max(y*z) - min(y*z),
+                max(z*z) - min(z*z)) AS r,
+       bool_and(abs(x) <= 0.75 AND abs(y) <= 0.75 AND abs(abs(z) - 1) <= 0.75) AS axial,
+       max(abs(p[1] * x + p[2] * y + p[3] * z - p[3])) AS apart FROM n GROUP BY label)
+SELECT label, units, round(p / units, 6) AS position_fraction, round(o / units, 6) AS orientation_fraction,
+       round(i / units, 6) AS instance_fraction, d AS distinct_orientations, CASE WHEN d > 0 THEN d = 1 END AS orientation_constant,
+       r <= 0.75 AS plane_constant, axial AS all_axial, round(apart, 6) AS max_projected_minus_z FROM g""",
+)
+def orientation_report(spark: SparkSession, d: str) -> DataFrame:
+    at = lambda i: F.get("embedding", F.lit(i))
+    rows = table(spark, d, "embeddings").select(
+        "label",
+        F.when(at(9) > 0, F.transform(F.slice("embedding", 1, 6), lambda v: F.signum(v).cast("double"))).alias("orientation"),
+        F.when(at(10) > 0, F.slice("embedding", 7, 3)).alias("position"),
+        F.when(at(11) > 0, F.col("vec_id")).alias("instance"),
+    )
+    out = profile.orientation_report(rows, "label", "orientation", "position", "instance", 0.75)
+    return rounded(out, ["position_fraction", "orientation_fraction", "instance_fraction", "max_projected_minus_z"])
+
+
 @query(
     "positional_index",
     """SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS index FROM events""",
