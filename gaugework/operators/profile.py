@@ -322,9 +322,8 @@ def orientation_report(
         F.count("*").alias("_units"),
         F.count(position).alias("_positions"),
         F.count(instance).alias("_instances"),
-        F.first("_n").alias("_n"),
         F.max(apart).alias("_apart"),
-    )
+    ).withColumn("_n", geometry.plane_normal(F.col(orientation)))
     pairs = [(i, j) for i in range(3) for j in range(i, 3)]
     products = [F.get("_n", F.lit(i)) * F.get("_n", F.lit(j)) for i, j in pairs]
     ranges = [F.max(p) - F.min(p) for p in products]
