@@ -200,12 +200,17 @@ def change_diagnostics(
 ) -> DataFrame:
     """Per unit: what a method asked for, and what survived clipping; never merged.
 
-    ``cells, below, above, clamped, sum_raw, sum_kept, raw_min, raw_max`` as a struct-free row.
+    ``cells, below, above, clamped, sum_raw, sum_kept, raw_min, raw_max`` as a struct-free row, with
+    the cells that end exactly at a limit (``at_low, at_high``) and those that are not finite
+    (``not_finite``; NaN is neither below nor above, an infinity is also beyond its limit).
     """
     clip = lambda v: F.least(F.greatest(v, F.lit(low)), F.lit(high))
     zero = F.struct(
         F.lit(0).cast("long").alias("below"),
         F.lit(0).cast("long").alias("above"),
+        F.lit(0).cast("long").alias("at_low"),
+        F.lit(0).cast("long").alias("at_high"),
+        F.lit(0).cast("long").alias("not_finite"),
         F.lit(0.0).alias("raw"),
         F.lit(0.0).alias("kept"),
     )
@@ -217,7 +222,10 @@ def change_diagnostics(
         zero,
         lambda a, p: F.struct(
             (a["below"] + (p["r"] < low).cast("long")).alias("below"),
-            (a["above"] + (p["r"] > high).cast("long")).alias("above"),
+            (a["above"] + (~F.isnan(p["r"]) & (p["r"] > high)).cast("long")).alias("above"),
+            (a["at_low"] + (p["r"] <= low).cast("long")).alias("at_low"),
+            (a["at_high"] + (~F.isnan(p["r"]) & (p["r"] >= high)).cast("long")).alias("at_high"),
+            (a["not_finite"] + (F.isnan(p["r"]) | (F.abs(p["r"]) == float("inf"))).cast("long")).alias("not_finite"),
             (a["raw"] + F.abs(p["r"] - p["g"])).alias("raw"),
             (a["kept"] + F.abs(clip(p["r"]) - p["g"])).alias("kept"),
         ),
@@ -233,6 +241,7 @@ def change_diagnostics(
         F.col("_t.below").alias("below"),
         F.col("_t.above").alias("above"),
         (F.col("_t.below") + F.col("_t.above")).alias("clamped"),
+        *[F.col(f"_t.{c}").alias(c) for c in ("at_low", "at_high", "not_finite")],
         F.col("_t.raw").alias("sum_raw"),
         F.col("_t.kept").alias("sum_kept"),
     )
@@ -245,7 +254,8 @@ def change_summary(
     slice_rows: int = SLICE_ROWS,
     bound: int | None = None,
 ) -> DataFrame:
-    """Pooled fractions and mean changes, with quantiles of the per-unit raw change."""
+    """Pooled fractions and mean changes, with quantiles of the per-unit raw change; ``failures``
+    counts the units with a cell that is not finite."""
     cells = F.sum("cells")
     aggregates = [
         F.count("*").alias("units"),
@@ -253,6 +263,9 @@ def change_summary(
         (F.sum("below") / cells).alias("fraction_below"),
         (F.sum("above") / cells).alias("fraction_above"),
         (F.sum("clamped") / cells).alias("fraction_clamped"),
+        (F.sum("at_low") / cells).alias("fraction_at_low"),
+        (F.sum("at_high") / cells).alias("fraction_at_high"),
+        F.count_if(F.col("not_finite") > 0).alias("failures"),
         (F.sum("sum_raw") / cells).alias("mean_raw_change"),
         (F.sum("sum_kept") / cells).alias("mean_kept_change"),
         F.min("raw_min").alias("raw_min"),

@@ -195,6 +195,8 @@ c AS (SELECT vec_id, label, given, 1.5 * given - 0.25 AS raw, least(greatest(1.5
 u AS (SELECT vec_id, avg(abs(raw - given)) AS change FROM c GROUP BY vec_id)
 SELECT count(DISTINCT vec_id) AS units, count(*) AS cells, round(avg((raw < 0)::INTEGER), 8) AS fraction_below,
        round(avg((raw > 1)::INTEGER), 8) AS fraction_above, round(avg((raw < 0 OR raw > 1)::INTEGER), 8) AS fraction_clamped,
+       round(avg((kept = 0)::INTEGER), 8) AS fraction_at_low, round(avg((kept = 1)::INTEGER), 8) AS fraction_at_high,
+       count(DISTINCT vec_id) FILTER (NOT isfinite(raw)) AS failures,
        round(avg(abs(raw - given)), 8) AS mean_raw_change, round(avg(abs(kept - given)), 8) AS mean_kept_change,
        round(min(raw), 8) AS raw_min, round(max(raw), 8) AS raw_max,
        round((SELECT quantile_cont(change, 0.05) FROM u), 8) AS unit_change_q05, round((SELECT quantile_cont(change, 0.5) FROM u), 8) AS unit_change_q50,
@@ -207,7 +209,7 @@ def change_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     out = scoring.change_summary(
         scoring.change_diagnostics(units, "given", "raw"), bound=table(spark, d, "embeddings").count()
     )
-    return rounded(out, [c for c in out.columns if c not in ("units", "cells")], 8)
+    return rounded(out, [c for c in out.columns if c not in ("units", "cells", "failures")], 8)
 
 
 def _taps() -> list[float]:
