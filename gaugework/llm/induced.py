@@ -380,7 +380,8 @@ def _named(text: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     del keys
     parts = []
     for a, b in steps(n):
-        goes_on = size[number[a:b]] > width
+        # One that ends with its key takes part: it may stand with longer ones, which come before it.
+        goes_on = size[number[a:b]] >= width
         twin = ~np.append(opens[a + 1 : b], opens[b] if b < n else True) | ~opens[a:b]
         parts.append(np.flatnonzero(goes_on & twin) + a)
     place, first = np.concatenate(parts), width
@@ -396,7 +397,7 @@ def _named(text: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         opens[place] |= fresh
         first += width
         twin = ~np.append(fresh[1:], True) | ~fresh
-        on = twin & (size[some] > first)
+        on = twin & (size[some] >= first)
         place, group = place[on], np.cumsum(fresh)[on]
     names, name = allot(n, np.int64), -1
     for a, b in steps(n):
