@@ -29,6 +29,8 @@ from gaugework.session import ensure_checkpoint_dir
 SLICE_ROWS = 1_000_000
 #: Upper bound on slices, hence on the size of the broadcast slice limits.
 MAX_SLICES = 65_536
+#: Order values picked per slice. A slice ends at the last of them, so that slices are nearly equal.
+PICKS = 32
 
 def _null_safe(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
     return reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in pairs])
@@ -87,22 +89,26 @@ class Ordering:
         df, single = self.df, self.group == ["_all"]
         if total is None:
             total = bound if single else df.count()
-        step = max(slice_rows, -(-total // (MAX_SLICES // 2)))
+        limit = max(slice_rows, -(-total // (MAX_SLICES // 2)))
+        # Slices of half the limit on average, as each has some rows more or less.
+        step = max(limit // 2, 1)
+        apart = max(step // PICKS, 1)
         names = [F.col(g).alias(f"_g{i}") for i, g in enumerate(self.group)]
-        picked = df.where(F.pmod(F.xxhash64(*self.group, *self.order), F.lit(step)) == 0)
+        picked = df.where(F.pmod(F.xxhash64(*self.group, *self.order), F.lit(apart)) == 0)
         if not single:
             sizes = df.groupBy(*self.group).agg(F.count("*").alias("_n"))
-            # At most total / step groups can be that large, so at most MAX_SLICES / 2.
-            large = pinned(sizes.where(F.col("_n") > step))
+            # At most total / limit groups can be that large, so at most MAX_SLICES / 2.
+            large = pinned(sizes.where(F.col("_n") > limit))
             if large.isEmpty():
                 return None
             named = large.select(*names)
             pairs = [(g, f"_g{i}") for i, g in enumerate(self.group)]
             picked = picked.join(F.broadcast(named), _null_safe(picked, named, pairs), "left_semi")
-        cuts = picked.groupBy(*names).agg(
-            F.array_sort(F.collect_set(F.struct(*self.order))).alias("_cuts")
+        every = step // apart
+        ends = F.filter(
+            F.array_sort(F.collect_set(F.struct(*self.order))), lambda _, i: F.pmod(i + 1, F.lit(every)) == 0
         )
-        return pinned(cuts)
+        return pinned(picked.groupBy(*names).agg(ends.alias("_cuts")))
 
     def _sliced(self) -> DataFrame:
         if self.bounds is None:
