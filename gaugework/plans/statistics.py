@@ -152,6 +152,39 @@ def paired_deltas(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out, [c for c in out.columns if c.split("_")[0] in ("baseline", "method", "delta")])
 
 
+#: The columns of LINE_METRICS are decimals of two places held as doubles: their sums, and so whether two
+#: means are equal, depend on the order of adding. Whole multiples of 1 / SCALE add up exactly.
+SCALE = 10_000
+
+
+def _exact_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """:func:`_pairs` with deltas of exact sums, which are 0 where the two means are equal."""
+    nations = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    units = table(spark, d, "lineitem").where(F.col("l_returnflag").isin("R", "A")).select(
+        "l_suppkey",
+        "l_returnflag",
+        *[F.round(F.col(c) * SCALE).cast("long").alias(m) for m, c in LINE_METRICS.items()],
+    )
+    means = stats.entity_means(units, ["l_suppkey", "l_returnflag"], METRICS)
+    labelled = joins.inherit(means, nations, "l_suppkey", ["s_nationkey"])
+    pairs = joins.strict_pairs_of(labelled, "l_suppkey", "l_returnflag", "R", "A", METRICS, ["s_nationkey"])
+    return pairs.withColumns({c: F.col(c) / SCALE for c in stats.delta_columns(METRICS)})
+
+
+_EXACT_MEANS = f"""
+SELECT l_suppkey, {", ".join(f"avg(round({c} * {SCALE})::BIGINT) AS {m}" for m, c in LINE_METRICS.items())}
+FROM lineitem {{where}} GROUP BY l_suppkey"""
+_EXACT_DELTAS = f"""
+pairs AS (
+  SELECT {", ".join(f"(r.{m} - a.{m}) / {SCALE} AS delta_{m}" for m in METRICS)}
+  FROM ({_EXACT_MEANS.format(where="WHERE l_returnflag = 'R'")}) r
+  JOIN ({_EXACT_MEANS.format(where="WHERE l_returnflag = 'A'")}) a USING (l_suppkey)
+  JOIN supplier ON s_suppkey = r.l_suppkey),
+long AS (
+  SELECT metric, value, CASE WHEN metric IN ('quantity', 'price') THEN 'higher' ELSE 'lower' END AS direction
+  FROM (SELECT {", ".join(f"delta_{m} AS {m}" for m in METRICS)} FROM pairs)
+  UNPIVOT (value FOR metric IN (quantity, price, discount, tax)))"""
+
 _DELTAS = f"""
 {_PAIRS},
 long AS (
@@ -163,7 +196,7 @@ _BETTER = "(CASE WHEN direction = 'higher' THEN value ELSE -value END) > 0"
 
 @query(
     "paired_summary",
-    f"""WITH {_DELTAS}
+    f"""WITH {_EXACT_DELTAS}
 SELECT metric, direction, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
        round(quantile_cont(value, 0.5), 6) AS median, round(min(value), 6) AS min, round(max(value), 6) AS max,
        count_if({_BETTER}) AS improved, count_if(NOT {_BETTER} AND value <> 0) AS worsened,
@@ -171,7 +204,7 @@ SELECT metric, direction, count(*) AS n, round(avg(value), 6) AS mean, round(std
 FROM long GROUP BY metric, direction""",
 )
 def paired_summary(spark: SparkSession, d: str) -> DataFrame:
-    out = stats.paired_delta_summary(_pairs(spark, d), METRICS, LOWER, HIGHER, _suppliers(spark, d))
+    out = stats.paired_delta_summary(_exact_pairs(spark, d), METRICS, LOWER, HIGHER, _suppliers(spark, d))
     return rounded(out, ["mean", "std", "median", "min", "max"])
 
 
