@@ -384,6 +384,29 @@ class Shard:
                 yield piece, on[opens] - begin[piece], np.diff(np.append(opens, len(on)))
 
 
+def _bytes(values: pa.Array) -> list[bytes]:
+    """The values of a binary array without nulls."""
+    if not len(values):
+        return []
+    offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].tolist()
+    raw = values.buffers()[2].to_pybytes() if values.buffers()[2] else b""
+    return [raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def _alone(anchor: np.ndarray, piece: pa.Array, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of anchors that lie within the batch and have one piece, and which of these a smaller doc_id
+    has. Rows come sorted by anchor, piece and doc_id; the first and the last anchor may go on elsewhere."""
+    first = _starts(anchor)
+    differ = np.ones(len(anchor), np.int64)
+    differ[1:] = np.asarray(pc.not_equal(piece[1:], piece[:-1]))
+    differ[first] = 1
+    size = np.diff(np.append(first, len(anchor)))
+    one = np.add.reduceat(differ, first) == 1
+    one[[0, -1]] = False
+    alone = np.repeat(one, size)
+    return alone, alone & (doc > np.repeat(doc[first], size))
+
+
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of n neighbouring starts of covered windows. Rows come sorted by anchor, piece and doc_id;
     those without a piece are such runs."""
@@ -409,12 +432,20 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     # The first piece of an anchor waits, with its holders, for a second one.
     anchor, last, least, waiting = None, None, 0, None
     for batch in batches:
-        numbers = [batch[c].to_pylist() for c in names]
+        there = np.asarray(batch["piece"].is_valid())
+        numbers = np.stack([batch[c].to_numpy() for c in names])
+        if not there.all():
+            yield out(*numbers[:, ~there])
+            batch, numbers = batch.filter(pa.array(there)), numbers[:, there]
+        if not batch.num_rows:
+            continue
+        alone, covered = _alone(batch["shard"].to_numpy(), batch["piece"], numbers[0])
+        if covered.any():
+            yield out(*numbers[:, covered])
+        batch, numbers = batch.filter(pa.array(~alone)), numbers[:, ~alone]
+        pieces = _bytes(batch["piece"])
         passed: list[tuple[int, int, int, int]] = []
-        for at, piece, doc, check, start, n in zip(batch["shard"].to_pylist(), batch["piece"].to_pylist(), *numbers, strict=True):
-            if piece is None:
-                passed.append((doc, check, start, n))
-                continue
+        for at, piece, doc, check, start, n in zip(batch["shard"].to_numpy().tolist(), pieces, *numbers.tolist(), strict=True):
             if at != anchor:
                 if shard.bytes > SHARD_BYTES:
                     yield from spans(shard)
