@@ -5,7 +5,8 @@ that no piece of the vocabulary crosses (checked when the vocabulary is read). E
 of a block of documents is encoded once: its substrings of bounded length are exploded and met with the piece table, the
 edges found are grouped by unit, and a higher-order ``aggregate`` folds them into the best path.
 Explosion, equi-join and grouping run in numpy within the task that holds the unit, so that no
-substring is a row of its own; the fold is a Spark expression.
+substring is a row of its own; the fold is a Spark expression and gives the borders of the path. The
+pieces between them are looked up in numpy again.
 
 Two folds exist. Where pieces have log probabilities (a unigram model) it is Viterbi: position by
 position, the best score and the edge it came by. A BPE model takes the merge of best score
@@ -19,7 +20,8 @@ Texts are cut once, into stored blocks of documents: the different units of a bl
 documents as numbers of them. Everything after reads the blocks. The most frequent units (``HEAD``
 at most, a parameter) are encoded once and broadcast; a rarer unit seldom comes twice in a block, so
 it is encoded once per block that has it, where the block is read. No document and no rare unit moves.
-:func:`decode` looks up the bytes of each id in the broadcast piece table.
+:func:`decode` looks up the bytes of each id in the broadcast piece table; :func:`encode` does the
+same on request, in the task that has the ids.
 
 Defined results: a null or empty text has no pieces; repeated rows are encoded one by one; extra
 columns are ignored. :func:`decode` undoes :func:`encode` exactly, also for white space; only a
@@ -32,6 +34,8 @@ import heapq
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +51,8 @@ from gaugework.llm.quality_rules import let
 SPACE_SIGN = "▁"
 UNIT = regex.compile(r"▁*[\p{L}\p{M}]+|▁*[^\p{L}\p{M}▁]+|▁+")
 LONG = 60
+#: Marks of hashes: a piece goes on behind the string, a piece ends with it.
+MARK_BITS, GOES_ON, ENDS = 20, 1, 2
 #: Units that are broadcast with their counts of pieces.
 HEAD = 300_000
 #: Units whose substrings one numpy step handles.
@@ -91,7 +97,8 @@ def _bit(position: Column) -> Column:
 
 
 class PieceTable:
-    """The pieces as arrays: for each length their sorted hashes, code points, ids and ranks."""
+    """The pieces as arrays: for each length their sorted hashes, code points, ids and ranks; and
+    ``marks``, by the first bits of a hash, whether a piece may go on behind it or end there."""
 
     def __init__(self, pieces: list[tuple[str, int, float]]) -> None:
         order = {score: k for k, score in enumerate(sorted({s for _, _, s in pieces}, reverse=True))}
@@ -99,11 +106,13 @@ class PieceTable:
         for piece in pieces:
             by_length[len(piece[0])].append(piece)
         self.lengths = {}
+        self.marks = np.zeros(1 << MARK_BITS, np.uint8)
         for k, found in sorted(by_length.items()):
             codes = np.array([[ord(c) for c in p] for p, _, _ in found], np.uint64)
             h = np.zeros(len(found), np.uint64)
-            for column in codes.T:
+            for n, column in enumerate(codes.T, 1):
                 h = extended(h, column)
+                self.marks[h >> np.uint64(64 - MARK_BITS)] |= ENDS if n == k else GOES_ON
             at = np.argsort(h)
             if (h[at][1:] == h[at][:-1]).any():
                 raise ValueError("two pieces of a length have one hash")
@@ -113,6 +122,16 @@ class PieceTable:
             self.lengths[k] = (h[at], codes[at], ids, scores, ranks)
 
 
+    def held(self, k: int, h: np.ndarray, begin: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the substrings of ``k`` code points are pieces, and their places among those."""
+        keys, spelled = self.lengths[k][:2]
+        place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        hit = np.flatnonzero(keys[place] == h)
+        place = place[hit]
+        same = (codes[begin[hit][:, None] + np.arange(k)] == spelled[place]).all(axis=1)
+        return hit[same], place[same]
+
+
 def extended(h: np.ndarray, code: np.ndarray) -> np.ndarray:
     """The hash of strings that are longer by one code point."""
     h = (h ^ code) * np.uint64(0x9E3779B97F4A7C15)
@@ -120,32 +139,38 @@ def extended(h: np.ndarray, code: np.ndarray) -> np.ndarray:
 
 
 EDGES = "array<struct<score: double, begin: int, end: int, id: int, ends: long, inside: long>>"
+MERGES = "array<struct<ends: long, inside: long>>"
 
 
-def edges_of(table: PieceTable, units: list[str]) -> pa.Array:
-    """The pieces found in each unit, best score first and leftmost of equals: all substrings of
-    a length are hashed at once, met with the pieces of that length and compared by code points."""
+def spelled_out(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all units one after the other, and the sizes of the units."""
     codes = np.frombuffer("".join(units).encode("utf-32-le"), "<u4").astype(np.uint64)
-    size = np.fromiter(map(len, units), np.int64, len(units))
+    return codes, np.fromiter(map(len, units), np.int64, len(units))
+
+
+def edges_of(table: PieceTable, units: list[str], merges: bool = False) -> pa.Array:
+    """The pieces found in each unit, best score first and leftmost of equals: all substrings of
+    a length are hashed at once, met with the pieces of that length and compared by code points.
+    With ``merges`` only what the fold of a BPE reads: pieces of two characters or more, as bits."""
+    codes, size = spelled_out(units)
     unit = np.repeat(np.arange(len(units)), size)
     first = np.repeat(np.cumsum(size) - size, size)
     at, left = np.arange(len(codes)), np.repeat(np.cumsum(size), size) - np.arange(len(codes))
     h = np.zeros(len(codes), np.uint64)
     found = [[np.zeros(0, t)] for t in (np.int64, np.int64, np.int64, np.int32, float, np.int64)]
     for k in range(1, max(table.lengths, default=0) + 1):
-        held = left[at] >= k
-        at, h = at[held], h[held]
         h = extended(h, codes[at + k - 1])
-        if k in table.lengths and len(at):
-            keys, spelled, ids, scores, ranks = table.lengths[k]
-            place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            hit = np.flatnonzero(keys[place] == h)
-            place, begin = place[hit], at[hit]
-            same = (codes[begin[:, None] + np.arange(k)] == spelled[place]).all(axis=1)
-            place, begin = place[same], begin[same]
-            new = (unit[begin], begin - first[begin], np.full(len(begin), k), ids[place], scores[place], ranks[place])
+        marks = table.marks[h >> np.uint64(64 - MARK_BITS)]
+        if k in table.lengths and (k > 1 or not merges):
+            end_here = np.flatnonzero(marks & ENDS)
+            hit, place = table.held(k, h[end_here], at[end_here], codes)
+            begin = at[end_here[hit]]
+            ids, scores, ranks = (c[place] for c in table.lengths[k][2:])
+            new = (unit[begin], begin - first[begin], np.full(len(begin), k), ids, scores, ranks)
             for column, values in zip(found, new, strict=True):
                 column.append(values)
+        further = (marks & GOES_ON > 0) & (left[at] > k)
+        at, h = at[further], h[further]
     of, begin, k, ids, scores, ranks = (np.concatenate(c) for c in found)
     order = np.lexsort((begin, ranks, of))
     of, begin, k, ids, scores = (c[order] for c in (of, begin, k, ids, scores))
@@ -153,18 +178,19 @@ def edges_of(table: PieceTable, units: list[str]) -> pa.Array:
     # Bits 0 to 62 are enough for the folds; longer units go another way.
     ends = one << np.minimum(begin, 62) | one << np.minimum(end, 62)
     inside = (one << np.minimum(end, 62)) - (one << np.minimum(begin + 1, 62))
-    columns = [pa.array(scores), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(ids)]
-    rows = pa.StructArray.from_arrays(
-        [*columns, pa.array(ends), pa.array(inside)], ["score", "begin", "end", "id", "ends", "inside"]
-    )
+    columns = {"ends": pa.array(ends), "inside": pa.array(inside)}
+    if not merges:
+        places = {"begin": pa.array(begin.astype(np.int32)), "end": pa.array(end.astype(np.int32))}
+        columns = {"score": pa.array(scores)} | places | {"id": pa.array(ids)} | columns
+    rows = pa.StructArray.from_arrays(list(columns.values()), list(columns))
     cuts = np.searchsorted(of, np.arange(len(units) + 1)).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(cuts), rows)
 
 
-def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+def lattice(units: DataFrame, pieces: DataFrame, longest: int, merges: bool = False) -> DataFrame:
     """``units`` with the column ``edges``: of each different unit the pieces of at most ``longest`` characters found in
-    it, with begin and end, best score first. The piece table is as long as the vocabulary and is
-    broadcast. Substrings are exploded, met with it and grouped by unit within the task: as rows of
+    it, with begin and end, best score first (``merges``: as in :func:`edges_of`). The piece table is as long as the
+    vocabulary and is broadcast. Substrings are exploded, met with it and grouped by unit within the task: as rows of
     their own they were some 57 per unit, and the most costly part of the query."""
     spark = units.sparkSession
     known = pieces.select("piece", "id", "score").where(F.length("piece") <= longest)
@@ -175,10 +201,11 @@ def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, TOGETHER):
                 some = batch.slice(i, TOGETHER)
-                found = edges_of(table, some["unit"].to_pylist())
+                found = edges_of(table, some["unit"].to_pylist(), merges)
                 yield pa.RecordBatch.from_arrays([*some.columns, found], [*some.schema.names, "edges"])
 
-    return units.mapInArrow(meet, units.withColumn("edges", F.lit(None).cast(EDGES)).schema)
+    kind = MERGES if merges else EDGES
+    return units.mapInArrow(meet, units.withColumn("edges", F.lit(None).cast(kind)).schema)
 
 
 def merged(unit: Column, edges: Column) -> Column:
@@ -222,33 +249,31 @@ def viterbi(unit: Column, edges: Column) -> Column:
     return F.element_at(path, -1)["borders"]
 
 
-def _ids(unit: Column, edges: Column, borders: Column, byte_zero: int) -> Column:
-    """The ids between neighbouring borders; where there is no piece, those of the bytes."""
-
-    def path(b: Column) -> Column:
-        on_path = lambda e: (b.bitwiseAND(e["ends"]) == e["ends"]) & (b.bitwiseAND(e["inside"]) == 0)
-        narrow = lambda e: F.struct(e["begin"].alias("begin"), e["end"].alias("end"), e["id"].alias("id"))
-        return F.sort_array(F.transform(F.filter(edges, on_path), narrow))
-
-    def chosen(b: Column, edges: Column) -> Column:
-        def ids_at(i: Column) -> Column:
-            is_next = lambda e: (e["begin"] == i) & (b.bitwiseAND(_bit(e["end"])) != 0)
-            whole = lambda e: b.bitwiseAND(_bit(e["end"]) - _bit(i + 1)) == 0
-            one = F.get(F.filter(edges, lambda e: is_next(e) & whole(e)), F.lit(0))
-            code = F.hex(F.encode(F.substring(unit, i + 1, F.lit(1)), "UTF-8"))
-            pairs = F.sequence(F.lit(1), F.length(code) - 1, F.lit(2))
-            value = lambda k: F.conv(F.substring(code, k, F.lit(2)), 16, 10).cast("int")
-            bytes_of = F.transform(pairs, lambda k: value(k) + byte_zero)
-            return F.when(one.isNotNull(), F.array(one["id"])).otherwise(bytes_of)
-
-        places = F.filter(F.sequence(F.lit(0), F.length(unit) - 1), lambda i: b.bitwiseAND(_bit(i)) != 0)
-        return F.flatten(F.transform(places, ids_at))
-
-    def either(b: Column, found: Column) -> Column:
-        covered = F.aggregate(found, F.lit(0), lambda n, e: n + e["end"] - e["begin"])
-        return F.when(covered == F.length(unit), F.transform(found, lambda e: e["id"])).otherwise(chosen(b, found))
-
-    return let(borders, lambda b: let(path(b), lambda found: either(b, found)))
+def ids_between(table: PieceTable, units: list[str], borders: np.ndarray, byte_zero: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the pieces between neighbouring borders (bits, per unit), one unit after the
+    other, and how many each unit has; where there is no piece, the ids of the bytes."""
+    codes, size = spelled_out(units)
+    of = np.repeat(np.arange(len(units)), size)
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
+    begin = np.flatnonzero(borders[of] >> place & 1)
+    length = np.diff(begin, append=len(codes))
+    ids = np.full(len(begin), -1, np.int32)
+    for k in table.lengths:
+        some = np.flatnonzero(length == k)
+        h = np.zeros(len(some), np.uint64)
+        for n in range(k):
+            h = extended(h, codes[begin[some] + n])
+        hit, at = table.held(k, h, begin[some], codes)
+        ids[some[hit]] = table.lengths[k][2][at]
+    n = np.ones(len(begin), np.int64)
+    if len(bare := np.flatnonzero(ids < 0)):
+        text = "".join(units)
+        ends = zip(begin[bare].tolist(), (begin + length)[bare].tolist(), strict=True)
+        spelled = [text[a:b].encode() for a, b in ends]
+        n[bare] = list(map(len, spelled))
+        ids = np.repeat(ids, n)
+        ids[ids < 0] = np.frombuffer(b"".join(spelled), np.uint8).astype(np.int32) + byte_zero
+    return ids, np.bincount(of[begin], n, len(units)).astype(np.int64)
 
 
 def merge_long(unit: str, ranks: dict[str, tuple[int, float]], byte_zero: int) -> list[int]:
@@ -315,34 +340,56 @@ class Coder:
     def __init__(self, path: str) -> None:
         self.known, self.byte_zero, self.bpe = read_pieces(path)
         self.longest = max(len(p) for p, _, _ in self.known)
-        self.ranks = {p: (i, s) for p, i, s in self.known}
 
-    def ids(self) -> Column:
-        """The ids of the columns ``unit`` and ``edges``, null where there are no edges given."""
+    @cached_property
+    def ranks(self) -> dict[str, tuple[int, float]]:
+        return {p: (i, s) for p, i, s in self.known}
+
+    @cached_property
+    def table(self) -> PieceTable:
+        return PieceTable(self.known)
+
+    def borders(self) -> Column:
+        """The borders, as bits, of the columns ``unit`` and ``edges``; null for long units."""
         unit, edges = F.col("unit"), F.col("edges")
-        return _ids(unit, edges, (merged if self.bpe else viterbi)(unit, edges), self.byte_zero)
+        return F.when(F.length(unit) <= LONG, (merged if self.bpe else viterbi)(unit, edges))
 
     def long(self, unit: str) -> list[int]:
         if self.bpe:
             return merge_long(unit, self.ranks, self.byte_zero)
         return viterbi_long(unit, self.ranks, self.byte_zero, self.longest)
 
+    def spelled(self, unit: pa.Array, borders: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units one after the other, and how many each has, from their borders."""
+        units, bits = unit.to_pylist(), borders.fill_null(0).to_numpy(zero_copy_only=False)
+        long = [k for k, u in enumerate(units) if len(u) > LONG]
+        short = units.copy() if long else units
+        for k in long:
+            short[k] = ""
+        ids, size = ids_between(self.table, short, bits, self.byte_zero)
+        if long:
+            parts = np.split(ids, np.cumsum(size)[:-1])
+            for k in long:
+                parts[k] = np.array(self.long(units[k]), np.int32)
+            ids, size = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        return ids, size
+
 
 def encode_units(units: DataFrame, path: str) -> DataFrame:
     """A table of different units with the column ``ids``."""
     spark, coder = units.sparkSession, Coder(path)
     pieces = spark.createDataFrame(coder.known, "piece string, id int, score double")
-    short = lattice(units.where(F.length("unit") <= LONG), pieces, coder.longest)
-    short = short.select(*units.columns, coder.ids().alias("ids"))
-    shared = spark.sparkContext.broadcast(coder)
+    shared, names = spark.sparkContext.broadcast(coder), units.columns
+    short = lattice(units.where(F.length("unit") <= LONG), pieces, coder.longest, coder.bpe)
+    long = units.where(F.length("unit") > LONG).withColumn("borders", F.lit(None).cast("long"))
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = pa.array([shared.value.long(u) for u in batch["unit"].to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
+            ids = list_of(*shared.value.spelled(batch["unit"], batch["borders"]))
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), ids], [*names, "ids"])
 
     schema = units.withColumn("ids", F.lit(None).cast("array<int>")).schema
-    return short.unionAll(units.where(F.length("unit") > LONG).mapInArrow(merge, schema))
+    return short.select(*names, coder.borders().alias("borders")).unionAll(long).mapInArrow(spell, schema)
 
 
 def words_of(text: str) -> list[str]:
@@ -354,18 +401,14 @@ def words_of(text: str) -> list[str]:
 
 
 def units_in(key: str) -> list[str]:
-    """The units of a key of :func:`words_of`; letters only are one unit."""
+    """The units of a key of :func:`words_of`; letters only are one unit, marks behind them another."""
     if key.isalpha():
         return [SPACE_SIGN + key]
-    return [key[1:]] if key[0] == " " else UNIT.findall(SPACE_SIGN + key)
-
-
-class Numbers(dict):
-    """Different keys numbered as they come."""
-
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        return n
+    if key[0] == " ":
+        return [key[1:]]
+    if (letters := key.rstrip(punctuation)).isalpha():
+        return [SPACE_SIGN + letters, key[len(letters) :]]
+    return UNIT.findall(SPACE_SIGN + key)
 
 
 def spread(flat: np.ndarray, size: np.ndarray, index: np.ndarray, step: int = 1 << 18) -> np.ndarray:
@@ -399,52 +442,95 @@ def list_of(flat: pa.Array | np.ndarray, size: np.ndarray) -> pa.ListArray:
 BLOCKS = "block long, doc_ids array<long>, sizes array<long>, places binary, units array<string>, n array<long>"
 
 
-def block_row(block: int, doc_ids: list[int | None], places: list[np.ndarray], words: list[str]) -> pa.RecordBatch:
-    """One block as a row: its different units, the most frequent first, how often each occurs, and
-    for every document, given by the places of its words, the numbers of its units in order."""
-    numbers = Numbers()
-    parts = [[numbers[u] for u in units_in(w)] for w in words]
-    size = np.fromiter(map(len, parts), np.int64, len(parts))
-    flat = np.fromiter((n for p in parts for n in p), np.int64, int(size.sum()))
-    coded = spread(flat, size, np.concatenate([np.zeros(0, np.int64), *places]))
-    n = np.bincount(coded, minlength=len(numbers))
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different keys of :func:`words_of` of the texts; the numbers of each text's keys, one
+    text after the other, and how many it has. Texts whose spaces stand alone are split in Arrow."""
+    odd = pc.equal(texts, "")
+    for found in (pc.starts_with(texts, " "), pc.ends_with(texts, " "), pc.match_substring(texts, "  ")):
+        odd = pc.or_(odd, found)
+    odd = pc.or_(odd, pc.match_substring(texts, SPACE_SIGN))
+    plain = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+    others = [words_of(t) for t in texts.filter(odd).to_pylist()]
+    keys = pa.concat_arrays([plain.flatten(), pa.array([w for o in others for w in o], pa.string())])
+    odd = odd.to_numpy(zero_copy_only=False)
+    size = np.concatenate([plain.value_lengths().to_numpy(), np.fromiter(map(len, others), np.int64, len(others))])
+    came = np.argsort(np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)]))
+    coded = keys.dictionary_encode()
+    return coded.dictionary, spread(coded.indices.to_numpy(), size, came), size[came]
+
+
+def units_of_words(words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different units of the words; the numbers of each word's units, one word after the
+    other, and how many it has. Words of ASCII letters are one unit and stay in Arrow."""
+    plain = pc.ascii_is_alpha(words)
+    others = [units_in(w) for w in words.filter(pc.invert(plain)).to_pylist()]
+    whole = pc.binary_join_element_wise(SPACE_SIGN, words.filter(plain), "")
+    flat = pa.concat_arrays([whole, pa.array([u for o in others for u in o], pa.string())]).dictionary_encode()
+    plain = plain.to_numpy(zero_copy_only=False)
+    size = np.concatenate([np.ones(len(whole), np.int64), np.fromiter(map(len, others), np.int64, len(others))])
+    came = np.argsort(np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)]))
+    return flat.dictionary, spread(flat.indices.to_numpy(), size, came), size[came]
+
+
+def block_rows(doc_ids: pa.Array, texts: pa.Array, different: int) -> Iterator[list[pa.Array]]:
+    """The columns of a block behind its name: its different units, the most frequent first, how
+    often each occurs, and for every document the numbers of its units in order. Documents with
+    more than ``different`` words together are halved."""
+    words, places, n_words = words_in(texts)
+    if len(words) > different and len(texts) > 1:
+        half = len(texts) // 2
+        yield from block_rows(doc_ids[:half], texts[:half], different)
+        yield from block_rows(doc_ids[half:], texts[half:], different)
+        return
+    units, flat, size = units_of_words(words)
+    coded = spread(flat, size, places)
+    n = np.bincount(coded, minlength=len(units))
     order = np.argsort(-n, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    units = pa.array(list(numbers), pa.string()).take(pa.array(order))
-    sizes = np.fromiter((size[p].sum() for p in places), np.int64, len(places))
-    columns = [
-        pa.array([block]),
-        list_of(pa.array(doc_ids, pa.int64()), np.array([len(doc_ids)])),
+    ends = np.concatenate([[0], np.cumsum(size[places])])
+    sizes = np.diff(ends[np.concatenate([[0], np.cumsum(n_words)])])
+    yield [
+        list_of(doc_ids, np.array([len(doc_ids)])),
         list_of(sizes, np.array([len(sizes)])),
         pa.array([packed(rank[coded])], pa.binary()),
-        list_of(units, np.array([len(units)])),
+        list_of(units.take(pa.array(order)), np.array([len(units)])),
         list_of(n[order].astype(np.int64), np.array([len(n)])),
     ]
-    return pa.RecordBatch.from_arrays(columns, ["block", "doc_ids", "sizes", "places", "units", "n"])
 
 
 def blocks(documents: DataFrame) -> DataFrame:
-    """The documents cut once, as the blocks of :func:`block_row`: a task ends a block at
-    ``BLOCK_CHARS`` characters or ``DIFFERENT`` different words, so that it holds no more than
-    that and one document. Only different words are cut into units."""
+    """The documents cut once, as the blocks of :func:`block_rows`: a task ends a block at
+    ``BLOCK_CHARS`` characters and halves it beyond ``DIFFERENT`` different words, so that it holds
+    no more than that and one document. Only different words are cut into units."""
     chars, different = BLOCK_CHARS, DIFFERENT
 
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+        held, read = [], 0
+        for batch in batches:
+            doc_ids, texts = batch["doc_id"].cast(pa.int64()), batch["text"].fill_null("")
+            upto, first, before = np.cumsum(pc.utf8_length(texts).to_numpy()), 0, 0
+            while first < len(texts):
+                # The block ends with the document that brings it beyond ``chars``.
+                last = int(np.searchsorted(upto, before + chars - read, side="right"))
+                end = min(last + 1, len(texts))
+                held.append((doc_ids[first:end], texts[first:end]))
+                read, before, first = read + int(upto[end - 1]) - before, int(upto[end - 1]), end
+                if last < len(texts):
+                    yield tuple(map(pa.concat_arrays, zip(*held, strict=True)))
+                    held, read = [], 0
+        if held:
+            yield tuple(map(pa.concat_arrays, zip(*held, strict=True)))
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A block is one row of one task, written before anything reads it: its number is only a name.
-        block = TaskContext.get().partitionId() << 32
-        numbers, doc_ids, places, read = Numbers(), [], [], 0
-        for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                words = words_of(text := text.as_py() or "")
-                doc_ids.append(doc_id.as_py())
-                places.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
-                read += len(text)
-                if read > chars or len(numbers) > different:
-                    yield block_row(block, doc_ids, places, list(numbers))
-                    block, numbers, doc_ids, places, read = block + 1, Numbers(), [], [], 0
-        if doc_ids:
-            yield block_row(block, doc_ids, places, list(numbers))
+        block, names = TaskContext.get().partitionId() << 32, ["block", "doc_ids", "sizes", "places", "units", "n"]
+        for doc_ids, texts in full(batches):
+            for columns in block_rows(doc_ids, texts, different):
+                yield pa.RecordBatch.from_arrays([pa.array([block]), *columns], names)
+                block += 1
+            # Idle workers stay; what they hold counts beside the next stage's.
+            pa.default_memory_pool().release_unused()
 
     return stored(narrowed(documents, "doc_id", "text").mapInArrow(cut, BLOCKS), "blocks")
 
@@ -469,109 +555,130 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(F.lit(False) if lowest is None else step >= lowest)
 
 
-def with_ids(row: dict, codes: np.ndarray, flat: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
-    """The documents of a block with their ids: those of each code lie in ``flat`` one after the other."""
-    n_units = np.array(row["sizes"], np.int64)
-    found = spread(flat, size, codes).astype(np.int32)
-    ends = np.concatenate([[0], np.cumsum(size[codes])])
-    cuts = ends[np.concatenate([[0], np.cumsum(n_units)])]
-    columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(n_units), list_of(found, np.diff(cuts))]
-    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_units", "ids"])
+def with_ids(
+    doc_ids: pa.Array, n_units: np.ndarray, codes: np.ndarray, flat: np.ndarray, size: np.ndarray
+) -> Iterator[pa.RecordBatch]:
+    """The documents of a block with their ids, some at a time: the ids of each code lie in ``flat``
+    one after the other."""
+    ends = np.concatenate([[0], np.cumsum(n_units)])
+    for first in range(0, len(n_units), DOCUMENTS):
+        n = n_units[first : first + DOCUMENTS]
+        some = codes[ends[first] : ends[first + len(n)]]
+        cuts = np.concatenate([[0], np.cumsum(size[some])])[ends[first : first + len(n) + 1] - ends[first]]
+        columns = [doc_ids.slice(first, len(n)), pa.array(n), list_of(spread(flat, size, some), np.diff(cuts))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_units", "ids"])
+
+
+def as_bytes(rows: pa.RecordBatch) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema) as stream:
+        stream.write_batch(rows)
+    return out.getvalue().to_pybytes()
+
+
+def from_bytes(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
 
 
-def encode(documents: DataFrame, path: str) -> DataFrame:
+def encode(documents: DataFrame, path: str, text: str | None = None) -> DataFrame:
     """(doc_id, n_units, ids): the ids of every row of ``documents`` in their order, and the number
-    of its units."""
+    of its units. ``text`` names a further column, the text decoded from these ids as :func:`decode`
+    gives it, but in the task that has put them together: ids then need no third Python worker."""
     spark, coder = documents.sparkSession, Coder(path)
     cut = blocks(documents)
     counts = stored(repeated_units(cut), "units")
-    units, ids = [], []
-    for row in encode_units(most_frequent(counts, HEAD), path).toLocalIterator():
-        units.append(row["unit"])
-        ids.append(np.array(row["ids"], np.int32))
-    size = np.fromiter(map(len, ids), np.int64, len(ids))
-    shared = spark.sparkContext.broadcast((units, np.concatenate([np.zeros(0, np.int32), *ids]), size, coder))
-    del units, ids, size
-    lists = pa.list_(pa.int64())
-    known = pa.schema([("block", pa.int64()), ("doc_ids", lists), ("sizes", lists), ("places", pa.binary())])
+    frequent = encode_units(most_frequent(counts, HEAD), path).select("unit", "ids").toArrow().combine_chunks()
+    units, ids = (frequent[c].combine_chunks() for c in ("unit", "ids"))
+    # As buffers: a list and a dictionary of so many strings in every Python worker took most of its memory.
+    size = ids.value_lengths().to_numpy().astype(np.int64)
+    flat = ids.flatten().to_numpy().astype(np.int32)
+    shared = spark.sparkContext.broadcast((units, flat, size, coder, spelling(path) if text else None))
+    del frequent, units, ids, size, flat
 
     def laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each block a row per unit that is not in the head, with its lattice, in order; then
-        the block's own row, its places as codes: those of the head, then the rare ones."""
-        coder = shared.value[-1]
-        head = {u: k for k, u in enumerate(shared.value[0])}
-        pieces = PieceTable(coder.known)
+        """For each block a row per unit that is not in the head, with its lattice, in order; then a
+        row without unit, whose ``own`` is the block, its places as codes: those of the head, then
+        the rare ones. All that is not a unit's lies in this one value: Spark's Arrow writer counts
+        the nulls of a list column anew for each row, the square of the rows of a batch."""
+        head, _, _, coder, _ = shared.value
+
+        def row(own: list[bytes], units: pa.Array, edges: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), units, edges], ["own", "unit", "edges"])
+
         for batch in batches:
-            for row in batch.to_pylist():
-                codes = np.fromiter((head.get(u, -1) for u in row["units"]), np.int64, len(row["units"]))
-                gap = np.flatnonzero(codes < 0)
-                codes[gap] = len(head) + np.arange(len(gap))
-                rare = [row["units"][k] for k in gap]
+            for k in range(batch.num_rows):
+                block = batch.slice(k, 1)
+                units = block["units"].flatten()
+                codes = pc.index_in(units, value_set=head)
+                rare = units.filter(codes.is_null())
+                codes = codes.fill_null(-1).to_numpy().astype(np.int64)
+                codes[codes < 0] = len(head) + np.arange(len(rare))
                 for first in range(0, len(rare), TOGETHER):
-                    some = rare[first : first + TOGETHER]
-                    edges = edges_of(pieces, [u if len(u) <= LONG else "" for u in some])
-                    none = [pa.nulls(len(some), f.type) for f in list(known)[1:]]
-                    columns = [pa.array(np.full(len(some), row["block"])), *none, pa.array(some, pa.string()), edges]
-                    yield pa.RecordBatch.from_arrays(columns, [*known.names, "unit", "edges"])
-                row["places"] = packed(codes[unpacked(row["places"])])
-                own = pa.RecordBatch.from_pylist([{c: row[c] for c in known.names}], known)
-                columns = [*own.columns, pa.nulls(1, pa.string()), pa.nulls(1, edges_of(pieces, []).type)]
-                yield pa.RecordBatch.from_arrays(columns, [*known.names, "unit", "edges"])
+                    some = rare.slice(first, TOGETHER)
+                    short = [u if len(u) <= LONG else "" for u in some.to_pylist()]
+                    yield row([b""] * len(some), some, edges_of(coder.table, short, coder.bpe))
+                places = pa.array([packed(codes[unpacked(block["places"][0].as_py())])], pa.binary())
+                own = pa.RecordBatch.from_arrays([block["doc_ids"], block["sizes"], places], ["doc_ids", "sizes", "places"])
+                yield row([as_bytes(own)], pa.nulls(1, pa.string()), edges_of(coder.table, [""], coder.bpe))
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows come as ``laid_out`` gave them, since nothing between moves any."""
-        _, flat, size, coder = shared.value
-        rare: list[tuple[pa.ListArray, pa.Array]] = []
-
-        def taken(part: pa.RecordBatch) -> None:
-            ids, unit = part["ids"], part["unit"]
-            if part.num_rows and pc.max(pc.utf8_length(unit)).as_py() > LONG:
-                both = zip(ids.to_pylist(), unit.to_pylist(), strict=True)
-                ids = pa.array([i if len(u) <= LONG else coder.long(u) for i, u in both], ids.type)
-            rare.append((ids.flatten().to_numpy(), ids.value_lengths().to_numpy()))
-
+        _, flat, size, coder, letters = shared.value
+        rare: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             first = 0
             for end in np.flatnonzero(batch["unit"].is_null().to_numpy(zero_copy_only=False)).tolist():
-                taken(batch.slice(first, end - first))
-                row = batch.slice(end, 1).select(known.names).to_pylist()[0]
-                codes = unpacked(row["places"])
-                sizes = np.concatenate([size, *(n for _, n in rare)])
-                yield with_ids(row, codes, np.concatenate([flat, *(ids for ids, _ in rare)]), sizes)
+                some = batch.slice(first, end - first)
+                rare.append(coder.spelled(some["unit"], some["borders"]))
+                own = from_bytes(batch["own"][end].as_py())
+                sizes, codes = own["sizes"].flatten().to_numpy(), unpacked(own["places"][0].as_py())
+                all_ids, all_sizes = (np.concatenate(c) for c in zip((flat, size), *rare, strict=True))
+                for part in with_ids(own["doc_ids"].flatten(), sizes, codes, all_ids, all_sizes):
+                    yield with_text(part, text, letters) if text else part
                 rare, first = [], end + 1
-            taken(batch.slice(first))
+            rest = batch.slice(first)
+            rare.append(coder.spelled(rest["unit"], rest["borders"]))
 
-    of_block = "block long, doc_ids array<long>, sizes array<long>, places binary"
-    rows = cut.drop("n").mapInArrow(laid_out, f"{of_block}, unit string, edges {EDGES}")
-    own = F.when(F.length("unit") <= LONG, coder.ids()).alias("ids")
-    return rows.select(*known.names, "unit", own).mapInArrow(put_together, "doc_id long, n_units long, ids array<int>")
+    rows = cut.select("doc_ids", "sizes", "places", "units")
+    rows = rows.mapInArrow(laid_out, f"own binary, unit string, edges {MERGES if coder.bpe else EDGES}")
+    rows = rows.select("own", "unit", coder.borders().alias("borders"))
+    schema = "doc_id long, n_units long, ids array<int>" + (f", `{text}` string" if text else "")
+    return rows.mapInArrow(put_together, schema)
 
 
-def decode(encoded: DataFrame, path: str, column: str = "text") -> DataFrame:
-    """``encoded`` with the text of its ``ids`` in ``column``: each id looked up in the piece table,
-    which is broadcast, and the bytes put together in order."""
+def spelling(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all ids one after the other, and how many each has."""
     known, byte_zero, _ = read_pieces(path)
     codes = {i: p.encode() for p, i, _ in known} | {byte_zero + b: bytes([b]) for b in range(256)}
     # Control ids and numbers beyond the table give no bytes, as the last entry.
     codes = [codes.get(i, b"") for i in range(max(codes) + 2)]
-    size = np.fromiter(map(len, codes), np.int64, len(codes))
-    shared = encoded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(codes), np.uint8), size))
+    return np.frombuffer(b"".join(codes), np.uint8), np.fromiter(map(len, codes), np.int64, len(codes))
+
+
+def with_text(part: pa.RecordBatch, column: str, letters: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    """``part`` with the text of its ``ids`` in ``column``: the bytes of the ids put together in order."""
+    flat, size = letters
+    n = part["ids"].value_lengths().fill_null(0).to_numpy()
+    ids = part["ids"].flatten().to_numpy().astype(np.int64)
+    ids = np.where((ids < 0) | (ids >= len(size)), len(size) - 1, ids)
+    data = spread(flat, size, ids).tobytes()
+    ends = np.concatenate([[0], np.cumsum(size[ids])])[np.concatenate([[0], np.cumsum(n)])].tolist()
+    texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:], strict=False)]
+    text = pa.array([t.replace(SPACE_SIGN, " ")[1:] for t in texts], pa.string())
+    kept = [c for c in part.schema.names if c != column]
+    return pa.RecordBatch.from_arrays([*(part[c] for c in kept), text], [*kept, column])
+
+
+def decode(encoded: DataFrame, path: str, column: str = "text") -> DataFrame:
+    """``encoded`` with the text of its ``ids`` in ``column``: each id looked up in the piece table,
+    which is broadcast, and the bytes put together in order."""
+    shared = encoded.sparkSession.sparkContext.broadcast(spelling(path))
     schema = encoded.drop(column).withColumn(column, F.lit("")).schema
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, size = shared.value
         for batch in batches:
-            kept = [c for c in batch.schema.names if c != column]
             for first in range(0, batch.num_rows, DOCUMENTS):
-                part = batch.slice(first, DOCUMENTS)
-                n = part["ids"].value_lengths().fill_null(0).to_numpy()
-                ids = part["ids"].flatten().to_numpy().astype(np.int64)
-                ids = np.where((ids < 0) | (ids >= len(size)), len(size) - 1, ids)
-                data = spread(flat, size, ids).tobytes()
-                ends = np.concatenate([[0], np.cumsum(size[ids])])[np.concatenate([[0], np.cumsum(n)])].tolist()
-                texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:], strict=False)]
-                text = pa.array([t.replace(SPACE_SIGN, " ")[1:] for t in texts], pa.string())
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), text], [*kept, column])
+                yield with_text(batch.slice(first, DOCUMENTS), column, shared.value)
 
     return encoded.mapInArrow(look_up, schema)
 
@@ -579,7 +686,7 @@ def decode(encoded: DataFrame, path: str, column: str = "text") -> DataFrame:
 def piece_counts(documents: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_units, n_pieces, ids_crc32, text_crc32) per row: the CRC-32 of all its ids in
     their order, in decimal with one space between, and that of the UTF-8 text decoded from them."""
-    both = decode(encode(documents, path), path)
+    both = encode(documents, path, "text")
     stated = F.array_join(F.col("ids").cast("array<string>"), " ")
     return both.select(
         "doc_id",
