@@ -19,11 +19,12 @@ that equal strings meet, and each shard has a suffix array of its own, built by
    whole.
 3. *Shards.* The different pieces of a shard make its text, but for those that are their anchor's
    only one: no other piece has one of their windows; beyond ``SHARD_BYTES`` the next anchor begins
-   another text. The suffixes are sorted with common prefixes,
+   another text. Most of them share their anchor by chance only: pieces without a window whose hash
+   occurs again in the text are left out. The suffixes are sorted with common prefixes,
    and neighbours that share ``WINDOW`` bytes form the groups whose smallest doc_id is found. A
    covered window goes back to the document that the piece is from.
 
-Anchors and equal pieces only save work: that a window is covered by that of another piece is read
+Anchors, equal pieces and hashes of windows only save work: that a window is covered by that of another piece is read
 from the suffix array alone, by all its bytes. Documents are known by doc_id and a 64-bit hash of
 their text; whole texts are compared by SHA-256.
 
@@ -46,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugework.llm.common import anew, document_runs, mixed, stored, table, text_buffer
-from gaugework.llm.induced import STEP, allot, steps, suffix_array
+from gaugework.llm.induced import STEP, _only, allot, steps, suffix_array
 
 WINDOW, GRAM = 50, 16
 #: Anchor places in a window.
@@ -78,6 +79,16 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return mixed(h)
 
 
+def window_hashes(data: np.ndarray) -> np.ndarray:
+    """Hash of every ``WINDOW`` neighbouring bytes, from those of four grams that cover them."""
+    g = gram_hashes(data)
+    n = max(0, len(data) - WINDOW + 1)
+    h = np.zeros(n, np.uint64)
+    for at, factor in zip((0, GRAM, 2 * GRAM, WINDOW - GRAM), _FACTORS, strict=True):
+        h = h * factor + g[at : at + n]
+    return h
+
+
 def _least(g: np.ndarray) -> np.ndarray:
     """Place of the least value, by its upper 32 bits, among every ``PLACES`` neighbours, the first
     of equals: values and places in one number, whose minima are taken over doubled spans."""
@@ -349,14 +360,33 @@ class Shard:
             out[ends[a:b] - 1] = 1
         return out
 
+    @staticmethod
+    def matched(text: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """The pieces of a text that have a window whose hash occurs again in it. The others share no
+        window with any piece, so nothing is lost when their suffixes are not sorted."""
+        h = window_hashes(text)
+        # Upper bits of a hash and the place in one number, which is sorted faster than places by hash.
+        bits = np.uint64(len(h).bit_length())
+        both = np.sort(h >> bits << bits | np.arange(len(h), dtype=np.uint64))
+        again = np.flatnonzero(both[1:] >> bits == both[:-1] >> bits)
+        at = both[np.union1d(again, again + 1)] & ((np.uint64(1) << bits) - np.uint64(1))
+        return np.unique(np.searchsorted(begin, at.astype(np.int64), "right") - 1)
+
     def covered(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(piece, start, n) of the runs of windows that a piece of a smaller doc_id has too, in the
         order of the pieces."""
         if not len(self.size):
             return
         size, least = np.frombuffer(self.size, np.int64), np.frombuffer(self.least, np.int64)
-        begin = np.cumsum(size + 1) - size - 1
         text = self.text()
+        sorted_ones = self.matched(text, np.cumsum(size + 1) - size - 1)
+        if not len(sorted_ones):
+            return
+        wanted = np.zeros(len(size), bool)
+        wanted[sorted_ones] = True
+        text = _only(text, np.append(np.repeat(wanted, size + 1), True))
+        size, least = size[sorted_ones], least[sorted_ones]
+        begin = np.cumsum(size + 1) - size - 1
         suffixes, prefixes = suffix_array(text, WINDOW)
         n = len(text)
         del text
@@ -381,7 +411,7 @@ class Shard:
             if len(on):
                 opens = np.flatnonzero(np.concatenate([[True], on[1:] != on[:-1] + 1]))
                 piece = np.searchsorted(begin, on[opens], "right") - 1
-                yield piece, on[opens] - begin[piece], np.diff(np.append(opens, len(on)))
+                yield sorted_ones[piece], on[opens] - begin[piece], np.diff(np.append(opens, len(on)))
 
 
 def _bytes(values: pa.Array) -> list[bytes]:
@@ -516,16 +546,15 @@ def covered_windows(keyed: DataFrame, marked: DataFrame) -> DataFrame:
     )
 
 
-def cut(text: str | None, runs: list[dict[str, int]] | None, copy: bool | None = None) -> tuple[bytes, int, int, int]:
-    """The bytes that no window of ``runs`` covers, none of a copy; bytes, bytes removed and removed
-    runs."""
+def cut(text: str | None, first: np.ndarray, n: np.ndarray, copy: bool | None = None) -> tuple[bytes, int, int, int]:
+    """The bytes that none of the runs of ``n`` windows from ``first`` covers, none of a copy; bytes,
+    bytes removed and removed runs."""
     data = np.frombuffer((text or "").encode(), np.uint8)
     if copy:
         return b"", len(data), len(data), 1
-    if not runs:
+    if not len(first):
         return data.tobytes(), len(data), 0, 0
     edge = np.zeros(len(data) + 1, np.int64)
-    first, n = np.array([(x["start"], x["n"]) for x in runs]).T
     np.add.at(edge, first, 1)
     np.add.at(edge, first + n - 1 + WINDOW, -1)
     gone = np.cumsum(edge)[:-1] > 0
@@ -556,8 +585,11 @@ def without_copies(documents: DataFrame) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch[c].to_pylist() for c in ("text", "__runs", "__copy")), strict=True)
-            parts = [cut(text, runs, copy) for text, runs, copy in rows]
+            runs = batch["__runs"]
+            first, n = (c.to_numpy(zero_copy_only=False) for c in runs.flatten().flatten())
+            end = np.cumsum(runs.value_lengths().fill_null(0).to_numpy()).tolist()
+            rows = zip(batch["text"].to_pylist(), [0, *end], end, batch["__copy"].to_pylist(), strict=False)
+            parts = [cut(text, first[a:b], n[a:b], copy) for text, a, b, copy in rows]
             kept, *numbers = zip(*parts, strict=True) if parts else [()] * 4
             new = dict(zip(COLUMNS, [pa.array(kept, pa.binary()), *(pa.array(c, pa.int64()) for c in numbers)], strict=True))
             yield pa.RecordBatch.from_arrays([new[c] if c in new else batch[c] for c in schema.names], schema.names)
