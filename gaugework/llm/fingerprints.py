@@ -20,6 +20,8 @@ text, a single row succeeds itself; extra columns are ignored by the query, kept
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,20 +37,36 @@ _LEAF = rf"[\s\S]*?[{_MARKS}](?:\s+|\z)|[\s\S]+"
 GROUP_ROWS, MOST_GROUPS = 2_000, 65_536
 
 
+def _leaves_of(line: Column) -> Column:
+    """What ``_LEAF`` finds in a line, which has no line feed: one is put behind each leaf. Lazy
+    matching took three times as long."""
+    marked = F.regexp_replace(line, rf"[{_MARKS}]\s+", "$0\n")
+    return F.array_remove(F.split(marked, "\n"), "")
+
+
 def _paragraph(line: Column) -> Column:
     digest = lambda leaf: F.substring(F.sha2(leaf, 256), 1, LEAF_DIGITS)
-    leaves = F.transform(F.regexp_extract_all(line, F.lit(_LEAF), F.lit(0)), digest)
+    leaves = F.transform(_leaves_of(line), digest)
     closes = lambda s: F.substring(F.sha2(s, 256), 1, 1).isin(*"0123")
     end = lambda s: F.concat(s, F.when(closes(s), F.lit(";")).otherwise(F.lit("/")))
     return let(F.array_join(leaves, ","), end)
 
 
-def fingerprint(text: Column) -> Column:
-    """The tree of a text, root first."""
-    body = F.array_join(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), _paragraph), "")
+def paragraphs(text: Column) -> Column:
+    """The paragraphs of a text as its tree has them, each with what ends it."""
+    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), _paragraph)
+
+
+def _tree(parts: Column) -> Column:
+    """The tree over paragraphs, root first."""
     nodes = lambda s: F.transform(F.split(s, ";"), lambda x: F.sha2(x, 256))
     root = lambda s: F.substring(F.sha2(F.array_join(nodes(s), ","), 256), 1, 32)
-    return let(body, lambda s: F.concat(root(s), F.lit(":"), s))
+    return let(F.array_join(parts, ""), lambda s: F.concat(root(s), F.lit(":"), s))
+
+
+def fingerprint(text: Column) -> Column:
+    """The tree of a text, root first."""
+    return _tree(paragraphs(text))
 
 
 def root(tree: Column) -> Column:
@@ -64,15 +82,16 @@ def leaves(tree: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(_body(tree), "[,;/]+")), "")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """1 for equal roots, else twice the shared leaves over the leaves of both (0 to 1)."""
+def _likeness(a: Column, x: Column, b: Column, y: Column) -> Column:
+    """:func:`likeness` of the trees ``a`` and ``b``, whose leaves are ``x`` and ``y``."""
+    both = F.size(x) + F.size(y)
+    shared = F.when(both == 0, 0.0).otherwise(2.0 * F.size(F.array_intersect(x, y)) / both)
+    return F.when(root(a) == root(b), 1.0).otherwise(shared)
 
-    def shared(x: Column, y: Column) -> Column:
-        both = F.size(x) + F.size(y)
-        return F.when(both == 0, 0.0).otherwise(2.0 * F.size(F.array_intersect(x, y)) / both)
 
-    other = let(leaves(a), lambda x: let(leaves(b), lambda y: shared(x, y)))
-    return F.when(root(a) == root(b), 1.0).otherwise(other)
+def likeness(a: Column, b: Column) -> Column:
+    """1 for equal roots, else twice the shared leaves over the leaves of both (0 to 1)."""
+    return let(leaves(a), lambda x: let(leaves(b), lambda y: _likeness(a, x, b, y)))
 
 
 def changed_sections(before: Column, after: Column) -> Column:
@@ -104,8 +123,10 @@ def with_fingerprint(documents: DataFrame, column: str = "fingerprint") -> DataF
     return documents.withColumn(column, fingerprint(F.col("text")))
 
 
-def with_successor(documents: DataFrame) -> DataFrame:
-    """(doc_id, text, next_text): each document beside the next one in descending doc_id.
+def with_successor(documents: DataFrame, derive: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """(doc_id, text, next_text): each document beside the next one in descending doc_id. Columns
+    that ``derive`` adds to the rows come along, those of the next document as ``next_...``; they
+    are made behind the shuffle, so they do not move, and once for a text.
 
     Ids are cut into ranges; each range is sorted on its own, and the first rows of a range are
     also dealt to the end of the range before it (those of the first to the last), so texts move
@@ -145,39 +166,64 @@ def with_successor(documents: DataFrame) -> DataFrame:
         )
         .select("doc_id", "text", F.inline("to"))
     )
-    order = Window.partitionBy("range").orderBy(
-        "guest", F.desc_nulls_last("doc_id"), F.xxhash64("text"), "text"
-    )
-    return dealt.withColumn("next_text", F.lead("text").over(order)).where("guest = 0").select(
-        "doc_id", "text", "next_text"
-    )
+    order = ["guest", F.desc_nulls_last("doc_id"), "tie", "text"]
+    sorted_rows = dealt.withColumn("tie", F.xxhash64("text")).repartition("range").sortWithinPartitions("range", *order)
+    derived = derive(sorted_rows)
+    names = ["text", *(c for c in derived.columns if c not in sorted_rows.columns)]
+    after = Window.partitionBy("range").orderBy(*order)
+    met = derived.withColumns({f"next_{c}": F.lead(c).over(after) for c in names})
+    return met.where("guest = 0").select("doc_id", *names, *(f"next_{c}" for c in names))
 
 
-def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    met = with_successor(narrowed(table(spark, sf_dir, "documents"), "doc_id", "text"))
+def _with_tree(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("paragraphs", paragraphs(F.col("text")))
+    rows = rows.withColumn("fingerprint", _tree(F.col("paragraphs")))
+    return rows.withColumn("leaves", leaves(F.col("fingerprint")))
+
+
+def with_edited(met: DataFrame) -> DataFrame:
+    """``met`` with ``edited``, the text whose last third is replaced by as many characters of the
+    next one, and its ``edited_paragraphs``. Lines that both texts give whole have their paragraphs
+    already; only the one where they meet and the last one are new."""
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
-    edited = F.concat(
-        F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third)
+    met = met.withColumns(
+        {"head": F.substring("text", F.lit(1), n - third), "tail": F.substring("next_text", F.lit(1), third)}
+    ).withColumns({"head_lines": F.split("head", "\n"), "tail_lines": F.split("tail", "\n")})
+    whole = F.size("head_lines") - 1
+    breaks = F.size("tail_lines") - 1
+    joint = F.concat(F.element_at("head_lines", -1), F.element_at("tail_lines", 1))
+    lines = F.when(breaks > 0, F.array(joint, F.element_at("tail_lines", -1))).otherwise(F.array(joint))
+    return met.withColumn("fresh", F.transform(lines, _paragraph)).withColumns(
+        {
+            "edited": F.concat("head", "tail"),
+            "edited_paragraphs": F.concat(
+                F.slice("paragraphs", 1, whole),
+                F.slice("fresh", 1, 1),
+                F.slice("next_paragraphs", 2, F.greatest(breaks - 1, F.lit(0))),
+                F.slice("fresh", 2, 1),
+            ),
+        }
     )
-    trees = met.select(
-        "doc_id",
-        n.cast("long").alias("n_chars"),
-        edited.alias("edited"),
-        fingerprint(F.col("text")).alias("fingerprint"),
-        fingerprint(F.col("next_text")).alias("next_fingerprint"),
-    ).withColumn("edited_fingerprint", fingerprint(F.col("edited")))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = narrowed(table(spark, sf_dir, "documents"), "doc_id", "text")
+    trees = with_edited(with_successor(documents, _with_tree))
+    trees = trees.withColumn("edited_fingerprint", _tree(F.col("edited_paragraphs")))
+    trees = trees.withColumn("edited_leaves", leaves(F.col("edited_fingerprint")))
+    like = lambda name: _likeness(*map(F.col, ("fingerprint", "leaves", f"{name}_fingerprint", f"{name}_leaves")))
+    changed = F.filter("edited_paragraphs", lambda p: ~F.array_contains("paragraphs", p))
+    same = root(F.col("fingerprint")) == root(F.col("edited_fingerprint"))
     return trees.select(
         "doc_id",
-        "n_chars",
+        F.length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         "fingerprint",
         "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
-        F.size(changed_paragraphs(F.col("fingerprint"), F.col("edited_fingerprint"))).alias(
-            "n_changed_paragraphs"
-        ),
+        like("edited").alias("near_edited"),
+        like("next").alias("near_next"),
+        F.when(same, 0).otherwise(F.size(changed)).alias("n_changed_paragraphs"),
     )
 
 
