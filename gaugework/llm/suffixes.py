@@ -24,9 +24,9 @@ that equal strings meet, and each shard has a suffix array of its own, built by
    and neighbours that share ``WINDOW`` bytes form the groups whose smallest doc_id is found. A
    covered window goes back to the document that the piece is from.
 
-Anchors, equal pieces and hashes of windows only save work: that a window is covered by that of another piece is read
-from the suffix array alone, by all its bytes. Documents are known by doc_id and a 64-bit hash of
-their text; whole texts are compared by SHA-256.
+Anchors, equal pieces and hashes of windows only save work: that a window is covered by that of
+another piece is read from the suffix array alone, by all its bytes. Documents are known by doc_id
+and a 64-bit hash of their text; whole texts are compared by SHA-256.
 
 Defined results: a null or empty text has no bytes; a null doc_id is neither smaller nor larger than
 another, its document keeps all bytes and takes none from others; rows with one doc_id do not cover
